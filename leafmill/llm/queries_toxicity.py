@@ -16,11 +16,9 @@ def op7_toxicity(spark, sf_dir, docs=None, labels=None):
     """
     docs = read(spark, sf_dir, "documents") if docs is None else docs
     labels = read(spark, sf_dir, "labels") if labels is None else labels
-    told = labels.where("toxic IS NOT NULL").groupBy(F.col("doc_id").alias("_id")).agg(F.max("toxic").alias("_y"))
+    told = labels.where("toxic IS NOT NULL AND doc_id IS NOT NULL").where(crc_mod("doc_id", 5) != 0).groupBy("doc_id").agg(F.max("toxic").alias("y"))
     held = (crc_mod("doc_id", 5) == 0).alias("held_out")
-    # Only the ids travel to find the labelled rows' hashes; the texts of the labelled rows follow.
-    train = docs.where(crc_mod("doc_id", 5) != 0).join(told, F.col("doc_id") == F.col("_id"))
-    lexicon = fit(train, F.col("_y"), exceptions=EXCEPTIONS)
+    lexicon = fit(docs, told, "doc_id", exceptions=EXCEPTIONS)
     rows = docs.select("doc_id", "text", held)
     return score(rows, lexicon, ["doc_id", "held_out"]).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 

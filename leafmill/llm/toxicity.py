@@ -10,11 +10,10 @@ from __future__ import annotations
 import math
 import unicodedata
 from collections import Counter
-from functools import partial
 
 import numpy as np
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from .common import stash
 
@@ -136,16 +135,29 @@ def candidates(text: str | None, shortest: int = 4, longest: int = 9) -> set[str
     return out
 
 
-def fit(docs: DataFrame, label: Column, text: str = "text", exceptions=(), rows: int = 40_000, least: int = 4, entries: int = 5_000, purity: float = 0.8) -> Lexicon:
-    """Learns a lexicon from labelled rows (label 1 or 0; others are left out).
+def fit(docs: DataFrame, labels: DataFrame, key: str, text: str = "text", exceptions=(), rows: int = 20_000, least: int = 4, entries: int = 5_000, purity: float = 0.8) -> Lexicon:
+    """Learns a lexicon from `labels` (columns `key`, unique and not null, and `y`, 1 or 0) of rows of `docs`.
 
-    Of near copies about one counts. The fit reads the `rows` labelled rows of the smallest hashes, a documented bound, so the driver holds a bounded
-    table of entries. An entry needs `least` texts of label 1 and a smoothed share of label 1 of at least `purity`; a
-    beginning that says no more than what it contains, or is contained in, is dropped. Weights are the lower ends of log odds.
+    Of near copies about one counts. The fit reads about `rows` labelled rows, chosen by a hash of the key at a threshold
+    from the exact number of labels: a documented bound, so that the chosen keys can be broadcast, no text is shuffled,
+    and the driver holds a bounded table of entries. An entry needs `least` texts of label 1 and a smoothed share of
+    label 1 of at least `purity`; a beginning that says no more than what it contains, or is contained in, is dropped.
+    Weights are the lower ends of log odds.
     """
-    base = docs.select(F.col(text).cast("string").alias("text"), label.cast("int").alias("y")).where("y IN (0, 1)").withColumn("h", F.xxhash64("text", "y"))
     spark = docs.sparkSession
-    chosen = base.orderBy("h", "y").limit(rows)
+    chosen = labels.select(F.col(key).alias("_key"), F.col("y").cast("int").alias("y")).where("y IN (0, 1)")
+    share = min(1.0, rows / max(1, chosen.count()))
+    chosen = chosen.where(F.expr(f"pmod(xxhash64(_key), 1000000) < {share * 1_000_000}"))
+    texts = docs.select(F.col(key).alias("_key"), F.col(text).cast("string").alias("text"))
+
+    def of(keys: DataFrame) -> DataFrame:
+        return texts.join(F.broadcast(keys), "_key")
+
+    families = of(chosen).withColumn("h", F.xxhash64("text", "y")).mapInPandas(_families, f"_key {labels.schema[key].dataType.simpleString()}, y int, h long, " + ", ".join(f"m{k} long" for k in FAMILIES))
+    for k in FAMILIES:  # copies of one text are one piece of evidence
+        rest = [c for c in families.columns if c not in ("h", f"m{k}")]
+        families = families.groupBy(f"m{k}").agg(F.min(F.struct("h", *rest)).alias("x")).select("x.*")
+    sample = stash(of(families.groupBy("_key").agg(F.max("y").alias("y"))).select("text", "y"), "toxic-sample")
 
     def count(batches):
         import pandas as pd
@@ -159,11 +171,6 @@ def fit(docs: DataFrame, label: Column, text: str = "text", exceptions=(), rows:
             keys = sorted(pos.keys() | neg.keys())
             yield pd.DataFrame({"entry": [*keys, ""], "pos": [*(pos[k] for k in keys), n[1]], "neg": [*(neg[k] for k in keys), n[0]]})
 
-    sample = chosen.repartition(16)
-    for seed in FAMILIES:  # copies of one text are one piece of evidence
-        family = sample.mapInPandas(partial(_family, seed=seed), "text string, y int, h long, m long")
-        sample = family.groupBy("m").agg(F.min(F.struct("h", "y", "text")).alias("x")).select("x.text", "x.y", "x.h")
-    sample = stash(sample.select("text", "y").repartition(16), "toxic-sample")
     counted = sample.mapInPandas(count, "entry string, pos long, neg long").groupBy("entry").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
     counted = stash(counted, "toxic-entries")
     total = counted.where("entry = ''").collect()
@@ -187,15 +194,16 @@ def fit(docs: DataFrame, label: Column, text: str = "text", exceptions=(), rows:
     return lexicon
 
 
-def _family(batches, seed: int):
-    """Adds the least hash of a text's runs of three words, which near copies share most often."""
+def _families(batches):
+    """For each seed the least hash of a text's runs of three words, which near copies share most often."""
     for b in batches:
-        least = []
+        least: list = [[] for _ in FAMILIES]
         for t in b["text"]:
             w = (t or "").split()
-            least.append(min((xxhash.xxh64_intdigest(" ".join(w[i : i + 3]), seed) for i in range(max(1, len(w) - 2))), default=0) >> 1)
-        b["m"] = least
-        yield b
+            runs = {" ".join(w[i : i + 3]) for i in range(max(1, len(w) - 2))}
+            for k, out in zip(FAMILIES, least, strict=True):
+                out.append(min(xxhash.xxh64_intdigest(r, k) for r in runs) >> 1)
+        yield b[["_key", "y", "h"]].assign(**{f"m{k}": x for k, x in zip(FAMILIES, least, strict=True)})
 
 
 def _prune(found: dict, n1: int, n0: int, least: int) -> dict[str, float]:
