@@ -82,3 +82,8 @@ def mix64(x: np.ndarray) -> np.ndarray:
 def crc_mod(column: str, n: int):
     """crc32 of the id as text, modulo n; null ids count as the text ''."""
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit(""))) % n
+
+
+def small(df: DataFrame, row_bytes: int) -> DataFrame:
+    """`df` (a written table) marked for broadcast if its counted rows stay below BROADCAST_BYTES; else as it is, for a shuffle join."""
+    return F.broadcast(df) if df.count() * row_bytes < BROADCAST_BYTES else df
