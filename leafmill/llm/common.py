@@ -62,7 +62,7 @@ def write_atomically(uri: str, write) -> None:
     system, path = open_fs(uri)
     system.create_dir(path.rpartition("/")[0], recursive=True)
     part = f"{path}.{uuid.uuid4().hex}.part"
-    with system.open_output_stream(part) as sink:
+    with system.open_output_stream(part, compression=None) as sink:
         write(sink)
     system.move(part, path)
 
