@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stash, text_words
+from .common import small, stash, text_words
 
 #: Words of a window.
 WINDOW = 10
@@ -32,7 +32,7 @@ PHRASES_MOST = 200_000
 #: Empty places between two texts of a segment, so that no match, with a slop of half of it at most, spans two.
 GAP = 64
 
-SEGMENT = "segment string, ids array<{kind}>, lengths array<int>, terms array<int>, counts array<int>, postings binary"
+SEGMENT = "segment string, ids array<{kind}>, hashes array<long>, lengths array<int>, terms array<int>, counts array<int>, postings binary"
 
 
 def phrases(items: DataFrame, key: str, text: str, window: int = WINDOW) -> DataFrame:
@@ -57,7 +57,7 @@ def phrases(items: DataFrame, key: str, text: str, window: int = WINDOW) -> Data
 def build_index(docs: DataFrame, key: str, text: str, terms: list[bytes], segment_words: int = SEGMENT_WORDS) -> DataFrame:
     """Writes the positional index of `terms` over all texts; words of other terms take up places but have no postings."""
     spark = docs.sparkSession
-    rows = docs.select(F.col(key).alias("id"), F.col(text).cast("string").alias("text"))
+    rows = docs.select(F.col(key).alias("id"), F.col(text).cast("string").alias("text"), F.xxhash64(F.col(text).cast("string")).alias("hash"))
     kind = rows.schema["id"].dataType.simpleString()
     sent = spark.sparkContext.broadcast(terms)
 
@@ -66,7 +66,7 @@ def build_index(docs: DataFrame, key: str, text: str, terms: list[bytes], segmen
 
         number = {w: k for k, w in enumerate(sent.value)}
         part, made = TaskContext.get().partitionId(), 0
-        id_type, ids, lengths, parts = None, [], [], []
+        id_type, ids, hashes, lengths, parts = None, [], [], [], []
 
         def segment():
             places = np.concatenate(parts)
@@ -76,19 +76,20 @@ def build_index(docs: DataFrame, key: str, text: str, terms: list[bytes], segmen
             ordered = where[order]
             step = np.diff(ordered, prepend=np.int32(0))
             step[first] = ordered[first]
-            schema = pa.schema([("segment", pa.string()), ("ids", pa.list_(id_type)), ("lengths", pa.list_(pa.int32())), ("terms", pa.list_(pa.int32())), ("counts", pa.list_(pa.int32())), ("postings", pa.binary())])
-            row = {"segment": f"{part}-{made}", "ids": ids, "lengths": lengths, "terms": found.tolist(), "counts": counts.tolist(), "postings": zstandard.ZstdCompressor(level=1).compress(step.astype("<i4").tobytes())}
+            schema = pa.schema([("segment", pa.string()), ("ids", pa.list_(id_type)), ("hashes", pa.list_(pa.int64())), ("lengths", pa.list_(pa.int32())), ("terms", pa.list_(pa.int32())), ("counts", pa.list_(pa.int32())), ("postings", pa.binary())])
+            row = {"segment": f"{part}-{made}", "ids": ids, "hashes": hashes, "lengths": lengths, "terms": found.tolist(), "counts": counts.tolist(), "postings": zstandard.ZstdCompressor(level=1).compress(step.astype("<i4").tobytes())}
             return pa.RecordBatch.from_pylist([row], schema)
 
         gap, total = np.full(GAP, -1, np.int32), 0
         for b in batches:
             id_type = b.schema.field(0).type
-            for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            for i, t, h in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
                 w = text_words(t)
                 if ids and total + len(w) > segment_words:
                     yield segment()
-                    ids, lengths, parts, made, total = [], [], [], made + 1, 0
+                    ids, hashes, lengths, parts, made, total = [], [], [], [], made + 1, 0
                 ids.append(i)
+                hashes.append(h)
                 lengths.append(len(w))
                 parts += [np.fromiter(map(number.get, w, repeat(-1)), np.int32, len(w)), gap]
                 total += len(w)
@@ -134,7 +135,7 @@ class Segment:
 
 
 def search(index: DataFrame, found: list[tuple[str, list[int]]], rarity: dict[int, int], slop: int = 0) -> DataFrame:
-    """segment, doc (its place in the segment), id, item, start, words: each occurrence of each phrase that lies within one text. start counts from the text's first word."""
+    """segment, doc (its place in the segment), id, hash (of the text), item, start, words: each occurrence of each phrase that lies within one text. start counts from the text's first word."""
     spark = index.sparkSession
     by_rarest = defaultdict(list)
     for item, phrase in found:
@@ -163,9 +164,9 @@ def search(index: DataFrame, found: list[tuple[str, list[int]]], rarity: dict[in
                 if hits:
                     ids = row["ids"].values
                     doc, item, start, words = zip(*hits, strict=True)
-                    yield pa.RecordBatch.from_arrays([pa.array([row["segment"].as_py()] * len(hits)), pa.array(doc, pa.int32()), ids.take(pa.array(doc)).cast(id_type), pa.array(item, pa.string()), pa.array(start, pa.int32()), pa.array(words, pa.int32())], ["segment", "doc", "id", "item", "start", "words"])
+                    yield pa.RecordBatch.from_arrays([pa.array([row["segment"].as_py()] * len(hits)), pa.array(doc, pa.int32()), ids.take(pa.array(doc)).cast(id_type), row["hashes"].values.take(pa.array(doc)), pa.array(item, pa.string()), pa.array(start, pa.int32()), pa.array(words, pa.int32())], ["segment", "doc", "id", "hash", "item", "start", "words"])
 
-    return index.mapInArrow(run, f"segment string, doc int, id {kind}, item string, start int, words int")
+    return index.mapInArrow(run, f"segment string, doc int, id {kind}, hash long, item string, start int, words int")
 
 
 def matches(docs: DataFrame, items: DataFrame, key: str = "doc_id", item_key: str = "item_id", text: str = "text", window: int = WINDOW, slop: int = 0) -> tuple[DataFrame, DataFrame]:
@@ -209,3 +210,9 @@ def digest(index: DataFrame, found: DataFrame, key: str = "doc_id") -> DataFrame
     told = found.groupBy("segment", "doc").applyInArrow(run, "segment string, doc int, n_hit long, n_items long, items_sha256 string")
     out = docs.join(told, ["segment", "doc"], "left")
     return out.select(F.col("id").alias(key), "n_words", F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"), F.coalesce("n_items", F.lit(0).cast("long")).alias("n_items"), F.coalesce("items_sha256", F.lit(hashlib.sha256(b"").hexdigest())).alias("items_sha256"), F.col("n_hit").isNotNull().alias("contaminated"))
+
+
+def clean_only(docs: DataFrame, found: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of `docs` without a match; rows that share a key are told apart by their texts."""
+    hit = stash(found.select(F.col("id").alias("__id"), F.col("hash").alias("__hash")).distinct(), "contaminated")
+    return docs.join(small(hit, 32), F.col(key).eqNullSafe(F.col("__id")) & (F.xxhash64(F.col(text).cast("string")) == F.col("__hash")), "left_anti")

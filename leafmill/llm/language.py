@@ -10,6 +10,7 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -146,8 +147,6 @@ def fit(docs: DataFrame, lang: str = "lang", text: str = "text", rows: int = 2_0
     picked = rows_of.withColumn("share", F.element_at(share, F.col("lang"))).where("share IS NOT NULL AND pmod(xxhash64(text, lang), 1000000) < share * 1000000")
 
     def count(batches):
-        import pandas as pd
-
         gathered: dict = {}
         for b in batches:
             for name, value in zip(b["lang"], b["text"], strict=True):
@@ -198,3 +197,15 @@ def predict(docs: DataFrame, filters: Filters, keys: list[str], text: str = "tex
     rows = docs.select(*keys, F.col(text).cast("string").alias("_text"))
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "_text")
     return rows.mapInPandas(run, f"{fields}, lang_pred string, score double")
+
+
+def known_only(docs: DataFrame, filters: Filters, text: str = "text") -> DataFrame:
+    """The rows of `docs` that have a language: all but those with a null text or without a letter."""
+    sent = docs.sparkSession.sparkContext.broadcast(filters)
+
+    def run(texts: pd.Series) -> pd.Series:
+        return pd.Series([sent.value.predict(t)[0] for t in texts], dtype=object)
+
+    # Marked as nondeterministic, the function runs once for each row, not once for the filter and once for the column.
+    found = F.pandas_udf(run, "string").asNondeterministic()
+    return docs.withColumn("__lang", found(F.col(text).cast("string"))).where(F.col("__lang") != UNDETERMINED).select(docs.columns)

@@ -87,6 +87,21 @@ def route(capacity: dict, members: dict, quota: dict, copies: int) -> dict:
     return {(p, s): flow for p in capacity for s in members[p] if (flow := cap[("source", s), ("pattern", p)]) > 0}
 
 
+def _marked(docs: DataFrame, members: Column, size: Column, key: str, seed: int) -> DataFrame:
+    """`docs` with what the plan is made for: the pattern, the size and the seeded hash, under names of their own."""
+    ready = docs.withColumns({"__members": F.array_sort(F.array_distinct(members)), "__size": size.cast("long"), "__h": F.xxhash64(F.col(key), F.lit(seed))})
+    return ready.withColumn("__pattern", F.to_json("__members"))
+
+
+def _early() -> Column:
+    """Whether a row's hash comes before its pattern's edge."""
+    return (F.col("shift") < 63) & (F.expr("shiftright(shiftright(h, 1) & 9223372036854775807, shift)") < F.col("prefix"))
+
+
+def _copies(limit: int) -> Column:
+    return F.when(F.col("size") > 0, F.least(F.col("base") + (_early() | F.array_contains("extra", F.col("h"))).cast("int"), F.lit(limit))).otherwise(0)
+
+
 def mix(docs: DataFrame, members: Column, size: Column, weights, budget_share: float, limit: int, seed: int = 17, most_patterns: int = 20_000, key: str = "doc_id") -> DataFrame:
     """One row per document: the key, `members`, `size`, `copies`, `taken` (words the mix takes, repeats counted), `plan` (by source: size, target, words routed).
 
@@ -94,9 +109,25 @@ def mix(docs: DataFrame, members: Column, size: Column, weights, budget_share: f
     what the driver holds; more than `most_patterns` is an error, as their number is a property of the sources and not of
     the documents. A null text or an empty one has size 0 and is taken 0 times. Documents with equal keys are taken alike.
     """
+    rows, plans = _planned(docs, members, size, weights, budget_share, limit, seed, most_patterns, key)
+    return rows.join(plans, "pattern").select(F.col("key").alias(key), "members", "size", _copies(limit).alias("copies"), (_copies(limit) * F.col("size")).alias("taken"), "plan")
+
+
+def take(docs: DataFrame, members: Column, size: Column, weights, budget_share: float, limit: int, seed: int = 17, most_patterns: int = 20_000, key: str = "doc_id") -> DataFrame:
+    """The rows of `docs` as the mix takes them, a row for each copy. Decisions are computed beside the rows; no text is shuffled."""
+    _, plans = _planned(docs, members, size, weights, budget_share, limit, seed, most_patterns, key)
+    plan = plans.select(F.col("pattern").alias("__pattern"), F.struct("prefix", "shift", "base", "extra").alias("__plan"))
+    marked = _marked(docs, members, size, key, seed)
+    early = (F.col("__plan.shift") < 63) & (F.expr("shiftright(shiftright(__h, 1) & 9223372036854775807, __plan.shift)") < F.col("__plan.prefix"))
+    copies = F.when(F.col("__size") > 0, F.least(F.col("__plan.base") + (early | F.array_contains("__plan.extra", F.col("__h"))).cast("int"), F.lit(limit))).otherwise(0)
+    return marked.join(plan, "__pattern").withColumn("__copy", F.explode(F.array_repeat(F.lit(1), copies))).select(docs.columns)
+
+
+def _planned(docs, members, size, weights, budget_share, limit, seed, most_patterns, key):
+    """The written rows (key, members, size, h, pattern), and a row for each pattern: where its hashes are cut."""
     spark = docs.sparkSession
-    rows = docs.select(F.col(key), F.array_sort(F.array_distinct(members)).alias("members"), size.cast("long").alias("size"), F.xxhash64(F.col(key), F.lit(seed)).alias("h"))
-    rows = stash(rows.withColumn("pattern", F.to_json("members")), "mix-sizes")
+    rows = _marked(docs, members, size, key, seed)
+    rows = stash(rows.select(F.col(key).alias("key"), F.col("__members").alias("members"), F.col("__size").alias("size"), F.col("__h").alias("h"), F.col("__pattern").alias("pattern")), "mix-sizes")
     found = rows.groupBy("pattern").agg(F.first("members").alias("members"), F.sum("size").alias("words")).limit(most_patterns + 1).collect()
     if len(found) > most_patterns:
         raise ValueError(f"more than {most_patterns} membership patterns")
@@ -138,14 +169,13 @@ def mix(docs: DataFrame, members: Column, size: Column, weights, budget_share: f
         open_ -= done
 
     # What is still missing goes to the documents beyond the edge whose sizes fit best, one a round, while that comes nearer.
-    early = (F.col("shift") < 63) & (F.expr("shiftright(shiftright(h, 1) & 9223372036854775807, shift)") < F.col("prefix"))
     extra: dict = defaultdict(list)
     open_ = {p for p in capacity if rest[p]}
     for _ in range(FILLS):
         if not open_:
             break
         gaps = spark.createDataFrame([(p, prefix[p], shift[p], int(rest[p]), extra[p]) for p in sorted(open_)], "pattern string, prefix long, shift int, gap long, extra array<long>")
-        beyond = _with(rows, gaps, len(open_)).where(~early & (F.col("size") > 0) & ~F.array_contains("extra", F.col("h")))
+        beyond = _with(rows, gaps, len(open_)).where(~_early() & (F.col("size") > 0) & ~F.array_contains("extra", F.col("h")))
         best = {r.pattern: r.x for r in beyond.groupBy("pattern").agg(F.min(F.struct(F.abs(F.col("size") - F.col("gap")).alias("off"), "h", "size")).alias("x")).collect()}
         for p in list(open_):
             if p not in best or best[p].off >= rest[p]:
@@ -156,8 +186,7 @@ def mix(docs: DataFrame, members: Column, size: Column, weights, budget_share: f
             if rest[p] <= NEAR * wanted[p]:
                 open_.discard(p)
     plans = spark.createDataFrame([(p, prefix[p], shift[p], int(base[p]), extra[p], [(s, int(sizes[s]), float(targets[s]), int(flow.get((p, s), 0))) for s in patterns[p]]) for p in sorted(capacity)], "pattern string, prefix long, shift int, base int, extra array<long>, plan array<struct<source: string, source_size: long, target: double, routed: long>>")
-    copies = F.when(F.col("size") > 0, F.least(F.col("base") + (early | F.array_contains("extra", F.col("h"))).cast("int"), F.lit(limit))).otherwise(0)
-    return _with(rows, plans, len(capacity)).select(key, "members", "size", copies.alias("copies"), (copies * F.col("size")).alias("taken"), "plan")
+    return rows, F.broadcast(plans) if len(capacity) <= 5_000 else plans
 
 
 def _with(rows: DataFrame, plan: DataFrame, patterns: int) -> DataFrame:

@@ -243,12 +243,12 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: fl
 def first_of_each(docs: DataFrame, joined: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of `docs` whose key is their class's least, one of each class: of rows with one key and class, the first by a hash of the text. Texts without words all stay."""
     kept = joined.where(F.col(key).eqNullSafe(F.col("class_id")))
-    ones = stash(kept.groupBy(F.col(key).alias("_kept")).agg(F.count("*").alias("_n")), "kept")
-    rows = docs.join(small(ones, 24), F.col(key).eqNullSafe(F.col("_kept")))
-    again = rows.where("_n > 1").withColumn("_set", F.pandas_udf(_set_key, "binary")(F.col(text).cast("string")))
-    twice = stash(joined.join(small(ones.where("_n > 1"), 24), F.col(key).eqNullSafe(F.col("_kept")), "left_semi").where("set_key IS NOT NULL").select(F.col("set_key").alias("_set"), F.col("class_key").alias("_class")).distinct(), "kept-twice")
-    again = again.join(small(twice, 48), "_set", "left").withColumn("_r", F.when(F.col("_class").isNull(), 1).otherwise(F.row_number().over(Window.partitionBy("_class").orderBy(F.xxhash64(text), text))))
-    return rows.where("_n = 1").select(docs.columns).unionByName(again.where("_r = 1").select(docs.columns))
+    ones = stash(kept.groupBy(F.col(key).alias("__kept")).agg(F.count("*").alias("__n")), "kept")
+    rows = docs.join(small(ones, 24), F.col(key).eqNullSafe(F.col("__kept")))
+    again = rows.where("__n > 1").withColumn("__set", F.pandas_udf(_set_key, "binary")(F.col(text).cast("string")))
+    twice = stash(joined.join(small(ones.where("__n > 1"), 24), F.col(key).eqNullSafe(F.col("__kept")), "left_semi").where("set_key IS NOT NULL").select(F.col("set_key").alias("__set"), F.col("class_key").alias("__class")).distinct(), "kept-twice")
+    again = again.join(small(twice, 48), "__set", "left").withColumn("__r", F.when(F.col("__class").isNull(), 1).otherwise(F.row_number().over(Window.partitionBy("__class").orderBy(F.xxhash64(text), text))))
+    return rows.where("__n = 1").select(docs.columns).unionByName(again.where("__r = 1").select(docs.columns))
 
 
 def _set_key(texts: pd.Series) -> pd.Series:
