@@ -94,13 +94,11 @@ def resolve(pages: DataFrame, key: str, payload: str, least_bytes: int = 0) -> D
     return told.select("key", "url", "digest", "length", "type", F.when(F.col("type") == "revisit", F.col("best.key")).alias("to_key"), F.when(F.col("type") == "revisit", F.col("best.url")).alias("to_url"))
 
 
-def write_archives(pages: DataFrame, folder: str, key: str = "page_id", payload: str = "html", least_bytes: int = 0, archives: int | None = None) -> DataFrame:
+def write_archives(pages: DataFrame, folder: str, key: str = "page_id", payload: str = "html", least_bytes: int = 0) -> DataFrame:
     """Writes every row as a record in one of the archives; returns a row per archive: path, records, bytes.
 
-    Payloads are shuffled once, by key, to meet their headers. Within an archive records are in ascending key order.
+    Payloads are shuffled once, to meet their headers; an archive is a partition of that join. Within an archive records are in ascending key order.
     """
-    spark = pages.sparkSession
-    archives = archives or int(spark.conf.get("spark.sql.shuffle.partitions"))
     heads = stash(resolve(pages, key, payload, least_bytes), "warc-resolved")
     # Rows that share a key and a URL but not a payload are told apart by the digest.
     rows = pages.select(F.col(key).alias("key"), F.col("url").alias("url"), F.coalesce(F.encode(F.col(payload).cast("string"), "utf-8"), F.lit(b"")).alias("payload"))
@@ -108,7 +106,7 @@ def write_archives(pages: DataFrame, folder: str, key: str = "page_id", payload:
     told = heads.select(*(F.col(c).alias(f"h_{c}") for c in ("key", "url", "digest")), "type", "to_key", "to_url", "length").dropDuplicates(["h_key", "h_url", "h_digest"])
     full = rows.join(told, rows["key"].eqNullSafe(told["h_key"]) & rows["url"].eqNullSafe(told["h_url"]) & (rows["digest"] == told["h_digest"]))
     full = full.select("key", "url", "type", "to_key", "to_url", "length", F.when(F.col("type") == "response", F.col("payload")).otherwise(F.lit(b"")).alias("payload"), "digest")
-    dealt = full.repartition(archives, "key", "digest").sortWithinPartitions(F.asc_nulls_first("key"), "digest", "url")
+    dealt = full.sortWithinPartitions(F.asc_nulls_first("key"), "digest", "url")
 
     def write(batches):
         import pyarrow as pa
