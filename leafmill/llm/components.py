@@ -5,18 +5,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stash
+from .common import small, stash
+
+#: Bytes of a pair of nodes. What a hub's many edges are joined with is a written table, so that the join broadcasts it if it is small, and can split the hub's partition if it isn't.
+NODE_BYTES = 64
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.select("a", "b").unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     least = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("k"), F.least("a", "m").alias("m"))
+    least = small(stash(least, "least"), NODE_BYTES)
     return both.where("b > a").join(least, F.col("a") == F.col("k")).select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     down = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    least = down.groupBy("a").agg(F.min("b").alias("m"))
+    least = small(stash(down.groupBy("a").agg(F.min("b").alias("m")), "least"), NODE_BYTES)
     other = down.join(least.select(F.col("a").alias("k"), "m"), F.col("a") == F.col("k")).where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
     return other.unionAll(least.select("a", F.col("m").alias("b"))).distinct()
 
