@@ -1,0 +1,79 @@
+"""Small books for the tests."""
+
+from __future__ import annotations
+
+import io
+import zipfile
+
+PAGE = """<?xml version='1.0' encoding='utf-8'?>
+<!DOCTYPE html>
+<html xmlns="http://www.w3.org/1999/xhtml" xmlns:epub="http://www.idpf.org/2007/ops" lang="en" xml:lang="en">
+  <head>
+    <title>{title}</title>
+    <link href="style.css" rel="stylesheet" type="text/css"/>
+  </head>
+  <body>{body}</body>
+</html>
+"""
+
+CHAPTERS = {
+    "one.xhtml": (
+        "The Ferry",
+        """
+    <h1 id="a">The Ferry</h1>
+    <p>The boat left <em>late</em> again, and nobody on the quay was much surprised by it.<a id="r1" href="notes.xhtml#n1"><sup>1</sup></a></p>
+    <p>Turn to <a href="two.xhtml#b">the second part</a> for what the passengers did about it.</p>
+    <pre>left = "alone"</pre>
+    <p><img src="cover.png" alt="A grey boat at a pier"/></p>
+  """,
+    ),
+    "two.xhtml": (
+        "The Island",
+        """
+    <h1 id="b">The Island</h1>
+    <p>They walked all the way to the lighthouse and had their sandwiches in the rain.</p>
+  """,
+    ),
+    "notes.xhtml": (
+        "Remarks",
+        """
+    <h1>Remarks</h1>
+    <p id="n1"><a href="one.xhtml#r1">1</a> The company has since bought a newer boat with two engines.</p>
+  """,
+    ),
+}
+
+
+def page(title: str, body: str) -> bytes:
+    return PAGE.format(title=title, body=body).encode()
+
+
+def parts(chapters=None, extra=None) -> dict[str, bytes]:
+    chapters = chapters or CHAPTERS
+    items = "".join(f'    <item id="d{k}" href="{n}" media-type="application/xhtml+xml"/>\n' for k, n in enumerate(chapters))
+    refs = "".join(f'    <itemref idref="d{k}"/>\n' for k in range(len(chapters)))
+    links = "".join(f'        <li><a href="{n}">{t}</a></li>\n' for n, (t, _) in chapters.items())
+    points = "".join(f'    <navPoint id="p{k}" playOrder="{k + 1}"><navLabel><text>{t}</text></navLabel><content src="{n}"/></navPoint>\n' for k, (n, (t, _)) in enumerate(chapters.items()))
+    out = {
+        "mimetype": b"application/epub+zip",
+        "META-INF/container.xml": b'<?xml version="1.0" encoding="UTF-8"?>\n<container xmlns="urn:oasis:names:tc:opendocument:xmlns:container" version="1.0">\n  <rootfiles>\n    <rootfile full-path="OEBPS/content.opf" media-type="application/oebps-package+xml"/>\n  </rootfiles>\n</container>\n',
+        "OEBPS/content.opf": f'<?xml version="1.0" encoding="UTF-8"?>\n<package xmlns="http://www.idpf.org/2007/opf" version="3.0" unique-identifier="uid">\n  <metadata xmlns:dc="http://purl.org/dc/elements/1.1/">\n    <dc:identifier id="uid">urn:x:1</dc:identifier>\n    <dc:title>A Day Out</dc:title>\n    <dc:language>en</dc:language>\n  </metadata>\n  <manifest>\n{items}    <item id="nav" href="nav.xhtml" media-type="application/xhtml+xml" properties="nav"/>\n    <item id="ncx" href="toc.ncx" media-type="application/x-dtbncx+xml"/>\n    <item id="css" href="style.css" media-type="text/css"/>\n    <item id="img" href="cover.png" media-type="image/png"/>\n  </manifest>\n  <spine toc="ncx">\n{refs}  </spine>\n</package>\n'.encode(),
+        "OEBPS/nav.xhtml": page("A Day Out", f'\n    <nav epub:type="toc" id="toc">\n      <h2>Contents</h2>\n      <ol>\n{links}      </ol>\n    </nav>\n  '),
+        "OEBPS/toc.ncx": f'<?xml version="1.0" encoding="UTF-8"?>\n<ncx xmlns="http://www.daisy.org/z3986/2005/ncx/" version="2005-1">\n  <head><meta name="dtb:uid" content="urn:x:1"/></head>\n  <docTitle><text>A Day Out</text></docTitle>\n  <navMap>\n{points}  </navMap>\n</ncx>\n'.encode(),
+        "OEBPS/style.css": b"p { margin: 0 }",
+        "OEBPS/cover.png": b"\x89PNG\r\n\x1a\n" + bytes(64),
+    }
+    return out | {f"OEBPS/{n}": page(*c) for n, c in chapters.items()} | (extra or {})
+
+
+def archive(members: dict[str, bytes]) -> bytes:
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+        for name, data in members.items():
+            stored = name == "mimetype" or name.endswith(".png")
+            z.writestr(zipfile.ZipInfo(name) if stored else name, data, zipfile.ZIP_STORED if stored else zipfile.ZIP_DEFLATED)
+    return out.getvalue()
+
+
+def book(chapters=None, extra=None) -> bytes:
+    return archive(parts(chapters, extra))
