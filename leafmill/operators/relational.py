@@ -80,7 +80,14 @@ def drop_documents(spine: DataFrame, manifest: DataFrame, links: DataFrame, pack
         lacking = each.where(F.size("lacking") > 0).orderBy("book").limit(20).collect()
         if lacking:
             raise BookError("not in the reading order: " + ", ".join(f"{', '.join(sorted(r.lacking))} of {r.book}" for r in lacking))
-    gone = matched.select("book", "path").distinct()
+    return with_orphans(matched.select("book", "path").distinct(), manifest, links, packages)
+
+
+def with_orphans(gone: DataFrame, manifest: DataFrame, links: DataFrame, packages: DataFrame) -> DataFrame:
+    """book, path: the documents that go, and the files that nothing else needs.
+
+    links: book, name, target, of the files that can hold links; packages: book, cover (an item's id).
+    """
     kept = manifest.join(gone, ["book", "path"], "left_anti")
     readers = kept.where(F.col("is_content") | F.col("media_type").isin("text/css", "application/x-dtbncx+xml")).select("book", F.col("path").alias("name"))
     used = links.join(readers, ["book", "name"], "left_semi").select("book", F.col("target").alias("path"))

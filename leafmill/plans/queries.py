@@ -1,9 +1,339 @@
-"""The document engine's queries over the driver's tables, each with the same result in SQL."""
+"""The document engine's operators over the driver's tables, each with the same result in SQL where SQL can say it.
+
+A document is a row of `documents`, its segments are its lines; a conversation is a document too, its turns are segments,
+and the books that archive operators need are made of conversations.
+"""
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import columns as fn
+from ..functions.register import register
+from ..operators import documents as ops
+from ..operators import relational as rel
+from ..providers import Factory
+from ..shipping import ship
+from ..sources import books as src
+from ..sources.builder import make_book
+from ..tables import shared_dir, stash
+from ..translating import cache_key
+from . import engine
+
 QUERIES: dict = {}
 ORACLE: dict = {}
+
+
+def query(sql: str | None = None):
+    """Registers a function as a query, with its SQL if there is any."""
+
+    def keep(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE[f.__name__] = sql
+        return f
+
+    return keep
+
+
+def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    ship(spark)
+    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+
+
+def line_segments(docs: DataFrame) -> DataFrame:
+    """doc_id, seg_id, kind, source: the lines with words, numbered without gaps; the first is the heading."""
+    lines = docs.select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("line", "raw"))
+    found = lines.withColumn("source", fn.squeeze(F.col("raw"))).where(fn.has_words(F.col("source")))
+    kept = found.select("doc_id", (F.col("line") + 1).alias("seg_id"), F.when(F.col("line") == 0, "heading").otherwise("text").alias("kind"), "source")
+    return kept
+
+
+_SPACE = "chr(32) || chr(9) || chr(10) || chr(13) || chr(12)"
+_ADDRESS = r"(?:https?://|ftp://|www\.)\S+|[\pL\pN_.+-]+@[\pL\pN_-]+(?:\.[\pL\pN_-]+)+"
+_LINES = f"""lines AS (SELECT doc_id, i, trim(regexp_replace(parts[i], '[ \\t\\n\\r\\f]+', ' ', 'g'), {_SPACE}) AS source
+  FROM (SELECT doc_id, string_split(text, chr(10)) AS parts, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i FROM documents)),
+segs AS (SELECT doc_id, CAST(i AS INTEGER) AS seg_id, CASE WHEN i = 1 THEN 'heading' ELSE 'text' END AS kind, source FROM lines
+  WHERE regexp_matches(regexp_replace(source, '{_ADDRESS}', ' ', 'g'), '[\\p{{L}}\\p{{Nl}}\\p{{No}}]'))"""
+
+
+@query(f"WITH {_LINES} SELECT doc_id, seg_id, kind, source FROM segs")
+def segments(spark, sf_dir):
+    return line_segments(_read(spark, sf_dir, "documents"))
+
+
+@query(f"WITH {_LINES} SELECT source, text FROM (SELECT source, kind || ' ' || doc_id || ' ' || seg_id AS text, row_number() OVER (PARTITION BY source ORDER BY kind = 'text', doc_id, seg_id) AS r FROM segs) WHERE r = 1")
+def harmonize(spark, sf_dir):
+    """One wording for each source: headings first, then the first document and segment."""
+    found = line_segments(_read(spark, sf_dir, "documents"))
+    told = found.select(F.lit("all").alias("book"), "source", F.concat_ws(" ", "kind", "doc_id", "seg_id").alias("text"), F.lit(False).alias("broken"), "kind", F.col("doc_id").alias("ord"), F.col("seg_id").alias("id"))
+    return rel.harmonise(told).select("source", "text")
+
+
+def _as_documents(docs: DataFrame) -> DataFrame:
+    """book, idx, key, segments, language, book_title: what the call operator takes."""
+    found = line_segments(docs).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("seg_id", "source", "kind"))).alias("x"))
+    none, empty = F.array().cast("array<int>"), F.map_from_arrays(F.array().cast("array<int>"), F.array().cast("array<int>"))
+    packed = F.transform("x", lambda s: F.struct(s.seg_id.alias("id"), s.source.alias("source"), s.kind.alias("kind"), none.alias("pairs"), none.alias("atoms"), empty.alias("nesting")))
+    return found.select(F.col("doc_id").cast("string").alias("book"), F.lit(1).alias("idx"), F.col("doc_id").cast("string").alias("key"), packed.alias("segments"), F.lit(None).cast("string").alias("language"), F.lit(None).cast("string").alias("book_title"))
+
+
+@query(f"WITH {_LINES} SELECT doc_id, seg_id, '译：' || source AS text, CAST(1 AS INTEGER) AS requests FROM segs")
+def fake_translate(spark, sf_dir):
+    """Every document through the call operator with the marking provider."""
+    made = ops.call(_as_documents(_read(spark, sf_dir, "documents")), Factory("marking"), "zh-CN")
+    return made.select(F.col("book").cast("long").alias("doc_id"), "requests", F.explode("translations").alias("seg_id", "text"))
+
+
+def _echo_sql() -> str:
+    plain = f"regexp_replace(source, '{_ADDRESS}', ' ', 'g')"
+    return f"""WITH {_LINES}, p AS (SELECT *, {plain} AS plain FROM segs)
+SELECT doc_id, seg_id, len(regexp_extract_all(plain, '\\S+')) >= 8 AS echo_fr,
+  len(regexp_extract_all(plain, '[A-Za-z]')) >= 30 AND len(list_filter(regexp_extract_all(plain, '[A-Za-z]+'), lambda x: regexp_full_match(x, '[a-z]{{2,}}'))) >= 5 AS echo_zh,
+  len(list_distinct(list_filter(regexp_extract_all(lower(plain), '[A-Za-z]+'), lambda x: regexp_full_match(x, '[a-z]{{4,}}')))) > 1
+    AND len(regexp_extract_all(plain, '\\S+')) <= 10 AND regexp_matches(lower(plain), '^[^A-Za-z]*[a-z]{{4,}}($|[^A-Za-z])') AS half_zh
+FROM p"""
+
+
+@query(_echo_sql())
+def looks_untranslated(spark, sf_dir):
+    """The echo test on answers that repeat the source, and on answers that keep the first long word beside a Chinese one."""
+    found = line_segments(_read(spark, sf_dir, "documents"))
+    source = F.col("source")
+    plain = F.lower(F.regexp_replace(source, fn.ADDRESS, " "))
+    first = F.regexp_extract(plain, "^[^A-Za-z]*([a-z]{4,})(?![A-Za-z])", 1)
+    half = fn.looks_untranslated(source, F.concat(F.lit("本周 "), first), "zh")
+    return found.select("doc_id", "seg_id", fn.looks_untranslated(source, source, "fr").alias("echo_fr"), fn.looks_untranslated(source, source, "zh-CN").alias("echo_zh"), half.alias("half_zh"))
+
+
+@query("SELECT doc_id, CASE WHEN lang = 'en' THEN 'cached' ELSE 'todo' END AS part FROM documents")
+def cache_antijoin(spark, sf_dir):
+    """Jobs against a cache that holds the English documents; French ones are cached too, but not soundly."""
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "lang", F.sha2(F.concat_ws("\x1f", "doc_id", "text"), 256).alias("key"))
+    cache = docs.where("lang IN ('en', 'fr')").select("key", (F.col("lang") == "en").alias("sound"))
+    hits, todo = rel.split_by_cache(docs, cache, F.col("sound"))
+    return hits.select("doc_id", F.lit("cached").alias("part")).unionByName(todo.select("doc_id", F.lit("todo").alias("part")))
+
+
+@query("SELECT conv_id, sha256(string_agg(text, chr(31) ORDER BY turn)) AS key FROM conversations GROUP BY conv_id")
+def cache_key_digest(spark, sf_dir):
+    """A key for each conversation from its ordered texts, by a written separator, in the JVM."""
+    turns = _read(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "text"))).alias("x"))
+    return turns.select("conv_id", F.sha2(F.concat_ws("\x1f", F.transform("x", lambda x: x.text)), 256).alias("key"))
+
+
+@query()
+def request_key(spark, sf_dir):
+    """The cache key proper: a digest of the JSON of instructions, language, model and texts."""
+    turns = _read(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "text"))).alias("x"))
+
+    def run(texts: pd.Series) -> pd.Series:
+        return pd.Series([cache_key(list(t), "zh-CN", "marking") for t in texts])
+
+    return turns.select("conv_id", F.pandas_udf(run, "string")(F.transform("x", lambda x: x.text)).alias("key"))
+
+
+@query("SELECT conv_id, turn, idx FROM (SELECT conv_id, turn, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS INTEGER) AS idx FROM conversations) WHERE idx IN (1, 2)")
+def chapter_filter(spark, sf_dir):
+    """Reading positions are numbered without gaps, then chosen; every conversation has two turns at least."""
+    turns = _read(spark, sf_dir, "conversations").select(F.col("conv_id").alias("book"), F.col("turn").alias("ord"))
+    return rel.choose_chapters(src.numbered(turns), {1, 2}).select(F.col("book").alias("conv_id"), F.col("ord").alias("turn"), "idx")
+
+
+_REF = r"""(?:href|src)\s*=\s*["'']([^"'']+)["'']"""
+
+
+@query(f"""SELECT page_id, ref FROM (SELECT page_id, unnest(regexp_extract_all(html, '{_REF}', 1)) AS ref FROM pages)
+WHERE ref <> '' AND NOT contains(ref, '://') AND NOT starts_with(ref, '#') AND NOT starts_with(ref, 'data:') AND NOT starts_with(ref, 'mailto:')""")
+def page_links(spark, sf_dir):
+    """The links of every page as written, but for outside ones, fragments, data and mail."""
+    return _read(spark, sf_dir, "pages").select("page_id", F.explode(fn.references(F.col("html"))).alias("ref"))
+
+
+_HOST = "regexp_extract(url, '://([^/?#]*)', 1)"
+
+
+@query(f"""WITH p AS (SELECT {_HOST} AS book, 'p' || page_id AS path, regexp_matches(url, '\\.html') AS goes, html FROM pages),
+l AS (SELECT DISTINCT book, path AS name, unnest(regexp_extract_all(html, '{_REF}', 1)) AS target FROM p),
+gone AS (SELECT book, path FROM p WHERE goes),
+orphans AS (SELECT l.book, target AS path FROM l JOIN gone ON l.book = gone.book AND l.name = gone.path
+  EXCEPT SELECT book, target FROM l WHERE (book, name) NOT IN (SELECT (book, path) FROM gone))
+SELECT * FROM gone UNION SELECT * FROM orphans""")
+def orphans(spark, sf_dir):
+    """Pages as the documents of a book for each host, their links as its files: pages written as .html go, with what only they point to."""
+    pages = _read(spark, sf_dir, "pages").select(F.regexp_extract("url", "://([^/?#]*)", 1).alias("book"), F.concat(F.lit("p"), "page_id").alias("path"), F.col("url").rlike(r"\.html").alias("goes"), "html")
+    links = pages.select("book", F.col("path").alias("name"), F.explode(F.array_distinct(fn.references(F.col("html")))).alias("target"))
+    listed = pages.select("book", "path", F.lit(True).alias("is_content")).unionByName(links.select("book", F.col("target").alias("path"), F.lit(False).alias("is_content")).distinct())
+    manifest = listed.select("book", F.col("path").alias("id"), "path", F.lit("").alias("media_type"), F.array().cast("array<string>").alias("properties"), "is_content")
+    packages = pages.select("book", F.lit(None).cast("string").alias("cover")).distinct()
+    return rel.with_orphans(pages.where("goes").select("book", "path"), manifest, links, packages)
+
+
+@query("SELECT page_id, 'unparseable' AS status, CAST(0 AS INTEGER) AS n_segments FROM pages")
+def parse_status(spark, sf_dir):
+    """Every page through the extraction operator: tag soup is a row with a status, not an error."""
+    pages = _read(spark, sf_dir, "pages").select(F.lit("web").alias("book"), F.col("page_id").cast("int").alias("idx"), F.col("url").alias("path"), F.encode("html", "utf-8").alias("data"))
+    return ops.extract(pages, "zh-CN", "marking").select(F.col("idx").cast("long").alias("page_id"), "status", F.size("segments").alias("n_segments"))
+
+
+@query("""WITH m AS (SELECT conv_id, turn, role, CASE WHEN turn = lag(turn) OVER w + 1 AND role IS NOT DISTINCT FROM lag(role) OVER w THEN 0 ELSE 1 END AS n FROM (SELECT conv_id, turn, CASE WHEN role = 'system' THEN 'user' ELSE role END AS role FROM conversations) WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
+r AS (SELECT *, sum(n) OVER (PARTITION BY conv_id ORDER BY turn) AS run FROM m)
+SELECT conv_id, min(turn) AS first_pos, min(turn) AS seg, max(turn) AS last_seg, min(role) AS kind, '' AS detail FROM r GROUP BY conv_id, run""")
+def issue_runs(spark, sf_dir):
+    """Turns as issues, their roles as kinds (a system turn counts as the user's): runs of consecutive turns of one kind."""
+    turns = _read(spark, sf_dir, "conversations").select("conv_id", F.col("turn").alias("pos"), F.col("turn").alias("seg"), F.when(F.col("role") == "system", "user").otherwise(F.col("role")).alias("kind"), F.lit("").alias("detail"))
+    return rel.issue_runs(turns, ["conv_id"])
+
+
+@query("""SELECT source AS book, count(*) AS documents, count(*) FILTER (lang IN ('en', 'fr')) AS done, count(*) FILTER (lang = 'fr') AS cached, CAST(sum(n_chars) AS BIGINT) AS segments,
+  CAST(sum(CASE WHEN lang = 'fr' THEN 0 ELSE 1 END) AS BIGINT) AS requests, CAST(count(*) FILTER (lang IN ('de', 'es')) AS BIGINT) AS issues, count(*) FILTER (lang = 'de') = 0 AS ok FROM documents GROUP BY source""")
+def report_counts(spark, sf_dir):
+    """Run counts by source: English documents count as translated, French as cached, German as failed, Spanish as echoes."""
+    lang = F.col("lang")
+    status = F.when(lang == "en", "translated").when(lang == "fr", "cached").otherwise("failed")
+    issue = lambda kind: F.array(F.struct(F.lit(1).alias("seg"), F.lit(kind).alias("kind"), F.lit("").alias("detail")))
+    issues = F.when(lang == "de", issue("missing")).when(lang == "es", issue("untranslated")).otherwise(F.array().cast(f"array<{ops.ISSUE}>"))
+    docs = _read(spark, sf_dir, "documents").select(F.col("source").alias("book"), F.lit(1).alias("idx"), status.alias("status"), F.col("n_chars").alias("segments"), issues.alias("issues"), F.when(lang == "fr", 0).otherwise(1).alias("requests"))
+    return rel.run_counts(docs)
+
+
+@query("""WITH d AS (SELECT doc_id, replace(replace(text, '<', ' '), chr(10), ' ') AS t FROM documents)
+SELECT doc_id, CAST(pos AS INTEGER) AS pos, kind, text, CAST(n AS INTEGER) AS n FROM (
+ SELECT doc_id, 0 AS pos, 'open' AS kind, NULL AS text, 1 AS n FROM d UNION ALL SELECT doc_id, 1, 'text', t, NULL FROM d
+ UNION ALL SELECT doc_id, 2, 'close', NULL, 1 FROM d UNION ALL SELECT doc_id, 3, 'atom', NULL, 2 FROM d)""")
+def tokens(spark, sf_dir):
+    """Every text between placeholders, cut into tokens by the table function, with sloppy spellings of the placeholders."""
+    register(spark)
+    docs = _read(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("<x1>"), F.translate("text", "<\n", "  "), F.lit("</ X1 >< x2 />")).alias("marked"))
+    docs.createOrReplaceTempView("marked_documents")
+    return spark.sql("SELECT doc_id, t.pos, t.kind, t.text, t.n FROM marked_documents, LATERAL segment_tokens(marked) t")
+
+
+_VARIANTS = {"en": "<x1>{t}</x1><x2/>", "fr": "{t}<x2/>", "de": "<x1>{t}</x1>", "es": "<x1></x1>{t}<x2/>"}
+
+
+def _marked(docs: DataFrame) -> DataFrame:
+    """doc_id, text: texts with one of four placements of a pair x1 and an object x2, by language."""
+    t = F.translate("text", "<", " ")
+    out = F.lit(None).cast("string")
+    for lang, form in _VARIANTS.items():
+        before, after = form.split("{t}")
+        out = F.when(F.col("lang") == lang, F.concat(F.lit(before), t, F.lit(after))).otherwise(out)
+    return docs.select("doc_id", "lang", out.alias("marked"))
+
+
+@query("""SELECT doc_id, CASE lang WHEN 'en' THEN [] WHEN 'fr' THEN ['placeholder x1 is missing'] WHEN 'de' THEN ['placeholder x2 is missing'] ELSE ['<x1> wraps no words'] END AS faults FROM documents WHERE lang IN ('en', 'fr', 'de', 'es')""")
+def check(spark, sf_dir):
+    """Placeholder faults of every marked text."""
+    register(spark)
+    _marked(_read(spark, sf_dir, "documents")).where("marked IS NOT NULL").createOrReplaceTempView("marked_texts")
+    return spark.sql("SELECT doc_id, placeholder_faults(array(1), array(2), map(1, 0, 2, 0), marked) AS faults FROM marked_texts")
+
+
+@query(f"""SELECT doc_id, trim(replace(text, '<', ' ') || CASE WHEN lang = 'de' THEN '<x2/>' ELSE '<x2/>' END, {_SPACE}) AS text FROM documents WHERE lang IN ('en', 'fr', 'de', 'es')""")
+def salvage(spark, sf_dir):
+    """Every marked text salvaged: the pair falls away, the object stays once."""
+    register(spark)
+    _marked(_read(spark, sf_dir, "documents")).where("marked IS NOT NULL").createOrReplaceTempView("marked_texts")
+    return spark.sql("SELECT doc_id, salvage_text(array(1), array(2), marked) AS text FROM marked_texts")
+
+
+@query("SELECT doc_id, CAST(1 AS INTEGER) AS seg_id, '译：' || text AS text FROM documents")
+def parse_answers(spark, sf_dir):
+    """Every text as a fenced answer with chatter around it, read by the tolerant parser."""
+    register(spark)
+    answer = F.concat(F.lit("Here you are:\n"), F.to_json(F.struct(F.array(F.struct(F.lit("1").alias("id"), F.concat(F.lit("译："), "text").alias("text"))).alias("translations"))), F.lit("\nThat is all."))
+    _read(spark, sf_dir, "documents").select("doc_id", answer.alias("answer")).createOrReplaceTempView("model_answers")
+    return spark.sql("SELECT doc_id, explode(parse_answer(answer)) AS (seg_id, text) FROM model_answers")
+
+
+@query(f"SELECT page_id, ref, ref AS member FROM (SELECT page_id, unnest(regexp_extract_all(html, '{_REF}', 1)) AS ref FROM pages) WHERE starts_with(ref, '/') AND NOT contains(ref, '%') AND NOT contains(ref, '#')")
+def resolve_paths(spark, sf_dir):
+    """Links resolved against their page; rooted ones stay what they are."""
+    register(spark)
+    links = _read(spark, sf_dir, "pages").select("page_id", F.explode(fn.references(F.col("html"))).alias("ref")).where("startswith(ref, '/') AND NOT contains(ref, '%') AND NOT contains(ref, '#')")
+    links.createOrReplaceTempView("page_refs")
+    return spark.sql("SELECT page_id, ref, resolve_path('OEBPS/text/page.xhtml', ref) AS member FROM page_refs")
+
+
+@query("SELECT event_id, CASE WHEN s IN (401, 402, 403, 404) THEN 'fatal' WHEN s >= 500 OR s IN (408, 409, 425, 429) THEN 'retry' ELSE 'request' END AS kind FROM (SELECT event_id, 400 + event_id % 200 AS s FROM events)")
+def status_kinds(spark, sf_dir):
+    """What an HTTP status allows, for a status made from each event."""
+    return _read(spark, sf_dir, "events").select("event_id", fn.kind_of_status(F.lit(400) + F.col("event_id") % 200).alias("kind"))
+
+
+@query("SELECT doc_id, CASE lang WHEN 'en' THEN 'English' WHEN 'fr' THEN 'French' WHEN 'de' THEN 'German' WHEN 'es' THEN 'Spanish' ELSE lang END AS language FROM documents")
+def language_names(spark, sf_dir):
+    return _read(spark, sf_dir, "documents").select("doc_id", fn.language_name(F.concat(F.upper("lang"), F.lit("_XX"))).alias("language"))
+
+
+@query("SELECT doc_id, CASE WHEN length(t) > 60 THEN t[1:59] || '…' ELSE t END AS title FROM (SELECT doc_id, string_split(text, chr(10))[1] AS t FROM documents)")
+def display_titles(spark, sf_dir):
+    """First lines as titles, cut for display."""
+    return _read(spark, sf_dir, "documents").select("doc_id", fn.shortened(F.split("text", "\n", -1)[0]).alias("title"))
+
+
+@query("SELECT text AS source, CAST(row_number() OVER (ORDER BY conv_id, turn) AS BIGINT) > 0 AS kept, conv_id, turn FROM (SELECT text, conv_id, turn, row_number() OVER (PARTITION BY text ORDER BY conv_id, turn) AS r FROM conversations) WHERE r = 1")
+def distinct_labels(spark, sf_dir):
+    """Each distinct text at its first place: what a contents request asks for once."""
+    turns = _read(spark, sf_dir, "conversations")
+    first = rel.first_wording(turns.withColumn("place", F.struct("conv_id", "turn")), ["text"], "place", [F.col("conv_id"), F.col("turn")])
+    return first.select(F.col("text").alias("source"), F.lit(True).alias("kept"), "place.conv_id", "place.turn")
+
+
+@query("""WITH m AS (SELECT text AS source, min_by(conv_id, conv_id * 100000 + turn) AS first_conv FROM conversations WHERE role = 'assistant' GROUP BY text)
+SELECT c.conv_id, c.turn, m.first_conv, m.first_conv IS NOT NULL AS known FROM conversations c LEFT JOIN m ON c.text = m.source""")
+def label_memory(spark, sf_dir):
+    """Labels against the memory of assistants' texts: known ones are filled, the others are what is asked for."""
+    turns = _read(spark, sf_dir, "conversations")
+    memory = rel.first_wording(turns.where("role = 'assistant'").withColumnRenamed("text", "source"), ["source"], "conv_id", [F.col("conv_id"), F.col("turn")]).withColumnRenamed("conv_id", "first_conv")
+    return turns.join(memory, turns["text"] == memory["source"], "left").select("conv_id", "turn", "first_conv", F.col("first_conv").isNotNull().alias("known"))
+
+
+@query("SELECT doc_id AS key, source AS name, n_chars AS created FROM documents QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY n_chars DESC) = 1")
+def cache_upsert(spark, sf_dir):
+    """The newest row of each key: every document is written twice, the second time later."""
+    docs = _read(spark, sf_dir, "documents").select(F.col("doc_id").alias("key"), F.col("source").alias("name"), F.col("n_chars").alias("created"))
+    return rel.latest(docs.withColumns({"created": F.col("created") - 1, "name": F.lit("old")}).unionByName(docs), "key", "created").select("key", "name", "created")
+
+
+def conversation_books(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """book, content: an archive for each conversation, a chapter for each turn. A conversation fits a task."""
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("turn")
+        number = rows["conv_id"].iloc[0]
+        return pd.DataFrame({"book": [f"mem:/conversation-{number}.epub"], "content": [make_book(f"Conversation {number}", "en", [(f"Turn {t}", [x]) for t, x in zip(rows["turn"], rows["text"], strict=True)])]})
+
+    return _read(spark, sf_dir, "conversations").select("conv_id", "turn", "text").groupBy("conv_id").applyInPandas(run, "book string, content binary")
+
+
+_BOOK = "'mem:/conversation-' || conv_id || '.epub'"
+_IDX = "CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS INTEGER)"
+
+
+@query(f"""SELECT book, name, CAST(ord AS INTEGER) AS ord FROM (SELECT {_BOOK} AS book, 'OEBPS/c' || lpad(CAST({_IDX} AS VARCHAR), 4, '0') || '.xhtml' AS name, {_IDX} + 3 AS ord FROM conversations
+UNION ALL SELECT book, x.name, x.ord FROM (SELECT DISTINCT {_BOOK} AS book FROM conversations), (VALUES ('mimetype', 0), ('META-INF/container.xml', 1), ('OEBPS/content.opf', 2), ('OEBPS/nav.xhtml', 3)) x(name, ord))""")
+def archive_members(spark, sf_dir):
+    """The members of every conversation's archive, in their order."""
+    return src.members(conversation_books(spark, sf_dir)).select("book", "name", "ord")
+
+
+@query(f"SELECT {_BOOK} AS book, {_IDX} AS idx, 'OEBPS/c' || lpad(CAST({_IDX} AS VARCHAR), 4, '0') || '.xhtml' AS path FROM conversations")
+def reading_order(spark, sf_dir):
+    """The reading order of every archive: references joined with the manifest and the members."""
+    made = stash(conversation_books(spark, sf_dir), "conversation-books")
+    packages, members = src.packages(made), src.members(made)
+    return src.numbered(src.spine(packages, src.manifest(packages), members)).select("book", "idx", "path")
+
+
+@query(f"""SELECT book, idx, status, segments, requests FROM (
+ SELECT {_BOOK} AS book, {_IDX} AS idx, 'translated' AS status, CAST(1 + CAST(regexp_matches(text, '[\\p{{L}}\\p{{Nl}}\\p{{No}}]') AS INTEGER) AS INTEGER) AS segments, CAST(1 AS INTEGER) AS requests FROM conversations
+ UNION ALL SELECT DISTINCT {_BOOK}, CAST(0 AS INTEGER), 'translated', CAST(1 AS INTEGER), CAST(1 AS INTEGER) FROM conversations)""")
+def translate_books(spark, sf_dir):
+    """Every conversation's archive through the whole engine with the marking provider: the reports."""
+    made = stash(conversation_books(spark, sf_dir), "conversation-books")
+    o = engine.Options("zh-CN", Factory("marking"), shared_dir(spark, "cache"), shared_dir(spark, "out"), wave=1_000_000)
+    return engine.translate(made, o).reports.select("book", "idx", "status", "segments", "requests")
