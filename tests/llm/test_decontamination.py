@@ -1,0 +1,78 @@
+from __future__ import annotations
+
+import hashlib
+import re
+from collections import defaultdict
+
+from leafmill.llm import decontaminate as m
+from leafmill.llm.queries_decontaminate import op4_decontamination
+
+WORD = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
+
+
+def lower(t):
+    return "".join(c.lower() if "A" <= c <= "Z" else c for c in t or "")
+
+
+def brute(docs, items):
+    runs = set()
+    for i, t in items:
+        w = WORD.findall(lower(t))
+        runs |= {("" if i is None else str(i), tuple(w[k : k + 10])) for k in range(max(1, len(w) - 9) if w else 0)}
+    by_run = defaultdict(set)
+    for i, run in runs:
+        by_run[run].add(i)
+    out = []
+    for d, t in docs:
+        w, hit, found = WORD.findall(lower(t)), set(), set()
+        for n in {len(r) for r in by_run}:
+            for k in range(len(w) - n + 1):
+                if (run := tuple(w[k : k + n])) in by_run:
+                    hit |= set(range(k, k + n))
+                    found |= by_run[run]
+        out.append((d, len(w), len(hit), len(found), hashlib.sha256(",".join(sorted(found)).encode()).hexdigest(), bool(hit)))
+    return sorted(out, key=str)
+
+
+def rows(df, *columns):
+    return [tuple(r) for r in df.select(*columns).collect()]
+
+
+def test_query_by_brute_force(spark):
+    from tests_llm_data import table
+
+    docs, items = table(spark, "documents"), table(spark, "benchmark")
+    got = sorted(map(tuple, op4_decontamination(spark, "", docs, items).collect()), key=str)
+    expected = brute(rows(docs, "doc_id", "text"), rows(items, "item_id", "text"))
+    assert got == expected and any(r[5] for r in got)
+
+
+def test_awkward_rows_in_both_tables(spark, awkward, empty, monkeypatch):
+    monkeypatch.setattr(m, "SEGMENT_WORDS", 200)
+    items = spark.createDataFrame([(1, None), (2, ""), (None, "one two THREE"), (3, "two, three"), (3, "12345"), (4, "..."), (5, awkward.where("doc_id = 7").first().text), (6, "字 😀")], "item_id long, text string")
+    expected = brute(rows(awkward, "doc_id", "text"), rows(items, "item_id", "text"))
+    assert sorted(map(tuple, op4_decontamination(spark, "", awkward, items).collect()), key=str) == expected
+    assert op4_decontamination(spark, "", empty, items).collect() == []
+    nothing = op4_decontamination(spark, "", awkward, spark.createDataFrame([], "item_id long, text string")).collect()
+    assert len(nothing) == awkward.count() and not any(r.contaminated for r in nothing)
+
+
+def test_blocks_of_phrases_give_the_same(spark, awkward, monkeypatch):
+    items = spark.createDataFrame([(1, "one two three"), (2, awkward.where("doc_id = 8").first().text[5000:5600]), (3, awkward.where("doc_id = 7").first().text)], "item_id long, text string")
+    whole = sorted(map(tuple, op4_decontamination(spark, "", awkward, items).collect()), key=str)
+    monkeypatch.setattr(m, "PHRASES_MOST", 20)
+    assert sorted(map(tuple, op4_decontamination(spark, "", awkward, items).collect()), key=str) == whole
+
+
+def test_proximity(spark):
+    docs = spark.createDataFrame([(1, "alpha x beta gamma"), (2, "alpha beta gamma"), (3, "gamma far far far far beta alpha"), (4, "alpha"), (5, "beta gamma")], "doc_id long, text string")
+    items = spark.createDataFrame([(1, "alpha beta gamma")], "item_id long, text string")
+    near = lambda slop: sorted({r.id for r in m.matches(docs, items, slop=slop)[1].collect()})
+    assert near(0) == [2] and near(1) == [1, 2]
+
+
+def test_clean_only(spark, awkward):
+    items = spark.createDataFrame([(1, "one two three")], "item_id long, text string")
+    kept = m.clean_only(awkward, m.matches(awkward, items)[1])
+    assert kept.columns == awkward.columns
+    assert kept.count() == awkward.count() - 2 and not kept.where("doc_id IN (10, 11)").count()
