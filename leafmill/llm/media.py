@@ -129,8 +129,8 @@ def store(docs: DataFrame, key: str = "doc_id", text: str = "text") -> tuple[Dat
 
     found = stash(rows.mapInArrow(manifest, f"id {kind}, medium binary, n_bytes long, list array<binary>"), "media-manifest")
     # Of equal media one document writes the chunks: the one with the least id; which row of repeated ids does is settled where it is read.
-    media = found.groupBy("medium").agg(F.count("*").alias("n"), F.min("id").alias("writer"))
-    lists = found.join(small(stash(media.where("n > 1"), "media-repeated"), 48), "medium", "left")
+    repeated = stash(found.groupBy("medium").agg(F.count("*").alias("n"), F.min("id").alias("writer")).where("n > 1").select("medium", "writer"), "media-repeated")
+    lists = found.join(small(repeated, 48), "medium", "left")
     lists = lists.where(F.col("writer").isNull() | F.col("id").eqNullSafe(F.col("writer"))).select("medium", F.explode(F.arrays_zip("list", F.sequence(F.lit(0), F.size("list") - 1).alias("place"))).alias("x")).select("medium", F.col("x.list").alias("digest"), F.col("x.place").alias("place")).distinct()
     lists = stash(lists, "media-chunks")
     owners = lists.groupBy("digest").agg(F.min(F.struct("medium", "place")).alias("owner"), F.count("*").alias("n")).where("n > 1").select("digest", "owner")
@@ -138,8 +138,10 @@ def store(docs: DataFrame, key: str = "doc_id", text: str = "text") -> tuple[Dat
     roles = lists.join(small(owners, 80), "digest").withColumn("own", (F.col("owner.medium") == F.col("medium")) & (F.col("owner.place") == F.col("place")))
     # By medium: the places whose chunks are referred to from elsewhere (owned here) and those that are owned elsewhere.
     roles = roles.groupBy("medium").agg(F.collect_list(F.when(F.col("own"), F.col("place"))).alias("shared"), F.collect_list(F.when(~F.col("own"), F.col("place"))).alias("foreign"))
-    special = found.select("id", "medium").join(media.where("n > 1").select("medium", "writer"), "medium", "left").join(roles, "medium", "left").where("writer IS NOT NULL OR shared IS NOT NULL")
-    special = stash(special.select(F.col("id").alias("_id"), F.col("medium").alias("_medium"), (F.col("writer").isNull() | F.col("id").eqNullSafe(F.col("writer"))).alias("writes"), "shared", "foreign").distinct(), "media-roles")
+    # What there is to know of a medium is a written table with a row for each, so that the join with all documents broadcasts it if it is small, and can split a medium with very many copies if it isn't.
+    known = stash(repeated.withColumn("repeated", F.lit(True)).join(roles, "medium", "full"), "media-known")
+    special = found.select("id", "medium").join(small(known, 120), "medium")
+    special = special.select(F.col("id").alias("_id"), F.col("medium").alias("_medium"), (F.col("repeated").isNull() | F.col("id").eqNullSafe(F.col("writer"))).alias("writes"), "shared", "foreign").distinct()
 
     # Documents of equal id may have several media, so what the join brings is a map by medium.
     by_id = special.groupBy("_id").agg(F.collect_list(F.struct("_medium", "writes", F.coalesce("shared", F.array().cast("array<int>")).alias("shared"), F.coalesce("foreign", F.array().cast("array<int>")).alias("foreign"))).alias("roles"))
@@ -223,5 +225,5 @@ def media(stored: DataFrame, then, schema: str) -> DataFrame:
 def features(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Per document: the key, n_bytes, and the facts of its medium as read back from the chunk store."""
     stored, manifest = store(docs, key, text)
-    told = stash(media(stored, _facts, FACTS), "media-facts").dropDuplicates(["medium"])
-    return manifest.join(told, "medium").select(F.col("id").alias(key), "n_bytes", *(x.split()[0] for x in FACTS.split(", ")))
+    told = stash(stash(media(stored, _facts, FACTS), "media-facts").dropDuplicates(["medium"]), "media-told")
+    return manifest.join(small(told, 400), "medium").select(F.col("id").alias(key), "n_bytes", *(x.split()[0] for x in FACTS.split(", ")))
