@@ -100,12 +100,11 @@ FROM p"""
 @query(_echo_sql())
 def looks_untranslated(spark, sf_dir):
     """The echo test on answers that repeat the source, and on answers that keep the first long word beside a Chinese one."""
-    found = line_segments(_read(spark, sf_dir, "documents"))
-    source = F.col("source")
-    plain = F.lower(F.regexp_replace(source, fn.ADDRESS, " "))
-    first = F.regexp_extract(plain, "^[^A-Za-z]*([a-z]{4,})(?![A-Za-z])", 1)
-    half = fn.looks_untranslated(source, F.concat(F.lit("本周 "), first), "zh")
-    return found.select("doc_id", "seg_id", fn.looks_untranslated(source, source, "fr").alias("echo_fr"), fn.looks_untranslated(source, source, "zh-CN").alias("echo_zh"), half.alias("half_zh"))
+    found = line_segments(_read(spark, sf_dir, "documents")).withColumn("plain", fn.plain(F.col("source")))
+    source, plain = F.col("source"), F.col("plain")
+    found = found.withColumn("half", F.concat(F.lit("本周 "), F.regexp_extract(F.lower(plain), "^[^A-Za-z]*([a-z]{4,})(?![A-Za-z])", 1)))
+    half = fn.looks_untranslated(source, F.col("half"), "zh", plain)
+    return found.select("doc_id", "seg_id", fn.looks_untranslated(source, source, "fr", plain).alias("echo_fr"), fn.looks_untranslated(source, source, "zh-CN", plain).alias("echo_zh"), half.alias("half_zh"))
 
 
 @query("SELECT doc_id, CASE WHEN lang = 'en' THEN 'cached' ELSE 'todo' END AS part FROM documents")

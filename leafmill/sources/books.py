@@ -15,6 +15,14 @@ PACKAGES = f"book string, error string, opf_path string, language string, title
 LINKS = "book string, name string, target string"
 
 
+#: Bytes of members that are handed on at once.
+BATCH_BYTES = 16 << 20
+
+
+def _members(rows: list[tuple]) -> pd.DataFrame:
+    return pd.DataFrame(rows, columns=["book", "ord", "name", "data", "stored", "date_time", "external_attr"])
+
+
 def read_books(spark: SparkSession, path, stream: bool = False) -> DataFrame:
     """book (its path), content. A stream takes new archives as they appear."""
     ship(spark)
@@ -30,6 +38,7 @@ def members(books: DataFrame) -> DataFrame:
 
     def run(batches):
         for b in batches:
+            out, size = [], 0
             for book, content in zip(b["book"], b["content"], strict=True):
                 try:
                     z = open_archive(content)
@@ -37,7 +46,13 @@ def members(books: DataFrame) -> DataFrame:
                     continue
                 with z:
                     for k, x in enumerate(z.infolist()):
-                        yield pd.DataFrame([(book, k, x.filename, z.read(x), x.compress_type == 0, list(x.date_time), x.external_attr)], columns=["book", "ord", "name", "data", "stored", "date_time", "external_attr"])
+                        out.append((book, k, x.filename, z.read(x), x.compress_type == 0, list(x.date_time), x.external_attr))
+                        size += x.file_size
+                        if size > BATCH_BYTES:
+                            yield _members(out)
+                            out, size = [], 0
+            if out:
+                yield _members(out)
 
     return books.select("book", "content").mapInPandas(run, MEMBERS)
 
