@@ -22,10 +22,10 @@ from .components import components
 WORDS, THRESHOLD = 5, 0.8
 
 #: Trees, the longest prefix, and the chance that a pair at the threshold is met.
-TREES, LONGEST, RECALL = 20, 8, 0.999
+TREES, LONGEST, RECALL = 28, 8, 0.9999
 
 #: A block of a large node: texts, and shingles, at most.
-BLOCK_TEXTS, BLOCK_SHINGLES = 512, 2_000_000
+BLOCK_TEXTS, BLOCK_SHINGLES = 256, 1_000_000
 
 #: Words whose hashes a process remembers.
 CACHE = 300_000
