@@ -19,7 +19,7 @@ from .common import stash
 BITS, ROUNDS = 10, 6
 
 #: Rounds that fill what the edge leaves open, and the share of a quota that may stay open.
-FILLS, NEAR = 5, 0.0005
+FILLS, NEAR = 6, 0.0005
 
 
 def share_targets(sizes: dict, weights: dict, budget: float, limit: float) -> dict:
@@ -93,13 +93,14 @@ def _marked(docs: DataFrame, members: Column, size: Column, key: str, seed: int)
     return ready.withColumn("__pattern", F.to_json("__members"))
 
 
-def _early() -> Column:
+def _early(plan: str = "", h: str = "h") -> Column:
     """Whether a row's hash comes before its pattern's edge."""
-    return (F.col("shift") < 63) & (F.expr("shiftright(shiftright(h, 1) & 9223372036854775807, shift)") < F.col("prefix"))
+    return (F.col(f"{plan}shift") < 63) & (F.expr(f"shiftright(shiftright({h}, 1) & 9223372036854775807, {plan}shift)") < F.col(f"{plan}prefix"))
 
 
-def _copies(limit: int) -> Column:
-    return F.when(F.col("size") > 0, F.least(F.col("base") + (_early() | F.array_contains("extra", F.col("h"))).cast("int"), F.lit(limit))).otherwise(0)
+def _copies(limit: int, size: str = "size", plan: str = "", h: str = "h") -> Column:
+    more = (_early(plan, h) | F.array_contains(f"{plan}added", F.col(h))) & ~F.array_contains(f"{plan}left_out", F.col(h))
+    return F.when(F.col(size) > 0, F.least(F.col(f"{plan}base") + more.cast("int"), F.lit(limit))).otherwise(0)
 
 
 def mix(docs: DataFrame, members: Column, size: Column, weights, budget_share: float, limit: int, seed: int = 17, most_patterns: int = 20_000, key: str = "doc_id") -> DataFrame:
@@ -116,11 +117,9 @@ def mix(docs: DataFrame, members: Column, size: Column, weights, budget_share: f
 def take(docs: DataFrame, members: Column, size: Column, weights, budget_share: float, limit: int, seed: int = 17, most_patterns: int = 20_000, key: str = "doc_id") -> DataFrame:
     """The rows of `docs` as the mix takes them, a row for each copy. Decisions are computed beside the rows; no text is shuffled."""
     _, plans = _planned(docs, members, size, weights, budget_share, limit, seed, most_patterns, key)
-    plan = plans.select(F.col("pattern").alias("__pattern"), F.struct("prefix", "shift", "base", "extra").alias("__plan"))
-    marked = _marked(docs, members, size, key, seed)
-    early = (F.col("__plan.shift") < 63) & (F.expr("shiftright(shiftright(__h, 1) & 9223372036854775807, __plan.shift)") < F.col("__plan.prefix"))
-    copies = F.when(F.col("__size") > 0, F.least(F.col("__plan.base") + (early | F.array_contains("__plan.extra", F.col("__h"))).cast("int"), F.lit(limit))).otherwise(0)
-    return marked.join(plan, "__pattern").withColumn("__copy", F.explode(F.array_repeat(F.lit(1), copies))).select(docs.columns)
+    plan = plans.select(F.col("pattern").alias("__pattern"), F.struct("prefix", "shift", "base", "added", "left_out").alias("__plan"))
+    copies = _copies(limit, "__size", "__plan.", "__h")
+    return _marked(docs, members, size, key, seed).join(plan, "__pattern").withColumn("__copy", F.explode(F.array_repeat(F.lit(1), copies))).select(docs.columns)
 
 
 def _planned(docs, members, size, weights, budget_share, limit, seed, most_patterns, key):
@@ -168,24 +167,26 @@ def _planned(docs, members, size, weights, budget_share, limit, seed, most_patte
                 done.add(p)
         open_ -= done
 
-    # What is still missing goes to the documents beyond the edge whose sizes fit best, one a round, while that comes nearer.
-    extra: dict = defaultdict(list)
-    open_ = {p for p in capacity if rest[p]}
+    # What the edge leaves over is made good by the one document a round, added or left out, that comes nearest to it.
+    added: dict = defaultdict(list)
+    left_out: dict = defaultdict(list)
+    open_ = {p for p in capacity if abs(rest[p]) > NEAR * wanted[p]}
     for _ in range(FILLS):
         if not open_:
             break
-        gaps = spark.createDataFrame([(p, prefix[p], shift[p], int(rest[p]), extra[p]) for p in sorted(open_)], "pattern string, prefix long, shift int, gap long, extra array<long>")
-        beyond = _with(rows, gaps, len(open_)).where(~_early() & (F.col("size") > 0) & ~F.array_contains("extra", F.col("h")))
-        best = {r.pattern: r.x for r in beyond.groupBy("pattern").agg(F.min(F.struct(F.abs(F.col("size") - F.col("gap")).alias("off"), "h", "size")).alias("x")).collect()}
+        gaps = spark.createDataFrame([(p, prefix[p], shift[p], int(rest[p]), added[p], left_out[p]) for p in sorted(open_)], "pattern string, prefix long, shift int, gap long, added array<long>, left_out array<long>")
+        moves = _with(rows, gaps, len(open_)).where((F.col("size") > 0) & ~F.array_contains("added", F.col("h")) & ~F.array_contains("left_out", F.col("h")))
+        step = F.when(_early(), -F.col("size")).otherwise(F.col("size"))
+        best = {r.pattern: r.x for r in moves.groupBy("pattern").agg(F.min(F.struct(F.abs(F.col("gap") - step).alias("off"), "h", step.alias("step"))).alias("x")).collect()}
         for p in list(open_):
-            if p not in best or best[p].off >= rest[p]:
+            if p not in best or best[p].off >= abs(rest[p]):
                 open_.discard(p)
                 continue
-            extra[p].append(best[p].h)
-            rest[p] -= best[p].size
-            if rest[p] <= NEAR * wanted[p]:
+            (added if best[p].step > 0 else left_out)[p].append(best[p].h)
+            rest[p] -= best[p].step
+            if abs(rest[p]) <= NEAR * wanted[p]:
                 open_.discard(p)
-    plans = spark.createDataFrame([(p, prefix[p], shift[p], int(base[p]), extra[p], [(s, int(sizes[s]), float(targets[s]), int(flow.get((p, s), 0))) for s in patterns[p]]) for p in sorted(capacity)], "pattern string, prefix long, shift int, base int, extra array<long>, plan array<struct<source: string, source_size: long, target: double, routed: long>>")
+    plans = spark.createDataFrame([(p, prefix[p], shift[p], int(base[p]), added[p], left_out[p], [(s, int(sizes[s]), float(targets[s]), int(flow.get((p, s), 0))) for s in patterns[p]]) for p in sorted(capacity)], "pattern string, prefix long, shift int, base int, added array<long>, left_out array<long>, plan array<struct<source: string, source_size: long, target: double, routed: long>>")
     return rows, F.broadcast(plans) if len(capacity) <= 5_000 else plans
 
 
