@@ -62,6 +62,10 @@ def report(out: Outcome) -> None:
 def _progress(kind: str, **data) -> None:
     if kind == "plan":
         print(f"{data['documents']} documents, {data['translatable']} with text ({data['segments']} segments), {data['cached']} in the cache")
+    elif kind == "retry":
+        print(f"  {data['book']} {data['idx']}: request {data['attempt']} for {data['pending']} segments ({data['reason']})")
+    elif kind == "wait":
+        print(f"  {data['book']} {data['idx']}: waited {data['seconds']:.0f} s ({data['error'][:200]})")
     elif kind == "done":
         print(f"wave {data['wave']} of {data['waves']}: {data['succeeded']} done, {data['refused']} refused")
 

@@ -19,7 +19,8 @@ from ..translating import Asking, cache_key, sound, timed, translate
 SEGMENT = "struct<id:int,source:string,kind:string,pairs:array<int>,atoms:array<int>,nesting:map<int,int>>"
 ISSUE = "struct<seg:int,kind:string,detail:string>"
 DOCUMENTS = f"book string, idx int, path string, status string, error string, title string, dropped int, segments array<{SEGMENT}>, key string"
-RESULTS = f"translations map<int,string>, issues array<{ISSUE}>, requests int, seconds double, failure string, failure_kind string"
+EVENT = "struct<kind:string,attempt:int,pending:int,reason:string,seconds:double,error:string>"
+RESULTS = f"translations map<int,string>, issues array<{ISSUE}>, requests int, seconds double, events array<{EVENT}>, failure string, failure_kind string"
 PIECES = "book string, ord int, id int, source string, kind string, text string, broken boolean"
 TEXTS = "map<string,string>"
 
@@ -75,21 +76,23 @@ def call(docs: DataFrame, factory: Callable, target: str) -> DataFrame:
     """
 
     def run(batches):
-        ask, over = Asking(factory()), None
+        events: list = []
+        ask, over = Asking(factory(), notify=lambda kind, **data: events.append(dict.fromkeys(("attempt", "pending", "reason", "seconds", "error")) | {"kind": kind} | data)), None
         for b in batches:
             out = []
             for book, idx, key, segments, language, title in zip(b["book"], b["idx"], b["key"], b["segments"], b["language"], b["book_title"], strict=True):
                 if over:
-                    out.append((book, idx, key, None, [], 0, 0.0, *over))
+                    out.append((book, idx, key, None, [], 0, 0.0, [], *over))
                     continue
+                events.clear()
                 try:
                     result, seconds = timed(lambda s=segments, x=language, t=title: translate(unpack(s), ask, target, x, t))
                     issues = [{"seg": i.seg, "kind": i.kind, "detail": i.detail} for i in result.issues]
-                    out.append((book, idx, key, result.translations, issues, result.requests, seconds, None, None))
+                    out.append((book, idx, key, result.translations, issues, result.requests, seconds, list(events), None, None))
                 except ProviderError as e:
                     over = (str(e), e.kind)
-                    out.append((book, idx, key, None, [], 0, 0.0, *over))
-            yield pd.DataFrame(out, columns=["book", "idx", "key", "translations", "issues", "requests", "seconds", "failure", "failure_kind"])
+                    out.append((book, idx, key, None, [], 0, 0.0, list(events), *over))
+            yield pd.DataFrame(out, columns=["book", "idx", "key", "translations", "issues", "requests", "seconds", "events", "failure", "failure_kind"])
 
     return docs.select("book", "idx", "key", "segments", "language", "book_title").mapInPandas(run, f"book string, idx int, key string, {RESULTS}")
 

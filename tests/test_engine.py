@@ -126,11 +126,12 @@ def test_dropped_documents_go_with_what_only_they_used(spark, shelf):
 
 
 def test_salvaged_documents_are_asked_for_again(spark, shelf):
-    at = shelf()
-    o = options(at, target="fr")
+    at, events = shelf(), []
+    o = options(at, target="fr", emit=lambda kind, **data: events.append((kind, data)))
     o.factory = scripted(lambda segments, wanted: {"translations": [{"id": k, "text": "fr " + segments[k].replace("<x1>", "")} for k in wanted]})
     out = translate_file(spark, f"file://{at}/in", o)
     rows = {r["name"]: r for r in out.reports.collect()}
+    assert [(k, d["attempt"], d["pending"], d["reason"]) for k, d in events if k == "retry"] == [("retry", 2, 2, "invalid"), ("retry", 3, 2, "invalid")]
     assert rows["OEBPS/one.xhtml"].requests == 3 and {i.kind for i in rows["OEBPS/one.xhtml"].issues} == {"placeholder"} and not out.counts().first().ok
     o.factory = scripted(lambda segments, wanted: {"translations": [{"id": k, "text": "fr " + segments[k]} for k in wanted]})
     again = {r["name"]: (r.status, r.requests) for r in translate_file(spark, f"file://{at}/in", o).reports.collect()}
