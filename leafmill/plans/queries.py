@@ -20,6 +20,7 @@ from ..sources import books as src
 from ..sources.builder import make_book
 from ..tables import shared_dir, stash
 from ..translating import cache_key
+from ..verify import facts, skeleton
 from . import engine
 
 QUERIES: dict = {}
@@ -336,3 +337,27 @@ def translate_books(spark, sf_dir):
     made = stash(conversation_books(spark, sf_dir), "conversation-books")
     o = engine.Options("zh-CN", Factory("marking"), shared_dir(spark, "cache"), shared_dir(spark, "out"), wave=1_000_000)
     return engine.translate(made, o).reports.select("book", "idx", "status", "segments", "requests")
+
+
+@query(f"""SELECT {_BOOK} AS book, {_IDX} AS idx, CAST(1 AS INTEGER) AS id, 'title' AS kind, '译：Turn ' || turn AS source FROM conversations
+UNION ALL SELECT * FROM (SELECT {_BOOK} AS book, {_IDX} AS idx, CAST(2 AS INTEGER) AS id, 'text' AS kind, '译：' || trim(regexp_replace(text, '[ \\t\\n\\r\\f]+', ' ', 'g'), {_SPACE}) AS source FROM conversations) WHERE regexp_matches(source[3:], '[\\p{{L}}\\p{{Nl}}\\p{{No}}]')""")
+def written_books(spark, sf_dir):
+    """Every conversation's archive through the engine, written, read again, and its segments extracted from the result."""
+    made = stash(conversation_books(spark, sf_dir), "conversation-books")
+    o = engine.Options("zh-CN", Factory("marking"), shared_dir(spark, "cache"), shared_dir(spark, "out"), wave=1_000_000)
+    out = engine.translate(made, o).written
+    again = spark.read.format("binaryFile").load(o.output).select(F.col("path").alias("out"), "content")
+    named = out.select("book", F.regexp_extract("output", "([^/]+)$", 1).alias("file"))
+    again = stash(again.join(named, F.regexp_extract("out", "([^/]+)$", 1) == F.col("file")).select("book", "content"), "books-again")
+    packages, members = src.packages(again), src.members(again)
+    spine = src.numbered(src.spine(packages, src.manifest(packages), members))
+    docs = spine.join(members.select("book", F.col("name").alias("path"), "data"), ["book", "path"])
+    return ops.extract(docs, "zh-CN", "marking").select("book", "idx", F.explode("segments").alias("s")).select("book", "idx", "s.id", "s.kind", "s.source")
+
+
+@query(f"""SELECT book, name, CAST(n AS BIGINT) AS tags FROM (SELECT {_BOOK} AS book, 'OEBPS/c' || lpad(CAST({_IDX} AS VARCHAR), 4, '0') || '.xhtml' AS name, 5 AS n FROM conversations
+UNION ALL SELECT {_BOOK}, 'OEBPS/nav.xhtml', 6 + 2 * count(*) FROM conversations GROUP BY conv_id)""")
+def book_skeletons(spark, sf_dir):
+    """The number of elements of every content document of every archive: html, head, title, body and one paragraph, or the list of contents."""
+    found = stash(facts(conversation_books(spark, sf_dir)), "facts")
+    return skeleton(found).select("book", "name", F.size("tags").cast("long").alias("tags"))
