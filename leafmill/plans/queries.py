@@ -201,14 +201,14 @@ def report_counts(spark, sf_dir):
 
 @query("""WITH d AS (SELECT doc_id, replace(replace(text, '<', ' '), chr(10), ' ') AS t FROM documents)
 SELECT doc_id, CAST(pos AS INTEGER) AS pos, kind, text, CAST(n AS INTEGER) AS n FROM (
- SELECT doc_id, 0 AS pos, 'open' AS kind, NULL AS text, 1 AS n FROM d UNION ALL SELECT doc_id, 1, 'text', t, NULL FROM d
- UNION ALL SELECT doc_id, 2, 'close', NULL, 1 FROM d UNION ALL SELECT doc_id, 3, 'atom', NULL, 2 FROM d)""")
+ SELECT doc_id, 0 AS pos, 'open' AS kind, '' AS text, 1 AS n FROM d UNION ALL SELECT doc_id, 1, 'text', t, 0 FROM d
+ UNION ALL SELECT doc_id, 2, 'close', '', 1 FROM d UNION ALL SELECT doc_id, 3, 'atom', '', 2 FROM d)""")
 def tokens(spark, sf_dir):
     """Every text between placeholders, cut into tokens by the table function, with sloppy spellings of the placeholders."""
     register(spark)
     docs = _read(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("<x1>"), F.translate("text", "<\n", "  "), F.lit("</ X1 >< x2 />")).alias("marked"))
     docs.createOrReplaceTempView("marked_documents")
-    return spark.sql("SELECT doc_id, t.pos, t.kind, t.text, t.n FROM marked_documents, LATERAL segment_tokens(marked) t")
+    return spark.sql("SELECT doc_id, t.pos, t.kind, coalesce(t.text, '') AS text, coalesce(t.n, 0) AS n FROM marked_documents, LATERAL segment_tokens(marked) t")
 
 
 _VARIANTS = {"en": "<x1>{t}</x1><x2/>", "fr": "{t}<x2/>", "de": "<x1>{t}</x1>", "es": "<x1></x1>{t}<x2/>"}
@@ -284,12 +284,12 @@ def distinct_labels(spark, sf_dir):
 
 
 @query("""WITH m AS (SELECT text AS source, min_by(conv_id, conv_id * 100000 + turn) AS first_conv FROM conversations WHERE role = 'assistant' GROUP BY text)
-SELECT c.conv_id, c.turn, m.first_conv, m.first_conv IS NOT NULL AS known FROM conversations c LEFT JOIN m ON c.text = m.source""")
+SELECT c.conv_id, c.turn, coalesce(m.first_conv, -1) AS first_conv, m.first_conv IS NOT NULL AS known FROM conversations c LEFT JOIN m ON c.text = m.source""")
 def label_memory(spark, sf_dir):
     """Labels against the memory of assistants' texts: known ones are filled, the others are what is asked for."""
     turns = _read(spark, sf_dir, "conversations")
     memory = rel.first_wording(turns.where("role = 'assistant'").withColumnRenamed("text", "source"), ["source"], "conv_id", [F.col("conv_id"), F.col("turn")]).withColumnRenamed("conv_id", "first_conv")
-    return turns.join(memory, turns["text"] == memory["source"], "left").select("conv_id", "turn", "first_conv", F.col("first_conv").isNotNull().alias("known"))
+    return turns.join(memory, turns["text"] == memory["source"], "left").select("conv_id", "turn", F.coalesce("first_conv", F.lit(-1)).alias("first_conv"), F.col("first_conv").isNotNull().alias("known"))
 
 
 @query("SELECT doc_id AS key, source AS name, n_chars AS created FROM documents QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY n_chars DESC) = 1")
