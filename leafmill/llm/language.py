@@ -174,12 +174,21 @@ def fit(docs: DataFrame, lang: str = "lang", text: str = "text", rows: int = 2_0
             if run >= keep * total:
                 break
     floor = F.create_map(*[F.lit(x) for (name, size), n in sorted(least.items()) for x in (f"{size} {name}", n)])
-    chosen = counted.where(F.col("n") >= F.element_at(floor, F.concat_ws(" ", "size", "lang"))).select("lang", "size", "gram").toPandas()
+    chosen = counted.where(F.col("n") >= F.element_at(floor, F.concat_ws(" ", "size", "lang"))).select("lang", "size", "gram")
+
+    # Each language's slice of a filter is made where its n-grams are; the driver gets the slices, 2**bits bits each.
+    def cut(group: pd.DataFrame) -> pd.DataFrame:
+        one = Filters(["x"], bits)
+        one.add(3, 0, group["gram"].to_numpy(np.int64).view(np.uint64))
+        return pd.DataFrame({"lang": [group["lang"].iloc[0]], "size": [group["size"].iloc[0]], "bits": [np.packbits(one.slots[3].astype(bool)).tobytes()]})
+
+    slices = {(r["lang"], r["size"]): r.bits for r in chosen.groupBy("lang", "size").applyInPandas(cut, "lang string, size int, bits binary").collect()}
     out = Filters([name for name, _ in known], bits)
     for size in SIZES:
+        table = out.slots[size] = np.zeros(1 << bits, np.uint64)
         for k, name in enumerate(out.languages):
-            h = chosen.loc[(chosen["size"] == size) & (chosen["lang"] == name), "gram"].to_numpy(np.int64).view(np.uint64)
-            out.add(size, k, h)
+            if (name, size) in slices:
+                table |= np.unpackbits(np.frombuffer(slices[name, size], np.uint8)).astype(np.uint64) << np.uint64(k)
         out.scale[size] = out.rates(size)
     return out
 
