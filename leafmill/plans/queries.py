@@ -361,3 +361,97 @@ def book_skeletons(spark, sf_dir):
     """The number of elements of every content document of every archive: html, head, title, body and one paragraph, or the list of contents."""
     found = stash(facts(conversation_books(spark, sf_dir)), "facts")
     return skeleton(found).select("book", "name", F.size("tags").cast("long").alias("tags"))
+
+
+_NAME = "'OEBPS/c' || lpad(CAST(idx AS VARCHAR), 4, '0') || '.xhtml'"
+_TURNS = f"turns AS (SELECT {_BOOK} AS book, conv_id, turn, text, role, {_IDX} AS idx FROM conversations)"
+
+
+@query(f"SELECT DISTINCT {_BOOK} AS book, 'OEBPS/content.opf' AS opf_path, 'en' AS language, 'Conversation ' || conv_id AS title, 'OEBPS/nav.xhtml' AS nav_path FROM conversations")
+def package_metadata(spark, sf_dir):
+    """What the package of every archive says, and where its navigation document is."""
+    packages = stash(src.packages(conversation_books(spark, sf_dir)), "packages")
+    return packages.join(src.contents(packages, src.manifest(packages)), "book").select("book", "opf_path", "language", "title", "nav_path")
+
+
+@query(f"WITH {_TURNS} SELECT book, 'c' || (idx - 1) AS id, {_NAME} AS path, true AS is_content FROM turns UNION ALL SELECT DISTINCT book, 'nav', 'OEBPS/nav.xhtml', true FROM turns")
+def manifest_items(spark, sf_dir):
+    """The items of every archive, with their paths resolved."""
+    return src.manifest(src.packages(conversation_books(spark, sf_dir))).select("book", "id", "path", "is_content")
+
+
+@query(f"WITH {_TURNS} SELECT book, 'OEBPS/nav.xhtml' AS name, {_NAME} AS target FROM turns")
+def member_references(spark, sf_dir):
+    """The links between members of every archive."""
+    made = stash(conversation_books(spark, sf_dir), "conversation-books")
+    return src.member_links(src.members(made), src.manifest(src.packages(made)))
+
+
+@query(f"""WITH {_TURNS}, l AS (SELECT book, idx AS ord, 'Turn ' || turn AS source FROM turns UNION ALL SELECT DISTINCT book, 0, 'Conversation ' || conv_id FROM turns
+UNION ALL SELECT book, count(*) + 1, 'Conversation ' || any_value(conv_id) FROM turns GROUP BY book) SELECT book, CAST(ord AS INTEGER) AS ord, source FROM l""")
+def contents_labels(spark, sf_dir):
+    """The labels of every archive's table of contents and its title, in order."""
+    made = stash(conversation_books(spark, sf_dir), "conversation-books")
+    packages, data = src.packages(made), src.members(made).select("book", F.col("name").alias("path"), "data")
+    places = src.contents(packages, src.manifest(packages))
+    pick = lambda column, name: data.select("book", F.col("path").alias(column), F.col("data").alias(name))
+    rows = packages.select("book", "opf_path").join(places, "book").join(pick("opf_path", "opf_data"), ["book", "opf_path"]).join(pick("nav_path", "nav_data"), ["book", "nav_path"]).join(pick("ncx_path", "ncx_data"), ["book", "ncx_path"], "left")
+    return ops.labels(rows.withColumn("removed", F.array().cast("array<string>")), True).select("book", "ord", "segment.source")
+
+
+@query(f"WITH {_TURNS} SELECT book, {_NAME} AS path FROM turns WHERE idx = 1")
+def dropped_documents(spark, sf_dir):
+    """The first chapter of every archive dropped by its file name; nothing else hangs on it."""
+    made = stash(conversation_books(spark, sf_dir), "conversation-books")
+    packages, members = src.packages(made), src.members(made)
+    manifest = src.manifest(packages)
+    return rel.drop_documents(src.spine(packages, manifest, members), manifest, src.member_links(members, manifest), packages, {"c0001.xhtml"}, False)
+
+
+@query(f"""WITH {_TURNS} SELECT DISTINCT book, source, '译：' || source AS text FROM (SELECT book, 'Turn ' || turn AS source FROM turns
+UNION ALL SELECT book, trim(regexp_replace(text, '[ \\t\\n\\r\\f]+', ' ', 'g'), {_SPACE}) FROM turns) WHERE regexp_matches(source, '[\\p{{L}}\\p{{Nl}}\\p{{No}}]')""")
+def book_memory(spark, sf_dir):
+    """One wording for each source text of every book, out of marked translations."""
+    made = stash(conversation_books(spark, sf_dir), "conversation-books")
+    packages, members = src.packages(made), src.members(made)
+    spine = src.numbered(src.spine(packages, src.manifest(packages), members))
+    docs = ops.extract(spine.join(members.select("book", F.col("name").alias("path"), "data"), ["book", "path"]), "zh-CN", "marking")
+    answers = F.map_from_entries(F.transform("segments", lambda s: F.struct(s.id, F.concat(F.lit("译："), s.source))))
+    return rel.harmonise(ops.pieces(docs.select("book", F.col("idx").alias("ord"), "segments", answers.alias("translations")), "zh-CN"))
+
+
+@query(f"WITH {_TURNS} SELECT book, idx, 'cached' AS status, CAST(0 AS INTEGER) AS requests FROM turns UNION ALL SELECT DISTINCT book, CAST(0 AS INTEGER), 'cached', CAST(0 AS INTEGER) FROM turns")
+def resumed_books(spark, sf_dir):
+    """Every archive through the engine twice: the second run asks for nothing."""
+    made = stash(conversation_books(spark, sf_dir), "conversation-books")
+    o = engine.Options("zh-CN", Factory("marking"), shared_dir(spark, "cache"), shared_dir(spark, "out"), wave=1_000_000)
+    engine.translate(made, o)
+    return engine.translate(made, o).reports.select("book", "idx", "status", "requests")
+
+
+@query("""SELECT conv_id, turn, CASE role WHEN 'system' THEN 'whole document: the request was refused; the source stays (long)' WHEN 'user' THEN 'segment ' || turn || ': no answer; the source stays'
+ELSE 'segments ' || turn || '–' || (turn + 2) || ': came back as it was; perhaps not translated' END AS said FROM conversations""")
+def issue_texts(spark, sf_dir):
+    """Issues as a reader is told of them: a system turn as a refused request, a user's as a missing text, an assistant's as three echoes."""
+    turns = _read(spark, sf_dir, "conversations")
+    kind = F.when(F.col("role") == "system", "request").when(F.col("role") == "user", "missing").otherwise("untranslated")
+    seg = F.when(F.col("role") != "system", F.col("turn"))
+    last = F.when(F.col("role") == "assistant", F.col("turn") + 2).otherwise(seg)
+    return turns.select("conv_id", "turn", fn.issue_text(kind, seg, last, F.when(F.col("role") == "system", "long").otherwise("")).alias("said"))
+
+
+@query("SELECT event_id, CASE event_id % 3 WHEN 0 THEN 'truncated' WHEN 1 THEN 'invalid' ELSE 'missing' END AS reason FROM events")
+def retry_reasons(spark, sf_dir):
+    """Why a document is asked for again, for a state made from each event."""
+    events = _read(spark, sf_dir, "events")
+    faults = F.when(F.col("event_id") % 3 == 1, F.array(F.array(F.lit("x")), F.array().cast("array<string>"))).otherwise(F.array(F.array().cast("array<string>")))
+    return events.select("event_id", fn.retry_reason(F.col("event_id") % 3 == 0, faults).alias("reason"))
+
+
+@query("""SELECT conv_id, string_agg(CASE WHEN turn = 0 THEN '1 heading ' ELSE (turn + 1) || '  ' END || length(text), ',' ORDER BY turn) AS items FROM conversations GROUP BY conv_id""")
+def request_payloads(spark, sf_dir):
+    """A request's items for every conversation, its first turn as the heading; read back from the JSON."""
+    turns = _read(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "text"))).alias("x"))
+    segments = F.transform("x", lambda x: F.struct((x.turn + 1).alias("id"), F.when(x.turn == 0, "heading").otherwise("text").alias("kind"), x.text.alias("source")))
+    told = turns.select("conv_id", F.from_json(fn.request_payload(segments), "array<struct<id:long,kind:string,text:string>>").alias("items"))
+    return told.select("conv_id", F.array_join(F.transform("items", lambda i: F.concat(i.id, F.lit(" "), F.coalesce(i.kind, F.lit("")), F.lit(" "), F.length(i.text))), ",").alias("items"))
