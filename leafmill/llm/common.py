@@ -2,24 +2,18 @@
 
 from __future__ import annotations
 
-import atexit
-import os
-import shutil
-import tempfile
-import uuid
-
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..shipping import ship
+from ..tables import BROADCAST_BYTES, open_fs, shared_dir, small, stash, write_atomically
+
+__all__ = ["BROADCAST_BYTES", "crc_mod", "mix64", "open_fs", "read", "shared_dir", "small", "stash", "text_words", "tune", "write_atomically"]
 
 #: Rows of an Arrow batch: whole texts are long, so the default of 10,000 could take gigabytes.
 ARROW_ROWS = 512
 
-#: A side of a join or a value for all tasks is only broadcast below this; every use has another way beyond it.
-BROADCAST_BYTES = 32 << 20
-
 _KEEP = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 
 
@@ -33,40 +27,6 @@ def tune(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)
 
 
-def shared_dir(spark: SparkSession, name: str) -> str:
-    """A new folder's URI below spark.checkpoint.dir; only where that is unset (tests, local use), a temporary folder."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="leafmill-")
-        atexit.register(shutil.rmtree, root[7:], True)
-        spark.conf.set("spark.checkpoint.dir", root)
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
-def stash(df: DataFrame, name: str) -> DataFrame:
-    """Writes `df` to the shared folder and reads it back, which cuts the lineage and survives lost executors."""
-    path = shared_dir(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def open_fs(uri: str):
-    """The pyarrow file system of a URI, and the path in it."""
-    from pyarrow import fs
-
-    return fs.FileSystem.from_uri(uri if "://" in uri else f"file://{os.path.abspath(uri)}" if not uri.startswith("file:") else uri.replace("file:/", "file:///", 1))
-
-
-def write_atomically(uri: str, write) -> None:
-    """`write(sink)` into a file that appears whole or not at all, so that a task that is run again or twice does no harm."""
-    system, path = open_fs(uri)
-    system.create_dir(path.rpartition("/")[0], recursive=True)
-    part = f"{path}.{uuid.uuid4().hex}.part"
-    with system.open_output_stream(part, compression=None) as sink:
-        write(sink)
-    system.move(part, path)
-
-
 def text_words(text: str | None) -> list[bytes]:
     """UTF-8 words: runs of digits, letters and all that isn't ASCII, with A-Z lowered."""
     return [] if not text else text.encode("utf-8", "surrogatepass").translate(_KEEP).split()
@@ -82,8 +42,3 @@ def mix64(x: np.ndarray) -> np.ndarray:
 def crc_mod(column: str, n: int):
     """crc32 of the id as text, modulo n; null ids count as the text ''."""
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit(""))) % n
-
-
-def small(df: DataFrame, row_bytes: int) -> DataFrame:
-    """`df` (a written table) marked for broadcast if its counted rows stay below BROADCAST_BYTES; else as it is, for a shuffle join."""
-    return F.broadcast(df) if df.count() * row_bytes < BROADCAST_BYTES else df
