@@ -105,6 +105,7 @@ def test_shared_chunks_are_stored_once(spark, awkward):
         ("<div class=sidebar><p>side side side</p></div><div class=post><h2>Head</h2><ul><li>a<li>b</ul><table><tr><td>c<td>d</table><pre>e  f</pre></div>", "Head a b c d e f"),
         ("<article><header><h1>Kept</h1></header><p>x&#160;y &lt;z&gt;</p><form><input><button>Go</button></form><aside>no</aside></article>", "Kept x y <z>"),
         ("<p hidden>no</p><p style='display: none'>no</p><p>yes</p><p", "yes"),
+        ("<p title=it's>one</p><p data-x=\"a>b\" class='k'>two isn't</p>", "one two isn't"),
         ("", ""), (None, ""), ("plain", "plain"), ("<<<>>>", "<<<>>>"), ("<article></article>", ""),
     ],
 )
