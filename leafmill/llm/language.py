@@ -209,11 +209,12 @@ def predict(docs: DataFrame, filters: Filters, keys: list[str], text: str = "tex
 
 
 def known_only(docs: DataFrame, filters: Filters, text: str = "text") -> DataFrame:
-    """The rows of `docs` that have a language: all but those with a null text or without a letter."""
+    """The rows of `docs` that have a language: all but those with a null text or without a letter, even where no language was learnt."""
     sent = docs.sparkSession.sparkContext.broadcast(filters)
 
     def run(texts: pd.Series) -> pd.Series:
-        return pd.Series([sent.value.predict(t)[0] for t in texts], dtype=object)
+        predict_ = sent.value.predict if sent.value.languages else lambda t: ("letters" if has_letter(t) else UNDETERMINED,)
+        return pd.Series([predict_(t)[0] for t in texts], dtype=object)
 
     # Marked as nondeterministic, the function runs once for each row, not once for the filter and once for the column.
     found = F.pandas_udf(run, "string").asNondeterministic()

@@ -135,3 +135,4 @@ def test_language_of_awkward_rows(spark, awkward, empty):
     assert {r.lang_pred for r in op10_language_id(spark, "", awkward.withColumn("lang", awkward["lang"].substr(9, 1))).collect()} <= {"und", ""}
     kept = language.known_only(awkward, language.fit(awkward))
     assert kept.columns == awkward.columns and kept.count() == sum(r.lang_pred != "und" for r in got)
+    assert language.known_only(awkward.where("doc_id IN (1, 4, 5, 9)"), language.Filters()).count() == 1
