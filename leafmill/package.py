@@ -55,10 +55,6 @@ def links(name: str, data: bytes) -> list[str]:
     return list(dict.fromkeys(resolve(name, x) for x in found if x and "://" not in x and not x.startswith(("#", "data:", "mailto:"))))
 
 
-def text_like(media_type: str, path: str) -> bool:
-    return is_content(media_type, path) or media_type in ("text/css", NCX_TYPE)
-
-
 @dataclass
 class Package:
     """What a package document says. Items and references keep their order."""

@@ -23,14 +23,20 @@ def _members(rows: list[tuple]) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["book", "ord", "name", "data", "stored", "date_time", "external_attr"])
 
 
-def read_books(spark: SparkSession, path, stream: bool = False) -> DataFrame:
-    """book (its path), content. A stream takes new archives as they appear."""
+FILES = "path string, modificationTime timestamp, length long, content binary"
+
+
+def read_books(spark: SparkSession, path: str) -> DataFrame:
+    """book (its path), content."""
+    ship(spark)
+    return spark.read.format("binaryFile").load(path).select(F.col("path").alias("book"), "content")
+
+
+def stream_books(spark: SparkSession, folder: str, per_batch: int) -> DataFrame:
+    """As read_books, as a stream of the archives that are in a folder or come into it."""
     ship(spark)
-    if stream:
-        files = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").option("maxFilesPerTrigger", 16).load(path)
-    else:
-        files = spark.read.format("binaryFile").load(path)
-    return files.select(F.col("path").alias("book"), "content")
+    files = spark.readStream.format("binaryFile").schema(FILES).option("maxFilesPerTrigger", per_batch).option("pathGlobFilter", "*.epub")
+    return files.load(folder).select(F.col("path").alias("book"), "content")
 
 
 def members(books: DataFrame) -> DataFrame:

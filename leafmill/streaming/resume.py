@@ -10,16 +10,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
 from ..plans.engine import Options, translate
-from ..sources.books import read_books
+from ..sources.books import stream_books
 
 
 def translate_stream(spark: SparkSession, folder: str, o: Options, checkpoint: str, reports: str | None = None, per_batch: int = 16) -> StreamingQuery:
     """Translates all archives in `folder` that the checkpoint hasn't seen, `per_batch` at a time, then stops. Reports are appended to a Parquet folder."""
-    read_books(spark, folder).limit(0)  # a folder that isn't there is an error here, not in a batch
-    stream = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").option("maxFilesPerTrigger", per_batch).option("pathGlobFilter", "*.epub").load(folder)
+    stream = stream_books(spark, folder, per_batch)
 
     def batch(rows: DataFrame, number: int) -> None:
-        out = translate(rows.selectExpr("path AS book", "content"), o)
+        out = translate(rows, o)
         if reports:
             out.reports.write.mode("overwrite").parquet(f"{reports.rstrip('/')}/batch={number}")
 

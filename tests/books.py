@@ -7,12 +7,9 @@ import zipfile
 
 PAGE = """<?xml version='1.0' encoding='utf-8'?>
 <!DOCTYPE html>
-<html xmlns="http://www.w3.org/1999/xhtml" xmlns:epub="http://www.idpf.org/2007/ops" lang="en" xml:lang="en">
-  <head>
-    <title>{title}</title>
-    <link href="style.css" rel="stylesheet" type="text/css"/>
-  </head>
-  <body>{body}</body>
+<html xmlns="http://www.w3.org/1999/xhtml" lang="en" xml:lang="en">
+<head><meta charset="utf-8"/><title>{title}</title></head>
+<body class="chapter">{body}</body>
 </html>
 """
 
@@ -48,22 +45,30 @@ def page(title: str, body: str) -> bytes:
     return PAGE.format(title=title, body=body).encode()
 
 
+def tag(name: str, inside: str = "", **attributes: str) -> str:
+    return f"<{name}" + "".join(f' {k.replace("_", "-")}="{v}"' for k, v in attributes.items()) + (f">{inside}</{name}>" if inside else "/>")
+
+
 def parts(chapters=None, extra=None) -> dict[str, bytes]:
+    """The members of a book with a navigation document, an NCX, a style sheet and a cover."""
     chapters = chapters or CHAPTERS
-    items = "".join(f'    <item id="d{k}" href="{n}" media-type="application/xhtml+xml"/>\n' for k, n in enumerate(chapters))
-    refs = "".join(f'    <itemref idref="d{k}"/>\n' for k in range(len(chapters)))
-    links = "".join(f'        <li><a href="{n}">{t}</a></li>\n' for n, (t, _) in chapters.items())
-    points = "".join(f'    <navPoint id="p{k}" playOrder="{k + 1}"><navLabel><text>{t}</text></navLabel><content src="{n}"/></navPoint>\n' for k, (n, (t, _)) in enumerate(chapters.items()))
-    out = {
-        "mimetype": b"application/epub+zip",
-        "META-INF/container.xml": b'<?xml version="1.0" encoding="UTF-8"?>\n<container xmlns="urn:oasis:names:tc:opendocument:xmlns:container" version="1.0">\n  <rootfiles>\n    <rootfile full-path="OEBPS/content.opf" media-type="application/oebps-package+xml"/>\n  </rootfiles>\n</container>\n',
-        "OEBPS/content.opf": f'<?xml version="1.0" encoding="UTF-8"?>\n<package xmlns="http://www.idpf.org/2007/opf" version="3.0" unique-identifier="uid">\n  <metadata xmlns:dc="http://purl.org/dc/elements/1.1/">\n    <dc:identifier id="uid">urn:x:1</dc:identifier>\n    <dc:title>A Day Out</dc:title>\n    <dc:language>en</dc:language>\n  </metadata>\n  <manifest>\n{items}    <item id="nav" href="nav.xhtml" media-type="application/xhtml+xml" properties="nav"/>\n    <item id="ncx" href="toc.ncx" media-type="application/x-dtbncx+xml"/>\n    <item id="css" href="style.css" media-type="text/css"/>\n    <item id="img" href="cover.png" media-type="image/png"/>\n  </manifest>\n  <spine toc="ncx">\n{refs}  </spine>\n</package>\n'.encode(),
-        "OEBPS/nav.xhtml": page("A Day Out", f'\n    <nav epub:type="toc" id="toc">\n      <h2>Contents</h2>\n      <ol>\n{links}      </ol>\n    </nav>\n  '),
-        "OEBPS/toc.ncx": f'<?xml version="1.0" encoding="UTF-8"?>\n<ncx xmlns="http://www.daisy.org/z3986/2005/ncx/" version="2005-1">\n  <head><meta name="dtb:uid" content="urn:x:1"/></head>\n  <docTitle><text>A Day Out</text></docTitle>\n  <navMap>\n{points}  </navMap>\n</ncx>\n'.encode(),
-        "OEBPS/style.css": b"p { margin: 0 }",
-        "OEBPS/cover.png": b"\x89PNG\r\n\x1a\n" + bytes(64),
+    xhtml = "application/xhtml+xml"
+    items = [tag("item", id=f"t{k}", href=n, media_type=xhtml) for k, n in enumerate(chapters)]
+    items += [tag("item", id="nav", href="nav.xhtml", media_type=xhtml, properties="nav"), tag("item", id="ncx", href="toc.ncx", media_type="application/x-dtbncx+xml"), tag("item", id="css", href="style.css", media_type="text/css"), tag("item", id="pic", href="cover.png", media_type="image/png")]
+    about = "<dc:title>A Day Out</dc:title>\n<dc:language>en</dc:language>"
+    package = f'<package xmlns="http://www.idpf.org/2007/opf" version="3.0">\n<metadata xmlns:dc="http://purl.org/dc/elements/1.1/">\n{about}\n</metadata>\n<manifest>\n' + "\n".join(items) + "\n  </manifest>\n" + tag("spine", "\n" + "\n".join(tag("itemref", idref=f"t{k}") for k in range(len(chapters))) + "\n", toc="ncx") + "\n</package>\n"
+    listed = "\n".join(tag("li", tag("a", t, href=n)) for n, (t, _) in chapters.items())
+    points = "\n".join(tag("navPoint", tag("navLabel", tag("text", t)) + tag("content", src=n), id=f"p{k}", playOrder=str(k)) for k, (n, (t, _)) in enumerate(chapters.items(), 1))
+    members = {
+        "mimetype": "application/epub+zip",
+        "META-INF/container.xml": tag("container", tag("rootfiles", tag("rootfile", full_path="OEBPS/content.opf", media_type="application/oebps-package+xml")), xmlns="urn:oasis:names:tc:opendocument:xmlns:container", version="1.0"),
+        "OEBPS/content.opf": "<?xml version='1.0' encoding='utf-8'?>\n" + package,
+        "OEBPS/nav.xhtml": page("A Day Out", tag("nav", f"<h2>Contents</h2>\n<ol>\n{listed}\n</ol>")).decode(),
+        "OEBPS/toc.ncx": tag("ncx", f"\n<docTitle><text>A Day Out</text></docTitle>\n<navMap>\n{points}\n</navMap>\n", xmlns="http://www.daisy.org/z3986/2005/ncx/", version="2005-1") + "\n",
+        "OEBPS/style.css": "p { margin: 0 }",
     }
-    return out | {f"OEBPS/{n}": page(*c) for n, c in chapters.items()} | (extra or {})
+    cover = {"OEBPS/cover.png": b"\x89PNG\r\n\x1a\n" + bytes(64)}
+    return {k: v.encode() for k, v in members.items()} | cover | {f"OEBPS/{n}": page(*c) for n, c in chapters.items()} | (extra or {})
 
 
 def archive(members: dict[str, bytes]) -> bytes:

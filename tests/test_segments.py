@@ -78,7 +78,7 @@ def written(body, *texts):
     p = Page(page("T", body))
     for s, t in zip([s for s in p.segments if s.kind != "title"], texts, strict=True):
         put(s, t)
-    return p.to_bytes().decode().split("<body>")[1].split("</body>")[0]
+    return p.to_bytes().decode().split('<body class="chapter">')[1].split("</body>")[0]
 
 
 def test_writing_back():
