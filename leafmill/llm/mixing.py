@@ -8,6 +8,7 @@ repetition is convex and documents repeat only where the quotas need it. Documen
 from __future__ import annotations
 
 import heapq
+import itertools
 from collections import defaultdict
 
 from pyspark.sql import Column, DataFrame
@@ -39,19 +40,20 @@ def share_targets(sizes: dict, weights: dict, budget: float, limit: float) -> di
 
 
 def route(capacity: dict, members: dict, quota: dict, copies: int) -> dict:
-    """Min-cost flow by successive shortest paths: words of each (pattern, source). A pattern's copy k costs k squared a word.
+    """Min-cost maximum flow: words of each (pattern, source). A pattern's copy k costs k squared a word.
 
-    capacity: words of a pattern; members: its sources; quota: words wanted of a source.
+    capacity: words of a pattern; members: its sources; quota: words wanted of a source. Primal and dual steps in turn:
+    shortest distances give heights, and all that fits flows along edges without reduced cost. The steps are as many as
+    there are path costs, not paths, and the result doesn't depend on hashing.
     """
     cap: dict = defaultdict(int)
     cost: dict = {}
-    near: dict = defaultdict(set)
+    near: dict = defaultdict(dict)
 
     def edge(a, b, c, w):
         cap[a, b] += c
         cost[a, b], cost[b, a] = w, -w
-        near[a].add(b)
-        near[b].add(a)
+        near[a][b] = near[b][a] = None
 
     for p, words in capacity.items():
         for k in range(copies):
@@ -62,28 +64,55 @@ def route(capacity: dict, members: dict, quota: dict, copies: int) -> dict:
     for s, words in quota.items():
         edge(("source", s), "end", words, 0)
     height: dict = defaultdict(int)
-    while True:
-        far, back, heap, n = {"start": 0}, {}, [(0, 0, "start")], 0
+
+    def distances() -> dict:
+        far, heap, n = {"start": 0}, [(0, 0, "start")], 0
         while heap:
             d, _, a = heapq.heappop(heap)
             if d > far[a]:
                 continue
             for b in near[a]:
                 if cap[a, b] > 0 and (e := d + cost[a, b] + height[a] - height[b]) < far.get(b, float("inf")):
-                    far[b], back[b], n = e, a, n + 1
+                    far[b], n = e, n + 1
                     heapq.heappush(heap, (e, n, b))
-        if "end" not in far:
-            break
-        for x in list(near):
+        return far
+
+    def free(a, b) -> bool:
+        return cap[a, b] > 0 and cost[a, b] + height[a] == height[b]
+
+    def levels() -> dict:
+        level, queue = {"start": 0}, ["start"]
+        for a in queue:
+            for b in near[a]:
+                if b not in level and free(a, b):
+                    level[b] = level[a] + 1
+                    queue.append(b)
+        return level
+
+    while "end" in (far := distances()):
+        for x in near:
             height[x] += min(far.get(x, far["end"]), far["end"])
-        path, x = [], "end"
-        while x != "start":
-            path.append((back[x], x))
-            x = back[x]
-        push = min(cap[e] for e in path)
-        for a, b in path:
-            cap[a, b] -= push
-            cap[b, a] += push
+        while "end" in (level := levels()):
+            path, left = ["start"], {x: iter(list(near[x])) for x in near}
+            while path:
+                a = path[-1]
+                if a == "end":
+                    steps = list(itertools.pairwise(path))
+                    push = min(cap[e] for e in steps)
+                    for x, y in steps:
+                        cap[x, y] -= push
+                        cap[y, x] += push
+                    path = path[: next(k for k, e in enumerate(steps) if not cap[e]) + 1]
+                    continue
+                for b in left[a]:
+                    if level.get(b) == level[a] + 1 and free(a, b):
+                        left[a] = itertools.chain([b], left[a])  # it may carry more
+                        path.append(b)
+                        break
+                else:
+                    path.pop()
+                    if path:
+                        next(left[path[-1]])  # nothing more that way
     return {(p, s): flow for p in capacity for s in members[p] if (flow := cap[("source", s), ("pattern", p)]) > 0}
 
 

@@ -1,6 +1,9 @@
 from __future__ import annotations
 
+import itertools
+import random
 import re
+import time
 from collections import defaultdict
 
 from leafmill.llm.mixing import route, share_targets
@@ -30,6 +33,35 @@ def test_flow_prefers_first_copies_and_meets_quotas():
     assert flow == {("x", "a"): 180}
 
 
+def test_flow_is_the_cheapest_of_the_largest():
+    rng = random.Random(4)
+    for _ in range(60):
+        members = {"x": ["a"], "y": rng.choice([["b"], ["a", "b"]]), "z": ["a", "b"]}
+        capacity, quota = {p: rng.randint(0, 2) for p in members}, {"a": rng.randint(0, 5), "b": rng.randint(0, 5)}
+        pairs = [(p, s) for p in members for s in members[p]]
+        best = None
+        for flow in itertools.product(*(range(2 * capacity[p] + 1) for p, _ in pairs)):
+            used = {p: sum(f for (q, _), f in zip(pairs, flow, strict=True) if q == p) for p in members}
+            got = {s: sum(f for (_, q), f in zip(pairs, flow, strict=True) if q == s) for s in quota}
+            if all(used[p] <= 2 * capacity[p] for p in used) and all(got[s] <= quota[s] for s in quota):
+                told = (-sum(flow), sum(max(0, used[p] - capacity[p]) for p in used))
+                best = told if best is None else min(best, told)
+        found = route(capacity, members, quota, 2)
+        used = {p: sum(f for (q, _), f in found.items() if q == p) for p in members}
+        assert (-sum(found.values()), sum(max(0, used[p] - capacity[p]) for p in used)) == best
+
+
+def test_many_overlapping_patterns_are_routed_in_time():
+    rng = random.Random(5)
+    sources = [f"s{k}" for k in range(15)]
+    members = {str(k): sorted(rng.sample(sources, rng.randint(1, 5))) for k in range(1500)}
+    capacity = {p: rng.randint(1, 10**9) for p in members}
+    quota = {s: sum(capacity.values()) // 12 for s in sources}
+    began = time.monotonic()
+    flow = route(capacity, members, quota, 2)
+    assert sum(flow.values()) == sum(quota.values()) and time.monotonic() - began < 60
+
+
 def test_contract_by_brute_force(spark, tmp_path):
     from tests_llm_data import table
 
