@@ -1,5 +1,6 @@
 """op2: token ids of every document in sorted-string-table shards, and what the shards hold."""
 
+import bisect
 import zlib
 
 import numpy as np
@@ -71,6 +72,39 @@ def read_tokens(shards, key: str = "doc_id"):
     return dealt.mapInArrow(load, f"`{key}` long, start long, n_tokens long, ids_crc32 long")
 
 
+def lookup_tokens(shards, wanted, key: str = "doc_id"):
+    """The token ids of the documents named in `wanted` (one column, `key`): key, ids; a row for each entry found.
+
+    The shards' key ranges (a row for each shard) go to every task; a key is looked up in the shards whose range holds
+    it, by Bloom filter and binary search, and only the blocks that may hold it are read.
+    """
+    ranges = sorted(((r.first is not None, r.first or 0), (r.last is not None, r.last or 0), r.path) for r in shards.collect())
+    sent = wanted.sparkSession.sparkContext.broadcast(ranges)
+
+    def find(batches):
+        import pyarrow as pa
+
+        open_: dict = {}
+        for b in batches:
+            keys, found = [], []
+            for k in b.column(0).to_pylist():
+                place = (k is not None, k or 0)
+                for first, last, path in sent.value[max(0, bisect.bisect_left(sent.value, (place,)) - 1) :]:
+                    if first > place:
+                        break
+                    if place <= last:
+                        if path not in open_:
+                            if len(open_) >= 64:
+                                open_.clear()
+                            open_[path] = open_shard(path)
+                        for ids in open_[path].get(k):
+                            keys.append(k)
+                            found.append(ids.astype(np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(found, pa.list_(pa.int64()))], [key, "ids"])
+
+    return wanted.select(F.col(key).cast("long").alias(key)).sortWithinPartitions(key).mapInArrow(find, f"`{key}` long, ids array<long>")
+
+
 def _frame(pd, rows, key):
     ids, start, n, crc = zip(*rows, strict=True)
     return pd.DataFrame({key: pd.array(ids, "Int64"), "start": start, "n_tokens": n, "ids_crc32": crc})

@@ -7,7 +7,7 @@ import zlib
 
 import numpy as np
 import pytest
-from leafmill.llm.queries_tokens import op2_token_output, tokenizer_path, write_tokens
+from leafmill.llm.queries_tokens import lookup_tokens, op2_token_output, tokenizer_path, write_tokens
 from leafmill.llm.sstable import Reader, Writer, identifier_of, key_of, open_shard
 from leafmill.llm.tokens import encoder
 
@@ -84,6 +84,10 @@ def test_awkward_rows_and_no_rows(spark, awkward, empty):
 
 
 def test_lookup_in_written_shards(spark, awkward, tmp_path):
-    shards = write_tokens(awkward, tokenizer_path(), 2, f"file://{tmp_path}/t").collect()
-    found = [ids.tolist() for s in shards for ids in open_shard(s.path).get(10)]
+    shards = write_tokens(awkward, tokenizer_path(), 2, f"file://{tmp_path}/t")
+    found = [ids.tolist() for s in shards.collect() for ids in open_shard(s.path).get(10)]
     assert found == [[*encoder(tokenizer_path()).ids("one two three").tolist(), 2]]
+    wanted = spark.createDataFrame([(10,), (77,), (None,), (3,), (1,)], "doc_id long")
+    got = sorted(((r.doc_id, len(r.ids)) for r in lookup_tokens(shards, wanted).collect()), key=str)
+    there = [(r.doc_id, len(encoder(tokenizer_path()).ids(r.text)) + 1) for r in awkward.collect() if r.doc_id in (10, None, 3, 1)]
+    assert got == sorted(there, key=str)
