@@ -208,6 +208,35 @@ def test_command_line(spark, shelf, monkeypatch, capsys, tmp_path):
     assert parse_chapters("1-3, 7") == {1, 2, 3, 7} and parse_chapters(None) is None
 
 
+def test_unusual_books(spark, shelf):
+    opf = books.parts()["OEBPS/content.opf"]
+    change = lambda *pairs: {"OEBPS/content.opf": __import__("functools").reduce(lambda x, p: x.replace(*p), pairs, opf)}
+    first = b'<itemref idref="t0"/>'
+    shelf("nav-in-spine.epub", extra=change((first, b'<itemref idref="nav"/>' + first)))
+    shelf("twice.epub", extra=change((first, first + first)))
+    shelf("no-contents.epub", extra=change((b' properties="nav"', b""), (b"application/x-dtbncx+xml", b"text/plain"), (b' toc="ncx"', b"")))
+    shelf("bad-contents.epub", extra={"OEBPS/toc.ncx": b"<ncx", "OEBPS/nav.xhtml": b"<html><p></html>"})
+    shelf("nameless.epub", extra=change((b"<dc:title>A Day Out</dc:title>", b"<dc:title> </dc:title>"), (b"<dc:language>en</dc:language>", b"")))
+    shelf("empty-spine.epub", extra=change((b'idref="t', b'idref="none')))
+    shelf("odd-paths.epub", chapters={"a b+c.xhtml": ("T", "<p>Words here</p>")}, extra={"OEBPS/content.opf": books.parts({"a b+c.xhtml": ("T", "<p>Words here</p>")})["OEBPS/content.opf"].replace(b"a b+c.xhtml", b"./x/../a%20b+c.xhtml")})
+    at = shelf("late-mimetype.epub", data=books.archive(dict(reversed(books.parts().items()))))
+    out = translate_file(spark, f"file://{at}/in", options(at))
+    assert not out.failed.count() and out.written.count() == 8
+    by_book: dict = {}
+    for r in out.reports.collect():
+        by_book.setdefault(r.book.rpartition("/")[2], []).append((r.idx, r.status, r.segments))
+    assert sorted(i for i, _, _ in by_book["nav-in-spine.epub"]) == [0, 2, 3, 4]
+    assert sorted(i for i, _, _ in by_book["twice.epub"]) == [0, 1, 2, 3, 4]
+    assert sorted(by_book["no-contents.epub"]) == [(0, "translated", 1), (1, "translated", 5), (2, "translated", 3), (3, "translated", 3)]
+    assert [x for x in by_book["nameless.epub"] if x[0] == 0] == [(0, "translated", 2)]
+    assert sorted(by_book["empty-spine.epub"])[0][0] == 0 and len(by_book["empty-spine.epub"]) == 1
+    assert sorted(by_book["odd-paths.epub"])[1] == (1, "translated", 2)
+    with zipfile.ZipFile(at / "out" / "late-mimetype.zh-CN.epub") as z:
+        assert z.namelist()[0] == "mimetype"
+    with zipfile.ZipFile(at / "out" / "bad-contents.zh-CN.epub") as z:
+        assert z.read("OEBPS/toc.ncx") == b"<ncx" and z.read("OEBPS/nav.xhtml") == b"<html><p></html>"
+
+
 def test_problems_are_found(spark, shelf):
     parts = books.parts(extra={"OEBPS/two.xhtml": books.page("T", "<p id='a'>x</p><p id='a'><a href='gone.xhtml'>y</a><a href='one.xhtml#nope'>z</a></p>")})
     del parts["OEBPS/style.css"]
