@@ -132,7 +132,7 @@ def _copies(limit: int, size: str = "size", plan: str = "", h: str = "h") -> Col
     return F.when(F.col(size) > 0, F.least(F.col(f"{plan}base") + more.cast("int"), F.lit(limit))).otherwise(0)
 
 
-def mix(docs: DataFrame, members: Column, size: Column, weights, budget_share: float, limit: int, seed: int = 17, most_patterns: int = 20_000, key: str = "doc_id") -> DataFrame:
+def mix(docs: DataFrame, members: Column, size: Column, weights, budget_share: float, limit: int, seed: int = 17, most_patterns: int = 2_000, key: str = "doc_id") -> DataFrame:
     """One row per document: the key, `members`, `size`, `copies`, `taken` (words the mix takes, repeats counted), `plan` (by source: size, target, words routed).
 
     weights(sources) gives a weight for each source, sources being sorted by code point with null last. The patterns are
@@ -143,7 +143,7 @@ def mix(docs: DataFrame, members: Column, size: Column, weights, budget_share: f
     return rows.join(plans, "pattern").select(F.col("key").alias(key), "members", "size", _copies(limit).alias("copies"), (_copies(limit) * F.col("size")).alias("taken"), "plan")
 
 
-def take(docs: DataFrame, members: Column, size: Column, weights, budget_share: float, limit: int, seed: int = 17, most_patterns: int = 20_000, key: str = "doc_id") -> DataFrame:
+def take(docs: DataFrame, members: Column, size: Column, weights, budget_share: float, limit: int, seed: int = 17, most_patterns: int = 2_000, key: str = "doc_id") -> DataFrame:
     """The rows of `docs` as the mix takes them, a row for each copy. Decisions are computed beside the rows; no text is shuffled."""
     _, plans = _planned(docs, members, size, weights, budget_share, limit, seed, most_patterns, key)
     plan = plans.select(F.col("pattern").alias("__pattern"), F.struct("prefix", "shift", "base", "added", "left_out").alias("__plan"))
