@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -9,7 +11,7 @@ from pyspark.sql import functions as F
 from ..shipping import ship
 from ..tables import BROADCAST_BYTES, open_fs, shared_dir, small, stash, write_atomically
 
-__all__ = ["BROADCAST_BYTES", "crc_mod", "mix64", "open_fs", "read", "shared_dir", "small", "stash", "text_words", "tune", "write_atomically"]
+__all__ = ["BROADCAST_BYTES", "crc_mod", "mix64", "open_fs", "read", "shared_dir", "small", "stash", "text_words", "tidy", "tune", "write_atomically"]
 
 #: Rows of an Arrow batch: whole texts are long, so the default of 10,000 could take gigabytes.
 ARROW_ROWS = 512
@@ -42,3 +44,33 @@ def mix64(x: np.ndarray) -> np.ndarray:
 def crc_mod(column: str, n: int):
     """crc32 of the id as text, modulo n; null ids count as the text ''."""
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit(""))) % n
+
+
+def tidy(run, forget=None):
+    """`run` (a function of a task's batches) with what the task has freed given back to the system at its end.
+
+    Python workers outlive their tasks, and several operators run in one worker after the other. forget: a function of a
+    module that empties what that module remembers.
+    """
+
+    @functools.wraps(run)
+    def tidied(batches):
+        try:
+            yield from run(batches)
+        finally:
+            if forget is not None:
+                forget()
+            _give_back()
+
+    return tidied
+
+
+def _give_back() -> None:
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of the GNU library
+    if trim is not None:
+        trim(0)

@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small, stash, text_words
+from .common import small, stash, text_words, tidy
 
 #: Words of a window.
 WINDOW = 10
@@ -96,7 +96,7 @@ def build_index(docs: DataFrame, key: str, text: str, terms: list[bytes], segmen
         if ids:
             yield segment()
 
-    return stash(rows.mapInArrow(run, SEGMENT.format(kind=kind)), "positional-index")
+    return stash(rows.mapInArrow(tidy(run), SEGMENT.format(kind=kind)), "positional-index")
 
 
 class Segment:
@@ -166,7 +166,7 @@ def search(index: DataFrame, found: list[tuple[str, list[int]]], rarity: dict[in
                     doc, item, start, words = zip(*hits, strict=True)
                     yield pa.RecordBatch.from_arrays([pa.array([row["segment"].as_py()] * len(hits)), pa.array(doc, pa.int32()), ids.take(pa.array(doc)).cast(id_type), row["hashes"].values.take(pa.array(doc)), pa.array(item, pa.string()), pa.array(start, pa.int32()), pa.array(words, pa.int32())], ["segment", "doc", "id", "hash", "item", "start", "words"])
 
-    return index.mapInArrow(run, f"segment string, doc int, id {kind}, hash long, item string, start int, words int")
+    return index.mapInArrow(tidy(run), f"segment string, doc int, id {kind}, hash long, item string, start int, words int")
 
 
 def matches(docs: DataFrame, items: DataFrame, key: str = "doc_id", item_key: str = "item_id", text: str = "text", window: int = WINDOW, slop: int = 0) -> tuple[DataFrame, DataFrame]:

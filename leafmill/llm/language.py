@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix64, stash
+from .common import mix64, stash, tidy
 
 UNDETERMINED = "und"
 
@@ -82,14 +82,19 @@ class Filters:
     slots: dict = field(default_factory=dict)
     scale: dict = field(default_factory=dict)
 
+    @property
+    def kind(self) -> np.dtype:
+        """The least unsigned integers that have a bit for each language; a small table stays in the processor's cache."""
+        return np.min_scalar_type((1 << max(1, len(self.languages))) - 1)
+
     def at(self, h: np.ndarray) -> list[np.ndarray]:
         mask = np.uint64((1 << self.bits) - 1)
         return [(h >> np.uint64(k * 20 % 44)) & mask for k in range(self.probes)]
 
     def add(self, size: int, language: int, h: np.ndarray) -> None:
-        table = self.slots.setdefault(size, np.zeros(1 << self.bits, np.uint64))
+        table = self.slots.setdefault(size, np.zeros(1 << self.bits, self.kind))
         for at in self.at(h):
-            np.bitwise_or.at(table, at, np.uint64(1 << language))
+            np.bitwise_or.at(table, at, self.kind.type(1 << language))
 
     def lookup(self, size: int, h: np.ndarray) -> np.ndarray:
         """The bitmask of the languages that contain each n-gram."""
@@ -103,7 +108,7 @@ class Filters:
     def rates(self, size: int) -> np.ndarray:
         """The chance, by language, that an n-gram that was never added is reported."""
         table = self.slots[size]
-        return np.array([np.count_nonzero(table & np.uint64(1 << k)) / len(table) for k in range(len(self.languages))]) ** self.probes
+        return np.array([np.count_nonzero(table & table.dtype.type(1 << k)) / len(table) for k in range(len(self.languages))]) ** self.probes
 
     def counts(self, text: str | None) -> tuple[np.ndarray, int]:
         """Corrected hits by language over all sizes, longer n-grams weighing more, and the weighted number of n-grams."""
@@ -114,7 +119,7 @@ class Filters:
             if not len(h):
                 continue
             found = self.lookup(size, h)
-            n = np.array([np.count_nonzero(found & np.uint64(1 << k)) for k in range(len(self.languages))], float)
+            n = np.array([np.count_nonzero(found & found.dtype.type(1 << k)) for k in range(len(self.languages))], float)
             rate = self.scale[size]
             hits += size * np.clip((n - rate * len(h)) / np.maximum(1 - rate, 1e-9), 0, None)
             total += size * len(h)
@@ -157,7 +162,7 @@ def fit(docs: DataFrame, lang: str = "lang", text: str = "text", rows: int = 2_0
             keys, n = np.unique(np.concatenate(parts), return_counts=True)
             yield pd.DataFrame({"lang": name, "size": size, "gram": keys.view(np.int64), "n": n})
 
-    counted = picked.select("lang", "text").repartition(24).mapInPandas(count, "lang string, size int, gram long, n long").groupBy("lang", "size", "gram").agg(F.sum("n").alias("n")).where("n > 1")
+    counted = picked.select("lang", "text").repartition(24).mapInPandas(tidy(count), "lang string, size int, gram long, n long").groupBy("lang", "size", "gram").agg(F.sum("n").alias("n")).where("n > 1")
     counted = stash(counted, "language-grams")
     # The commonest that make up `keep` of the occurrences: the least count that qualifies comes from a histogram of counts.
     levels = counted.groupBy("lang", "size", "n").agg(F.count("*").alias("m")).collect()
@@ -185,10 +190,10 @@ def fit(docs: DataFrame, lang: str = "lang", text: str = "text", rows: int = 2_0
     slices = {(r["lang"], r["size"]): r.bits for r in chosen.groupBy("lang", "size").applyInPandas(cut, "lang string, size int, bits binary").collect()}
     out = Filters([name for name, _ in known], bits)
     for size in SIZES:
-        table = out.slots[size] = np.zeros(1 << bits, np.uint64)
+        table = out.slots[size] = np.zeros(1 << bits, out.kind)
         for k, name in enumerate(out.languages):
             if (name, size) in slices:
-                table |= np.unpackbits(np.frombuffer(slices[name, size], np.uint8)).astype(np.uint64) << np.uint64(k)
+                table |= np.unpackbits(np.frombuffer(slices[name, size], np.uint8)).astype(out.kind) << out.kind.type(k)
         out.scale[size] = out.rates(size)
     return out
 
@@ -205,7 +210,7 @@ def predict(docs: DataFrame, filters: Filters, keys: list[str], text: str = "tex
 
     rows = docs.select(*keys, F.col(text).cast("string").alias("_text"))
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "_text")
-    return rows.mapInPandas(run, f"{fields}, lang_pred string, score double")
+    return rows.mapInPandas(tidy(run), f"{fields}, lang_pred string, score double")
 
 
 def known_only(docs: DataFrame, filters: Filters, text: str = "text") -> DataFrame:

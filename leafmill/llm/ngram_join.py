@@ -15,7 +15,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import mix64, small, stash, text_words
+from .common import mix64, small, stash, text_words, tidy
 from .components import components
 
 #: Words of a shingle and the least similarity of a link.
@@ -42,6 +42,10 @@ def prefix_length(threshold: float = THRESHOLD, trees: int = TREES, longest: int
 _WORDS: dict[bytes, int] = {}
 
 
+def forget_words() -> None:
+    _WORDS.clear()
+
+
 def shingles(text: str | None, words: int = WORDS) -> np.ndarray:
     """The sorted distinct hashes of a text's runs of `words` words; a shorter text is one run; no word, no run."""
     found = text_words(text.lower()) if text else []
@@ -109,7 +113,7 @@ def _sign(length: int, trees: int, words: int, with_sets: bool):
                 rows = pa.ListArray.from_arrays(pa.array(np.arange(len(keys) + 1, dtype=np.int32) * trees), flat)
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array(keys, pa.binary()), pa.array(sizes, pa.int32()), rows], ["id", "key", "n", "prefixes"])
 
-    return run
+    return tidy(run, forget_words)
 
 
 def _verify(threshold: float):
@@ -136,7 +140,7 @@ def _verify(threshold: float):
         if out:
             yield _rows(pa, out)
 
-    return run
+    return tidy(run)
 
 
 def _rows(pa, out):

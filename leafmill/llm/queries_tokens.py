@@ -8,7 +8,7 @@ from pyspark import TaskContext
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from .common import read, shared_dir, stash
+from .common import read, shared_dir, stash, tidy
 from .sstable import open_shard, write_shard
 from .tokens import encoder
 
@@ -44,7 +44,7 @@ def write_tokens(docs, tokenizer: str, end_id: int, folder: str, key: str = "doc
         if entries_:
             yield from _arrow(pd.DataFrame({"part": [part], "path": [path], "entries": [entries_], "tokens": [tokens_], "first": pd.array([first], "Int64"), "last": pd.array([last], "Int64")}))
 
-    return stash(dealt.mapInArrow(write, "part int, path string, entries long, tokens long, first long, last long"), "token-shards")
+    return stash(dealt.mapInArrow(tidy(write), "part int, path string, entries long, tokens long, first long, last long"), "token-shards")
 
 
 def read_tokens(shards, key: str = "doc_id"):
@@ -69,7 +69,7 @@ def read_tokens(shards, key: str = "doc_id"):
                 if rows:
                     yield from _arrow(_frame(pd, rows, key))
 
-    return dealt.mapInArrow(load, f"`{key}` long, start long, n_tokens long, ids_crc32 long")
+    return dealt.mapInArrow(tidy(load), f"`{key}` long, start long, n_tokens long, ids_crc32 long")
 
 
 def lookup_tokens(shards, wanted, key: str = "doc_id"):

@@ -8,7 +8,7 @@ import re
 import numpy as np
 
 #: Chunks that a process remembers; when full, the memory starts anew.
-CACHE = 800_000
+CACHE = 400_000
 
 #: Texts of these characters alone, without the start of an added token, are lower-cased and cut here; others are encoded whole.
 _PLAIN = re.compile("[\t\n\r\x20-\x3b\x3d-\x7e\xa1-\xffĀ-įĲ-ž‐-‧‰-⁞€]*")

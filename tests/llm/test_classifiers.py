@@ -110,9 +110,17 @@ def test_bitmask_filters_return_every_language_and_correct_false_positives():
     a, b, both, other = (rng.integers(0, 1 << 63, 300, np.uint64) for _ in range(4))
     for k, h in ((0, a), (1, b), (0, both), (1, both)):
         f.add(3, k, h)
-    assert (f.lookup(3, both) == 3).all() and (f.lookup(3, a) & np.uint64(1)).all()
+    assert (f.lookup(3, both) == 3).all() and (f.lookup(3, a) & 1).all()
     rate = f.rates(3)
-    assert abs((f.lookup(3, other) & np.uint64(1)).mean() - rate[0]) < 0.05
+    assert abs((f.lookup(3, other) & 1).mean() - rate[0]) < 0.05
+
+
+@pytest.mark.parametrize(("n", "kind"), [(1, "uint8"), (8, "uint8"), (9, "uint16"), (33, "uint64"), (64, "uint64")])
+def test_masks_have_a_bit_for_each_language(n, kind):
+    f = language.Filters([str(k) for k in range(n)], bits=10)
+    h = np.arange(1, 50, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    f.add(3, n - 1, h)
+    assert f.slots[3].dtype == kind and (f.lookup(3, h) >> (n - 1) == 1).all() and f.rates(3)[: n - 1].sum() == 0
 
 
 def test_language_of_the_tables_documents(spark):
