@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .boosting import BoostedTrees
+from .common import small, stash
 
 FEATURES = ("url_length", "host_length", "path_length", "query_length", "depth", "longest_segment", "dots", "hyphens", "digit_ratio", "host_digits", "letter_entropy", "host_entropy", "parameters", "longest_parameter", "percents", "fragment", "secure", "file_suffix", "suffix_rows", "suffix_rate")
 
@@ -64,12 +65,12 @@ def features(url: str | None, suffix_rows: float, suffix_rate: float) -> list[fl
     ]
 
 
-def judge(urls: DataFrame, rules: list[tuple[str, str]], key: str, url: str = "url", sample: int = 20_000, most_suffixes: int = 50_000) -> DataFrame:
+def judge(urls: DataFrame, rules: list[tuple[str, str]], key: str, url: str = "url", sample: int = 20_000) -> DataFrame:
     """One row per input row: key, host, path, rule, verdict, score (the trees' probability that it is blocked; null under a rule).
 
     The trees are fitted on the driver with the `sample` labelled URLs of the smallest hashes, which is the documented
-    bound of the fit; the suffix statistics cover all rows. Suffixes beyond the `most_suffixes` commonest share one
-    entry, that of unseen ones. Null URLs and those without '://' have empty hosts and paths and are judged by the trees.
+    bound of the fit; the suffix statistics cover all rows and all suffixes, as a written table that is joined to the
+    rows. Null URLs and those without '://' have empty hosts and paths and are judged by the trees.
     With no labelled URL of one kind the prior decides; with no labels at all the verdict is 'allow'.
     """
     spark = urls.sparkSession
@@ -78,28 +79,31 @@ def judge(urls: DataFrame, rules: list[tuple[str, str]], key: str, url: str = "u
     rule, verdict = matched_rule(F.col("host"), F.col("path"), rules)
     rows = rows.withColumns({"host": host, "path": path}).withColumns({"rule": rule, "said": verdict, "suffix": suffix_of(F.col("host"))})
     stats = rows.groupBy("suffix").agg(F.count("*").alias("n"), F.count("said").alias("m"), F.count_if(F.col("said") == "block").alias("k"))
-    known = {r.suffix: (r.n, (r.k + 1) / (r.m + 2)) for r in stats.orderBy(F.desc("n"), "suffix").limit(most_suffixes).collect()}
+    stats = stash(stats.select("suffix", "n", ((F.col("k") + 1) / (F.col("m") + 2)).alias("rate")), "url-suffixes")
     labelled = rows.where("said IS NOT NULL").select("url", "suffix", (F.col("said") == "block").cast("int").alias("y"), F.xxhash64("url", "key").alias("h")).orderBy("h", "url").limit(sample).collect()
+    # The sample's suffixes, `sample` at most, find their statistics on the executors.
+    wanted = spark.createDataFrame([(s,) for s in sorted({r.suffix for r in labelled})], "suffix string")
+    known = {r.suffix: (r.n, r.rate) for r in stats.join(F.broadcast(wanted), "suffix").collect()}
     # In the fit a URL's own label is left out of its suffix's rate.
     def rate(r):
-        n, p = known.get(r.suffix, (0, 0.5))
-        return n, p
+        return known[r.suffix]
 
     x = np.array([features(r.url, *rate(r)) for r in labelled], float).reshape(-1, len(FEATURES))
     model = BoostedTrees().fit(x, np.array([r.y for r in labelled], float))
-    sent = spark.sparkContext.broadcast((model, known))
+    sent = spark.sparkContext.broadcast(model)
 
     def score(batches):
         import pandas as pd
 
-        model, known = sent.value
+        model = sent.value
         for b in batches:
-            x = np.array([features(u, *known.get(s, (0, 0.5))) for u, s in zip(b["url"], b["suffix"], strict=True)], float).reshape(-1, len(FEATURES))
+            x = np.array([features(*r) for r in zip(b["url"], b["n"], b["rate"], strict=True)], float).reshape(-1, len(FEATURES))
             p = model.predict(x)
             free = b["rule"].isna()
             b["score"] = np.where(free, p, np.nan)
             b["verdict"] = b["said"].where(~free, pd.Series(np.where(p > 0.5, "block", "allow"), index=b.index))
             yield b[["key", "host", "path", "rule", "verdict", "score"]]
 
-    out = rows.select("key", "url", "host", "path", "rule", "said", "suffix").mapInPandas(score, f"key {rows.schema['key'].dataType.simpleString()}, host string, path string, rule string, verdict string, score double")
+    dealt = rows.join(small(stats, 300), "suffix")
+    out = dealt.select("key", "url", "host", "path", "rule", "said", "n", "rate").mapInPandas(score, f"key {rows.schema['key'].dataType.simpleString()}, host string, path string, rule string, verdict string, score double")
     return out.withColumnRenamed("key", key).withColumn("score", F.nanvl("score", F.lit(None)))

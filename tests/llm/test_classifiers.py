@@ -100,6 +100,24 @@ def test_url_rules_by_brute_force(spark):
     assert op8_url_filter(spark, "", spark.createDataFrame([], "page_id long, url string")).collect() == []
 
 
+def test_every_host_suffix_has_its_statistics(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    # 50,010 suffixes of two unlabelled pages each, and a rarer one of a single page, after the 50,000 commonest.
+    many = spark.range(100_020).select(F.col("id").alias("page_id"), F.concat(F.lit("http://h"), F.floor(F.col("id") / 2), F.lit(".net/p")).alias("url"))
+    rare = spark.createDataFrame([(-1, "http://zz.rare/p"), (-2, "http://a.com/de/1"), (-3, "http://b.com/fr/1")], "page_id long, url string")
+
+    def fit(self, x, y):  # one cut, between no row of a suffix and one
+        self.depth, self.trees = 1, [(np.array([urls.FEATURES.index("suffix_rows")]), np.array([0.3]), np.array([-1.0, 1.0]))]
+        return self
+
+    monkeypatch.setattr(BoostedTrees, "fit", fit)
+    for sized in (urls.small, lambda df, row_bytes: df):  # broadcast while small, and shuffled
+        monkeypatch.setattr(urls, "small", sized)
+        got = op8_url_filter(spark, "", many.unionByName(rare))
+        assert {(r.verdict, r["count"]) for r in got.where("rule IS NULL").groupBy("verdict").count().collect()} == {("block", 100_021)}
+
+
 def test_url_features_have_names():
     assert len(urls.features("https://a.b-c.org/x/y1.html?p=1&q=22#f", 3, 0.5)) == len(urls.FEATURES) == len(urls.features(None, 0, 0.5))
 
