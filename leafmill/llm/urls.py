@@ -20,6 +20,10 @@ from .common import small, stash
 FEATURES = ("url_length", "host_length", "path_length", "query_length", "depth", "longest_segment", "dots", "hyphens", "digit_ratio", "host_digits", "letter_entropy", "host_entropy", "parameters", "longest_parameter", "percents", "fragment", "secure", "file_suffix", "suffix_rows", "suffix_rate")
 
 
+#: Parts of the labelled URLs; in the fit a URL's suffix rate comes from the other parts.
+PARTS = 5
+
+
 def host_of(url: Column) -> Column:
     """After the first '://' up to '/', '?', '#' or the end, with A-Z lowered; '' where there is no '://'."""
     return F.translate(F.coalesce(F.regexp_extract(url, r"(?s)^.*?://([^/?#]*)", 1), F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -78,15 +82,20 @@ def judge(urls: DataFrame, rules: list[tuple[str, str]], key: str, url: str = "u
     host, path = host_of(F.col("url")), path_of(F.col("url"))
     rule, verdict = matched_rule(F.col("host"), F.col("path"), rules)
     rows = rows.withColumns({"host": host, "path": path}).withColumns({"rule": rule, "said": verdict, "suffix": suffix_of(F.col("host"))})
-    stats = rows.groupBy("suffix").agg(F.count("*").alias("n"), F.count("said").alias("m"), F.count_if(F.col("said") == "block").alias("k"))
-    stats = stash(stats.select("suffix", "n", ((F.col("k") + 1) / (F.col("m") + 2)).alias("rate")), "url-suffixes")
-    labelled = rows.where("said IS NOT NULL").select("url", "suffix", (F.col("said") == "block").cast("int").alias("y"), F.xxhash64("url", "key").alias("h")).orderBy("h", "url").limit(sample).collect()
+    part, block = F.pmod(F.xxhash64("url"), F.lit(PARTS)), F.col("said") == "block"
+    counts = [F.count("*").alias("n"), F.count("said").alias("m"), F.count_if(block).alias("k")]
+    by_part = [F.array(*(F.count_if(x & (part == p)) for p in range(PARTS))).alias(name) for name, x in (("ms", F.col("said").isNotNull()), ("ks", block))]
+    stats = stash(rows.groupBy("suffix").agg(*counts, *by_part).withColumn("rate", (F.col("k") + 1) / (F.col("m") + 2)), "url-suffixes")
+    labelled = rows.where("said IS NOT NULL").select("url", "suffix", block.cast("int").alias("y"), part.alias("part"), F.xxhash64("url", "key").alias("h")).orderBy("h", "url").limit(sample).collect()
     # The sample's suffixes, `sample` at most, find their statistics on the executors.
     wanted = spark.createDataFrame([(s,) for s in sorted({r.suffix for r in labelled})], "suffix string")
-    known = {r.suffix: (r.n, r.rate) for r in stats.join(F.broadcast(wanted), "suffix").collect()}
-    # In the fit a URL's own label is left out of its suffix's rate.
+    known = {r.suffix: r for r in stats.join(F.broadcast(wanted), "suffix").collect()}
+
+    # In the fit a URL's own label is left out of its suffix's rate, and with it the labels of its whole part. Leaving
+    # out one row alone would give a suffix's blocked URLs a lower rate than its allowed ones, which tells the label too.
     def rate(r):
-        return known[r.suffix]
+        s = known[r.suffix]
+        return s.n, (s.k - s.ks[r.part] + 1) / (s.m - s.ms[r.part] + 2)
 
     x = np.array([features(r.url, *rate(r)) for r in labelled], float).reshape(-1, len(FEATURES))
     model = BoostedTrees().fit(x, np.array([r.y for r in labelled], float))
@@ -104,6 +113,6 @@ def judge(urls: DataFrame, rules: list[tuple[str, str]], key: str, url: str = "u
             b["verdict"] = b["said"].where(~free, pd.Series(np.where(p > 0.5, "block", "allow"), index=b.index))
             yield b[["key", "host", "path", "rule", "verdict", "score"]]
 
-    dealt = rows.join(small(stats, 300), "suffix")
+    dealt = rows.join(small(stats.select("suffix", "n", "rate"), 300), "suffix")
     out = dealt.select("key", "url", "host", "path", "rule", "said", "n", "rate").mapInPandas(score, f"key {rows.schema['key'].dataType.simpleString()}, host string, path string, rule string, verdict string, score double")
     return out.withColumnRenamed("key", key).withColumn("score", F.nanvl("score", F.lit(None)))

@@ -118,6 +118,39 @@ def test_every_host_suffix_has_its_statistics(spark, monkeypatch):
         assert {(r.verdict, r["count"]) for r in got.where("rule IS NULL").groupBy("verdict").count().collect()} == {("block", 100_021)}
 
 
+def test_a_suffix_rate_does_not_tell_a_urls_own_label(spark, monkeypatch):
+    # Suffixes of one labelled page each, whose path alone tells the label, repeated; and one suffix with many of both.
+    lone = [(f"http://h{k}.org/{'aa' if k % 2 else 'a/b/c/d/e/f'}", k % 2) for k in range(300)]
+    shared = [(f"http://big.net/{'x' if k % 2 else 'y'}{k}", k % 2) for k in range(400)]
+    rules = [*((u.split("://")[1], "block" if y else "allow") for u, y in lone), ("big.net/x", "block"), ("big.net/y", "allow")]
+    free = [f"http://new{k}.com/{'aa' if k % 2 else 'a/b/c/d/e/f'}" for k in range(40)]
+    rows = [*(u for u, _ in lone for _ in range(2)), *(u for u, _ in shared), *free]
+    seen = []
+    fit = BoostedTrees.fit
+    monkeypatch.setattr(BoostedTrees, "fit", lambda self, x, y: seen.append((x, y)) or fit(self, x, y))
+    pages = spark.createDataFrame(list(enumerate(rows)), "page_id long, url string")
+    monkeypatch.setattr(urls, "matched_rule", lambda host, path, told: by_table(host, path, told))
+
+    def by_table(host, path, told):  # as many rules as these would make too long an expression
+        from itertools import chain
+
+        from pyspark.sql import functions as F
+
+        text = F.concat(host, path)
+        said = F.create_map(*[F.lit(x) for x in chain.from_iterable(told[:-2])])
+        said = F.coalesce(said[text], F.when(text.startswith("big.net/x"), "block").when(text.startswith("big.net/y"), "allow"))
+        return F.when(said.isNotNull(), text), said
+
+    got = urls.judge(pages, rules, "page_id").collect()
+    (x, y), at = seen[0], urls.FEATURES.index("suffix_rate")
+    alone = np.log1p(2) == x[:, urls.FEATURES.index("suffix_rows")]
+    assert alone.sum() == 600 and (x[alone, at] == 0.5).all()
+    shared_rates = [set(x[~alone & (y == label), at]) for label in (0, 1)]
+    assert shared_rates[0] == shared_rates[1] and len(shared_rates[0]) > 1
+    new = {r.page_id: r.verdict for r in got if r.rule is None}
+    assert new == {len(rows) - 40 + k: "block" if k % 2 else "allow" for k in range(40)}
+
+
 def test_url_features_have_names():
     assert len(urls.features("https://a.b-c.org/x/y1.html?p=1&q=22#f", 3, 0.5)) == len(urls.FEATURES) == len(urls.features(None, 0, 0.5))
 
