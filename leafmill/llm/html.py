@@ -36,11 +36,11 @@ _BOX = frozenset("ul ol menu dl table select div article section main aside body
 #: Elements that are never article text.
 DROPPED = frozenset("head nav footer aside form button select option input menu dialog svg math canvas object audio video map fieldset label script style noscript iframe template textarea title xmp noembed noframes".split())
 
-#: Words of a class, id or role that mark what isn't article text.
-MARKS = frozenset("ad ads advert adverts advertisement advertising banner banners breadcrumb breadcrumbs byline comment comments commentlist consent contentinfo cookie cookies copyright disqus footer gdpr masthead menu menubar modal nav navbar navigation newsletter notice notices notification pagination paywall popup print promo promoted promotion related replies reply respond search share sharing sidebar signup skip social sponsor sponsored subscribe subscription tags teaser toc toolbar widget widgets".split())
+#: Whole tokens of a class, id or role that mark what isn't article text.
+MARKS = frozenset("ad ads advert adverts advertisement advertising banner banners breadcrumb breadcrumbs byline comment comments commentlist consent contentinfo cookie cookies copyright disqus footer gdpr masthead menu menubar modal nav navbar navigation newsletter notice notices notification pagination paywall popup print promo promoted promotion related replies reply respond search share sharing sidebar signup skip social sponsor sponsored subscribe subscription tags teaser toc toolbar widget widgets comment-list comments-area comment-respond cookie-banner cookie-consent cookie-notice page-header page-footer related-articles related-posts share-buttons site-footer site-header site-nav skip-link social-links social-share".split())
 
-#: A page's header has these; the header inside an article belongs to the article.
-HEADERS = frozenset(("header",))
+#: Elements that no class, id or role marks: a page's frame, whose classes tell of its layout, and the text's own lines.
+KEPT = frozenset("html body main article h1 h2 h3 h4 h5 h6 p".split())
 
 #: Elements that hold one whole article: a winning path inside one of them stands for all of it.
 WHOLE = ("article", "main")
@@ -48,7 +48,6 @@ WHOLE = ("article", "main")
 #: Blocks that are lines of a container rather than containers.
 _LINES = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd pre blockquote figcaption caption td th tr tbody thead tfoot br hr summary address".split())
 
-_SPLIT = re.compile(r"[^a-z]+|(?<=[a-z])(?=[A-Z])")
 _DIGITS = re.compile(r"\d+")
 
 
@@ -57,19 +56,22 @@ def host_of(url: str | None) -> str:
     return re.split(r"[/?#]", rest, maxsplit=1)[0].lower() if mark else ""
 
 
-def _attributes(text: str) -> tuple[list[str], bool]:
-    """The classes, and whether the element is marked as something else than article text."""
-    classes, out = [], False
+def _attributes(tag: str, text: str, inside: bool) -> tuple[list[str], bool]:
+    """The classes, and whether the element is marked as something else than article text. inside: of an article or main element."""
+    classes, ids, roles, hidden = [], [], [], False
     for m in _NAMED.finditer(text):
         name, value = m[1].lower(), html.unescape((m[2] or "").strip("\"'"))
-        if name == "class":
-            classes += value.split()
         if name in ("class", "id", "role"):
-            words = {w.lower() for token in value.split() for w in _SPLIT.split(token) if w} | {w for w in re.split(r"[^a-z]+", value.lower()) if w}
-            out |= bool(words & MARKS) or (name == "class" and bool(words & HEADERS) and "page" in words)
+            {"class": classes, "id": ids, "role": roles}[name].extend(value.split())
         elif name == "hidden" or (name == "aria-hidden" and value.lower() == "true") or (name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I)):
-            out = True
-    return classes, out
+            hidden = True
+    if hidden or tag in KEPT:
+        return classes, hidden
+    kinds = {c.lower() for c in classes}
+    # An id names a box; on a line, inside a line or on an article's section it is an anchor made of the heading's words.
+    if tag not in BLOCKS or tag in _LINES or (inside and (tag == "section" or "section" in kinds)):
+        ids = []
+    return classes, not MARKS.isdisjoint(kinds.union(map(str.lower, ids), map(str.lower, roles))) or kinds >= {"page", "header"}
 
 
 def blocks(page: str | None) -> list[tuple[str, str, bool, int, str]]:
@@ -147,7 +149,7 @@ def blocks(page: str | None) -> list[tuple[str, str, bool, int, str]]:
                 close()
             continue
         top = stack[-1]
-        classes, marked = _attributes(m[3]) if m[3].strip(" /\n") else ([], False)
+        classes, marked = _attributes(tag, m[3], bool(top[3])) if m[3].strip(" /\n") else ([], False)
         path = top[2]
         if block and tag not in _LINES:
             path = f"{path}>{tag}" + "".join(f".{c}" for c in sorted({_DIGITS.sub('0', c) for c in classes}))

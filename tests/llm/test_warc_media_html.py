@@ -115,6 +115,22 @@ def test_extraction(page, text):
     assert extraction.extract(page, "html>body>nowhere") == text
 
 
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        ("<html class=no-print><body class='right-sidebar'><p>Body text.</p></body></html>", "Body text."),
+        ("<body class='page no-sidebar sidebar'><div class='has-sidebar'><p>Body text.</p></div></body>", "Body text."),
+        ("<body id=search><article class='post category-social social'><p>Post.</p></article></body>", "Post."),
+        ("<main role=main class=search id=search><p>Post.</p></main>", "Post."),
+        ("<article><h2 id='related-work'>Related work</h2><p>One.</p><h2 id=search>Search</h2><p id=notice class=copyright>Two.</p></article>", "Related work One. Search Two."),
+        ("<article><section id='search'><h2>Search</h2><p>One.</p></section><div class=section id=tags><p>Two <span id=share>three</span>.</p></div><dl><dt id=menu>Menu<dd>Four.</dl></article>", "Search One. Two three. Menu Four."),
+        ("<article><p>One.</p><div class='Comments x'><p>nice!</p></div><div id=comments>no</div><section class=related>no</section><ul class='social'><li>no</ul><div role=search>no</div></article><div id=sidebar><p>no</p></div>", "One."),
+    ],
+)
+def test_layout_classes_and_anchors_keep_their_text(page, text):
+    assert extraction.extract(page, None) == text
+
+
 def test_hosts_vote(spark):
     good = "<body><div class='c{}'><p>The text of page {}, which is the article, has a few commas, and words.</p></div><div class=links><p><a href=a>one</a> <a href=b>two</a></p></div></body>"
     odd = "<body><div class='c9'><p>Short.</p></div><div class=box><p>A long and busy box, with much text, that other pages of this host, all of them, do not have at all.</p></div></body>"
