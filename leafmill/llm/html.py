@@ -1,8 +1,9 @@
 """HTML extraction by consensus host paths.
 
 Each page's containers are scored by the text that stands in them; the scores are votes for the containers' generalised
-tag-class paths, summed per host in Spark. A host's winning path then says where every page of the host has its article;
-pages without that path use their own best container.
+tag-class paths, summed per host in Spark. From the winning path a host's pages vote, each with one vote, for the
+containers around it, for as long as these add more article text than other text. The path so found says where every page
+of the host has its article; pages without that path use their own best container.
 """
 
 from __future__ import annotations
@@ -152,7 +153,7 @@ def blocks(page: str | None) -> list[tuple[str, str, bool, int, str]]:
         classes, marked = _attributes(tag, m[3], bool(top[3])) if m[3].strip(" /\n") else ([], False)
         path = top[2]
         if block and tag not in _LINES:
-            path = f"{path}>{tag}" + "".join(f".{c}" for c in sorted({_DIGITS.sub('0', c) for c in classes}))
+            path = f"{path}>{tag}" + "".join(f".{c}" for c in sorted({_DIGITS.sub('0', c).replace('>', '_') for c in classes}))
         whole = top[3] or (path if tag in WHOLE else "")
         dropped = tag in DROPPED or marked or (tag == "header" and not top[3])
         if dropped:
@@ -168,31 +169,83 @@ def blocks(page: str | None) -> list[tuple[str, str, bool, int, str]]:
     return out
 
 
-def containers(page: str | None) -> dict[str, float]:
-    """Scores of a page's containers by generalised path: what their text weighs, links counting against it, as a share of the page's. Dropped containers have none."""
+#: A run of text up to this many characters may be a label as well as a sentence.
+_LABEL = 40
+
+
+def _scores(found: list) -> dict[str, float]:
     scores: dict = defaultdict(float)
-    for path, whole, dropped, linked, text in blocks(page):
+    for path, whole, dropped, linked, text in found:
         if not dropped:
-            weight = max(0, len(text) - 2 * linked) * (1.0 if len(text) > 40 else 0.5) + 5 * sum(map(text.count, ".,;:!?"))
+            weight = max(0, len(text) - 2 * linked) * (1.0 if len(text) > _LABEL else 0.5) + 5 * sum(map(text.count, ".,;:!?"))
             if weight:
                 scores[whole or path] += weight
     total = sum(scores.values())
     return {p: s / total for p, s in scores.items()} if total else {}
 
 
+def containers(page: str | None) -> dict[str, float]:
+    """Scores of a page's containers by generalised path: what their text weighs, links counting against it, as a share of the page's. Dropped containers have none."""
+    return _scores(blocks(page))
+
+
+def _above(path: str) -> list[str]:
+    """The paths of the containers around a path, the nearest first."""
+    return [path[:k] for k in range(len(path) - 1, -1, -1) if path[k] == ">"]
+
+
+def _steps(found: list) -> dict[tuple[str, str], int]:
+    """By path and path of a container around it: 1 if the container adds more sentences than other text (links, and labels by half), -1 if less; absent if it adds as much or nothing.
+
+    What is in an article or main element stands for itself, and none is around it.
+    """
+    held: dict = defaultdict(float)
+    closed = set()
+    for path, whole, dropped, linked, text in found:
+        if dropped:
+            continue
+        own = whole or path
+        if whole:
+            closed.add(whole)
+        rest = max(0, len(text) - linked)
+        gain = (rest if len(text) > _LABEL else -rest / 2) - linked
+        for p in (own, *_above(own)):
+            held[p] += gain
+    out = {}
+    for p, mine in held.items():
+        if p not in closed:
+            for above in _above(p):
+                if gain := held[above] - mine:
+                    out[p, above] = 1 if gain > 0 else -1
+    return out
+
+
+def widest(path: str, steps: dict[tuple[str, str], float]) -> str:
+    """From a path to the container around it that the most votes are for, the smallest of equal ones, and on from there."""
+    while True:
+        best, most = None, 0
+        for above in _above(path):
+            if steps.get((path, above), 0) > most:
+                best, most = above, steps[path, above]
+        if best is None:
+            return path
+        path = best
+
+
 def extract(page: str | None, path: str | None) -> str:
     """The text of the containers at a path and of what is inside them; at the page's own best one if the page lacks the path."""
-    found = [(p, w, t) for p, w, dropped, _, t in blocks(page) if not dropped]
+    every = blocks(page)
+    found = [(p, w, t) for p, w, dropped, _, t in every if not dropped]
     inside = [t for p, w, t in found if path and (p == path or p.startswith(f"{path}>") or w == path)]
     if not inside and found:
-        own = containers(page)
-        best = max(own, key=lambda k: (own[k], k)) if own else found[0][1] or found[0][0]
+        own = _scores(every)
+        best = widest(max(own, key=lambda k: (own[k], k)) if own else found[0][1] or found[0][0], _steps(every))
         inside = [t for p, w, t in found if p == best or p.startswith(f"{best}>") or w == best]
     return " ".join(inside)
 
 
 def votes(pages: DataFrame, page: str = "html", url: str = "url") -> DataFrame:
-    """The winning path of each host: host, path. A page's votes sum to 1, so no page outweighs another; ties go to the least path."""
+    """The winning path of each host: host, path. A page's votes sum to 1, so no page outweighs another; ties go to the least path. Then a page has one vote for or against each container around the winner."""
 
     def run(batches):
         import pandas as pd
@@ -200,15 +253,26 @@ def votes(pages: DataFrame, page: str = "html", url: str = "url") -> DataFrame:
         for b in batches:
             told: dict = defaultdict(float)
             for u, h in zip(b["url"], b["html"], strict=True):
-                host = host_of(u)
-                for path, score in containers(h).items():
-                    told[host, path] += score
+                host, found = host_of(u), blocks(h)
+                for path, score in _scores(found).items():
+                    told[host, path, None] += score
+                for (path, above), vote in _steps(found).items():
+                    told[host, path, above] += vote
             if told:
-                yield pd.DataFrame([(*k, v) for k, v in told.items()], columns=["host", "path", "score"])
+                yield pd.DataFrame([(*k, v) for k, v in told.items()], columns=["host", "path", "above", "score"])
+
+    def widen(batches):
+        for b in batches:
+            b["path"] = [widest(p, {(s["path"], s["above"]): s["score"] for s in steps}) for p, steps in zip(b["path"], b["steps"], strict=True)]
+            yield b[["host", "path"]]
 
     rows = pages.select(F.col(url).cast("string").alias("url"), F.col(page).cast("string").alias("html"))
-    summed = rows.mapInPandas(run, "host string, path string, score double").groupBy("host", "path").agg(F.sum("score").alias("score"))
-    return summed.groupBy("host").agg(F.min_by("path", F.struct(-F.round("score", 6), F.col("path"))).alias("path"))
+    summed = stash(rows.mapInPandas(run, "host string, path string, above string, score double").groupBy("host", "path", "above").agg(F.sum("score").alias("score")), "host-votes")
+    winners = stash(summed.where("above IS NULL").groupBy("host").agg(F.min_by("path", F.struct(-F.round("score", 6), F.col("path"))).alias("path")), "host-winners")
+    # Only the winner and the containers around it can be climbed to: a few rows for each host.
+    steps = summed.where("above IS NOT NULL AND score > 0").alias("s").join(small(winners, 300).alias("w"), "host").where("w.path = s.path OR startswith(w.path, concat(s.path, '>'))")
+    steps = steps.groupBy("host").agg(F.collect_list(F.struct("s.path", "s.above", "s.score")).alias("steps"))
+    return winners.join(steps, "host", "left").withColumn("steps", F.coalesce("steps", F.array().cast(steps.schema["steps"].dataType))).select("host", "path", "steps").mapInPandas(widen, "host string, path string")
 
 
 def articles(pages: DataFrame, key: str = "page_id", page: str = "html", url: str = "url") -> DataFrame:

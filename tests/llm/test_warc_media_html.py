@@ -140,6 +140,28 @@ def test_hosts_vote(spark):
     assert op3_html_extraction(spark, "", spark.createDataFrame([], "page_id long, url string, html string")).collect() == []
 
 
+LEAD = "The lead of article {}, which says in a sentence what follows."
+BODY = "The body of article {}, which is much longer than its lead, has commas, and goes on for several lines of text. " * 4
+
+
+@pytest.mark.parametrize(
+    ("page", "kept"),
+    [
+        ("<body><div id=content><div class=lead><p>{lead}</p></div><div class=body><p>{body}</p></div></div><div class=links><a href=x>One of many links of this page</a></div></body>", "{lead} {body}"),
+        ("<body><div id=content><section class=lead><p>{lead}</p></section><div class=in><div class=bar><a href=x>Share</a></div><div class=body><p>{body}</p></div></div></div></body>", "{lead} Share {body}"),
+        ("<div class=lead><p>{lead}</p></div><div class=body><p>{body}</p><blockquote class=q>{lead}</blockquote></div>", "{lead} {body} {lead}"),
+        ("<body><div class=body><p>{body}</p></div><div class=links><p><a href=x>A link with a text as long as that of a sentence has</a></p><p>{lead}</p><a href=y>Another link with as long a text as the first</a></div></body>", "{body}"),
+        ("<body><div class=lead><p>{lead}</p></div><article><p>{body}</p></article></body>", "{body}"),
+    ],
+)
+def test_articles_in_several_boxes_are_whole(spark, page, kept):
+    put = lambda text, k: " ".join(text.format(lead=LEAD.format(k), body=BODY.replace("{}", str(k)).strip()).split())
+    rows = [(k, "http://h.example/x", page.format(lead=LEAD.format(k), body=BODY.replace("{}", str(k)))) for k in range(4)]
+    got = {r.page_id: r.text for r in op3_html_extraction(spark, "", spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {k: put(kept, k) for k in range(4)}
+    assert extraction.extract(rows[1][2], None) == put(kept, 1)
+
+
 def test_extraction_of_the_tables_pages(spark):
     import html
     import re
