@@ -1,7 +1,7 @@
 """Language ID with language-bitmask n-gram filters.
 
-One bit-sliced Bloom filter holds the n-grams of all languages: each slot is a word with one bit for each language, so a
-lookup, the AND of a few slots, returns all languages that contain an n-gram. A text's n-grams are counted per bit; the
+One bit-sliced Bloom filter holds the n-grams of all languages: each slot is a word with one bit for each language, or
+several words beyond 64 languages, so a lookup, the AND of a few slots, returns all languages that contain an n-gram. A text's n-grams are counted per bit; the
 counts are corrected for each language's false-positive rate, and the largest share decides.
 """
 
@@ -85,16 +85,32 @@ class Filters:
     @property
     def kind(self) -> np.dtype:
         """The least unsigned integers that have a bit for each language; a small table stays in the processor's cache."""
-        return np.min_scalar_type((1 << max(1, len(self.languages))) - 1)
+        return np.min_scalar_type((1 << min(64, max(1, len(self.languages)))) - 1)
+
+    def empty(self) -> np.ndarray:
+        """No n-grams: a word a slot, or a row of words beyond 64 languages."""
+        words = -(-len(self.languages) // 64)
+        return np.zeros((1 << self.bits, words) if words > 1 else 1 << self.bits, self.kind)
+
+    @staticmethod
+    def word(masks: np.ndarray, language: int) -> tuple[np.ndarray, np.integer]:
+        """Of bitmasks, the words that hold a language, and its bit in them."""
+        return masks if masks.ndim == 1 else masks[:, language // 64], masks.dtype.type(1 << language % 64)
+
+    def has(self, masks: np.ndarray) -> np.ndarray:
+        """The number of bitmasks that hold each language."""
+        return np.array([np.count_nonzero(words & bit) for words, bit in (self.word(masks, k) for k in range(len(self.languages)))], float)
 
     def at(self, h: np.ndarray) -> list[np.ndarray]:
         mask = np.uint64((1 << self.bits) - 1)
         return [(h >> np.uint64(k * 20 % 44)) & mask for k in range(self.probes)]
 
     def add(self, size: int, language: int, h: np.ndarray) -> None:
-        table = self.slots.setdefault(size, np.zeros(1 << self.bits, self.kind))
+        if size not in self.slots:
+            self.slots[size] = self.empty()
+        words, bit = self.word(self.slots[size], language)
         for at in self.at(h):
-            np.bitwise_or.at(table, at, self.kind.type(1 << language))
+            np.bitwise_or.at(words, at, bit)
 
     def lookup(self, size: int, h: np.ndarray) -> np.ndarray:
         """The bitmask of the languages that contain each n-gram."""
@@ -108,7 +124,7 @@ class Filters:
     def rates(self, size: int) -> np.ndarray:
         """The chance, by language, that an n-gram that was never added is reported."""
         table = self.slots[size]
-        return np.array([np.count_nonzero(table & table.dtype.type(1 << k)) / len(table) for k in range(len(self.languages))]) ** self.probes
+        return (self.has(table) / len(table)) ** self.probes
 
     def counts(self, text: str | None) -> tuple[np.ndarray, int]:
         """Corrected hits by language over all sizes, longer n-grams weighing more, and the weighted number of n-grams."""
@@ -118,8 +134,7 @@ class Filters:
             h = grams(codes, size)
             if not len(h):
                 continue
-            found = self.lookup(size, h)
-            n = np.array([np.count_nonzero(found & found.dtype.type(1 << k)) for k in range(len(self.languages))], float)
+            n = self.has(self.lookup(size, h))
             rate = self.scale[size]
             hits += size * np.clip((n - rate * len(h)) / np.maximum(1 - rate, 1e-9), 0, None)
             total += size * len(h)
@@ -136,20 +151,21 @@ class Filters:
         return self.languages[best], float(hits[best] / hits.sum())
 
 
-def fit(docs: DataFrame, lang: str = "lang", text: str = "text", rows: int = 2_000, keep: float = 0.9, bits: int = 20, most: int = 64, grams_most: int = 200_000) -> Filters:
+def fit(docs: DataFrame, lang: str = "lang", text: str = "text", rows: int = 2_000, keep: float = 0.9, bits: int = 20, grams_most: int = 200_000) -> Filters:
     """Learns the filters from the `rows` rows of smallest hash in each language (the documented bound of the fit).
 
     An n-gram enters a language's filter if it is among the commonest ones that make up the share `keep` of that
-    language's n-gram occurrences, so that stray foreign words stay out, and at most `grams_most` of a size. Of the languages the `most` commonest are learnt.
+    language's n-gram occurrences, so that stray foreign words stay out, and at most `grams_most` of a size. All languages
+    are learnt; a filter takes 8 MB for each 64 of them, at 2**20 slots.
     """
     spark = docs.sparkSession
     rows_of = docs.select(F.col(lang).cast("string").alias("lang"), F.col(text).cast("string").alias("text")).where("lang IS NOT NULL AND text IS NOT NULL")
-    known = [(r.lang, r["count"]) for r in rows_of.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most).collect()]
+    known = [(r.lang, r["count"]) for r in rows_of.groupBy("lang").count().orderBy(F.desc("count"), "lang").collect()]
     if not known:
         return Filters()
     # About `rows` rows of each language by a hash threshold from its exact count: no sort, no window over a language.
-    share = F.create_map(*[F.lit(x) for lang_, n in known for x in (lang_, min(1.0, rows / n))])
-    picked = rows_of.withColumn("share", F.element_at(share, F.col("lang"))).where("share IS NOT NULL AND pmod(xxhash64(text, lang), 1000000) < share * 1000000")
+    shares = spark.createDataFrame([(name, min(1.0, rows / n)) for name, n in known], "lang string, share double")
+    picked = rows_of.join(F.broadcast(shares), "lang").where("pmod(xxhash64(text, lang), 1000000) < share * 1000000")
 
     def count(batches):
         gathered: dict = {}
@@ -162,13 +178,15 @@ def fit(docs: DataFrame, lang: str = "lang", text: str = "text", rows: int = 2_0
             keys, n = np.unique(np.concatenate(parts), return_counts=True)
             yield pd.DataFrame({"lang": name, "size": size, "gram": keys.view(np.int64), "n": n})
 
-    counted = picked.select("lang", "text").repartition(24).mapInPandas(tidy(count), "lang string, size int, gram long, n long").groupBy("lang", "size", "gram").agg(F.sum("n").alias("n")).where("n > 1")
+    counted = picked.select("lang", "text").repartition(24 * -(-len(known) // 64)).mapInPandas(tidy(count), "lang string, size int, gram long, n long").groupBy("lang", "size", "gram").agg(F.sum("n").alias("n")).where("n > 1")
     counted = stash(counted, "language-grams")
     # The commonest that make up `keep` of the occurrences: the least count that qualifies comes from a histogram of counts.
     levels = counted.groupBy("lang", "size", "n").agg(F.count("*").alias("m")).collect()
-    least = {}
-    for key in {(r.lang, r["size"]) for r in levels}:
-        level = sorted(((r.n, r.n * r.m) for r in levels if (r.lang, r["size"]) == key), reverse=True)
+    least, of = {}, {}
+    for r in levels:
+        of.setdefault((r.lang, r["size"]), []).append((r.n, r.n * r.m))
+    for key, level in of.items():
+        level.sort(reverse=True)
         total, run, held = sum(x for _, x in level), 0, 0
         least[key] = level[0][0]
         for n, x in level:
@@ -178,8 +196,8 @@ def fit(docs: DataFrame, lang: str = "lang", text: str = "text", rows: int = 2_0
             least[key] = n
             if run >= keep * total:
                 break
-    floor = F.create_map(*[F.lit(x) for (name, size), n in sorted(least.items()) for x in (f"{size} {name}", n)])
-    chosen = counted.where(F.col("n") >= F.element_at(floor, F.concat_ws(" ", "size", "lang"))).select("lang", "size", "gram")
+    floors = spark.createDataFrame([(*key, n) for key, n in sorted(least.items())], "lang string, size int, least long")
+    chosen = counted.join(F.broadcast(floors), ["lang", "size"]).where("n >= least").select("lang", "size", "gram")
 
     # Each language's slice of a filter is made where its n-grams are; the driver gets the slices, 2**bits bits each.
     def cut(group: pd.DataFrame) -> pd.DataFrame:
@@ -190,10 +208,11 @@ def fit(docs: DataFrame, lang: str = "lang", text: str = "text", rows: int = 2_0
     slices = {(r["lang"], r["size"]): r.bits for r in chosen.groupBy("lang", "size").applyInPandas(cut, "lang string, size int, bits binary").collect()}
     out = Filters([name for name, _ in known], bits)
     for size in SIZES:
-        table = out.slots[size] = np.zeros(1 << bits, out.kind)
+        table = out.slots[size] = out.empty()
         for k, name in enumerate(out.languages):
             if (name, size) in slices:
-                table |= np.unpackbits(np.frombuffer(slices[name, size], np.uint8)).astype(out.kind) << out.kind.type(k)
+                words, bit = out.word(table, k)
+                words |= np.unpackbits(np.frombuffer(slices[name, size], np.uint8)).astype(out.kind) * bit
         out.scale[size] = out.rates(size)
     return out
 

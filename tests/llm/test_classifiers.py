@@ -174,6 +174,29 @@ def test_masks_have_a_bit_for_each_language(n, kind):
     assert f.slots[3].dtype == kind and (f.lookup(3, h) >> (n - 1) == 1).all() and f.rates(3)[: n - 1].sum() == 0
 
 
+def test_every_language_is_learnt(spark):
+    from conftest import words
+
+    def tongue(k):  # stems that no other language has
+        return tuple(f"{a}{chr(0x4E00 + k)}{b}" for a in "bdk" for b in ("", "a", "o"))
+
+    # 70 languages; the last six are the rarest.
+    rows = [(100 * k + i, words(100 * k + i, 40, tongue(k)), f"l{k:02}") for k in range(70) for i in range(12 if k < 64 else 8)]
+    got = op10_language_id(spark, "", spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()
+    lang = {i: name for i, _, name in rows}
+    assert len(got) == len(rows) and all(r.lang_pred == lang[r.doc_id] for r in got)
+
+
+@pytest.mark.parametrize("n", [65, 130])
+def test_masks_of_several_words(n):
+    f = language.Filters([str(k) for k in range(n)], bits=10)
+    h = np.arange(1, 50, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    f.add(3, n - 1, h)
+    f.add(3, 0, h[:5])
+    assert f.slots[3].shape == (1024, -(-n // 64)) and (f.has(f.lookup(3, h))[[0, n - 1]] >= [5, 49]).all()
+    assert f.rates(3)[1 : n - 1].sum() == 0 < f.rates(3)[n - 1]
+
+
 def test_language_of_the_tables_documents(spark):
     from tests_llm_data import table
 
