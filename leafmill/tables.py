@@ -8,7 +8,7 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A side of a join is only broadcast below this many bytes; every use has a shuffle join beyond it.
@@ -16,9 +16,11 @@ BROADCAST_BYTES = 32 << 20
 
 
 def shared_dir(spark: SparkSession, name: str) -> str:
-    """A new folder's URI below spark.checkpoint.dir; only where that is unset (tests, local use), a temporary folder."""
+    """A new folder's URI below spark.checkpoint.dir; where that is unset, a temporary folder, if the session is local."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="leafmill-")
         atexit.register(shutil.rmtree, root[7:], True)
         spark.conf.set("spark.checkpoint.dir", root)
@@ -32,9 +34,13 @@ def stash(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def small(df: DataFrame, row_bytes: int) -> DataFrame:
-    """`df` (a written table) marked for broadcast if its counted rows stay below BROADCAST_BYTES; else as it is, for a shuffle join."""
-    return F.broadcast(df) if df.count() * row_bytes < BROADCAST_BYTES else df
+def small(df: DataFrame, row_bytes: int, more: Column | None = None) -> DataFrame:
+    """`df` (a written table) marked for broadcast if its counted rows stay below BROADCAST_BYTES; else as it is, for a shuffle join.
+
+    more: the bytes that a row has beyond `row_bytes`, for columns without a bound.
+    """
+    rows, beyond = df.agg(F.count("*"), F.sum(F.lit(0) if more is None else more)).first()
+    return F.broadcast(df) if rows * row_bytes + (beyond or 0) < BROADCAST_BYTES else df
 
 
 def open_fs(uri: str):
