@@ -2,7 +2,7 @@
 
 A payload is stored as a sound of 8-bit samples (a WAV file, one channel) whose bytes are cut where a rolling gear hash
 says, so that equal passages give equal chunks wherever they stand. Chunk digests are deduplicated by joins; only digests
-are shuffled for that. The store holds each distinct chunk once, inside the row of the document that owns it, and every
+are shuffled for that. The store holds each distinct chunk once, inside the row of the medium that owns it, and every
 distinct medium's ordered chunk list, from which media are put together again and verified.
 """
 
@@ -18,7 +18,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix64, small, stash
+from .common import mix64, small, stash, tidy, tune
 
 #: Payloads are filled up with spaces to a positive multiple of this.
 UNIT = 192
@@ -62,18 +62,31 @@ def samples(medium: bytes) -> bytes:
     raise ValueError("no samples")
 
 
+#: Bytes whose gear hashes are held at once.
+PIECE = 1 << 20
+
+
+def _places(data: bytes) -> np.ndarray:
+    """Where the gear hash, h = 2 h + gear[byte] modulo 2**32, lets a chunk end; computed for all places of a piece at once by doubling."""
+    out = []
+    for start in range(0, len(data), PIECE):
+        before = min(start, REACH - 1)  # bytes that the first places of the piece remember
+        h = _GEAR[np.frombuffer(data, np.uint8, min(PIECE, len(data) - start) + before, start - before)]
+        width = 1
+        while width < REACH:
+            more = h.copy()
+            more[width:] += h[:-width] << np.uint32(width)
+            h, width = more, 2 * width
+        out.append(np.flatnonzero((h[before:] >> np.uint32(32 - BITS)) == 0) + start + 1)
+    return np.concatenate(out)
+
+
 def cuts(data: bytes) -> list[int]:
-    """The ends of the chunks. The gear hash, h = 2 h + gear[byte] modulo 2**32, is computed for all places at once by doubling."""
+    """The ends of the chunks."""
     n = len(data)
     if n <= LEAST:
         return [n] if n else []
-    h = _GEAR[np.frombuffer(data, np.uint8)]
-    width = 1
-    while width < REACH:
-        more = h.copy()
-        more[width:] += h[:-width] << np.uint32(width)
-        h, width = more, 2 * width
-    places = np.flatnonzero((h >> np.uint32(32 - BITS)) == 0) + 1
+    places = _places(data)
     out, start = [], 0
     while n - start > LEAST:
         k = np.searchsorted(places, start + LEAST)
@@ -104,71 +117,68 @@ def _digests(parts: list[bytes]) -> list[bytes]:
     return [xxhash.xxh3_128_digest(p) for p in parts]
 
 
+#: One row for each distinct medium. list: the digests of its chunks in order; foreign: the places whose chunks stand in
+#: another row or at an earlier place; sizes and data: the chunks that this medium alone has, in order and compressed
+#: together; shared: those of its own that are referred to from elsewhere, each by itself.
+STORE = "medium binary, list array<binary>, foreign array<int>, sizes array<int>, data binary, shared array<struct<digest:binary,chunk:binary>>"
+
+
 def store(docs: DataFrame, key: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
-    """Writes the chunk store; returns it and the documents' manifest (id, medium, n_bytes).
+    """Writes the chunk store (STORE); returns it and the documents' manifest (id, medium, n_bytes).
 
-    manifest: each document's medium, by the digest of its chunk list. store: one row for each distinct medium: medium,
-    list (chunk digests in order), owned (struct of place, shared, data; the chunks that this medium owns, compressed).
-    A chunk is owned by the medium with the least digest, at the first place there; references name digests alone.
+    A medium is named by a digest of its text, so that the executors tell it without Python. A chunk is owned by the
+    medium with the least digest, at the first place there. Of equal texts the row with the least id writes the medium; rows
+    that share that id too meet in an aggregation first. Null texts count as empty ones.
     """
-    rows = docs.select(F.col(key).alias("id"), F.col(text).cast("string").alias("text"))
+    tune(docs.sparkSession)
+    rows = docs.select(F.col(key).alias("id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
+    rows = rows.withColumn("medium", F.unhex(F.substring(F.sha2("text", 256), 1, 32)))
     kind = rows.schema["id"].dataType.simpleString()
 
     def manifest(batches):
         import pyarrow as pa
 
         for b in batches:
-            media, sizes, lists = [], [], []
-            for t in b.column(1).to_pylist():
+            sizes, lists = [], []
+            for t in b.column(2).to_pylist():
                 payload, n = padded(t)
-                digests = _digests(chunks(wav(payload)))
-                media.append(xxhash.xxh3_128_digest(b"".join(digests)))
                 sizes.append(n)
-                lists.append(digests)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(media, pa.binary()), pa.array(sizes, pa.int64()), pa.array(lists, pa.list_(pa.binary()))], ["id", "medium", "n_bytes", "list"])
-
-    found = stash(rows.mapInArrow(manifest, f"id {kind}, medium binary, n_bytes long, list array<binary>"), "media-manifest")
-    # Of equal media one document writes the chunks: the one with the least id; which row of repeated ids does is settled where it is read.
-    repeated = stash(found.groupBy("medium").agg(F.count("*").alias("n"), F.min("id").alias("writer")).where("n > 1").select("medium", "writer"), "media-repeated")
-    lists = found.join(small(repeated, 48), "medium", "left")
-    lists = lists.where(F.col("writer").isNull() | F.col("id").eqNullSafe(F.col("writer"))).select("medium", F.explode(F.arrays_zip("list", F.sequence(F.lit(0), F.size("list") - 1).alias("place"))).alias("x")).select("medium", F.col("x.list").alias("digest"), F.col("x.place").alias("place")).distinct()
-    lists = stash(lists, "media-chunks")
-    owners = lists.groupBy("digest").agg(F.min(F.struct("medium", "place")).alias("owner"), F.count("*").alias("n")).where("n > 1").select("digest", "owner")
-    owners = stash(owners, "media-shared")
-    roles = lists.join(small(owners, 80), "digest").withColumn("own", (F.col("owner.medium") == F.col("medium")) & (F.col("owner.place") == F.col("place")))
-    # By medium: the places whose chunks are referred to from elsewhere (owned here) and those that are owned elsewhere.
-    roles = roles.groupBy("medium").agg(F.collect_list(F.when(F.col("own"), F.col("place"))).alias("shared"), F.collect_list(F.when(~F.col("own"), F.col("place"))).alias("foreign"))
-    # What there is to know of a medium is a written table with a row for each, so that the join with all documents broadcasts it if it is small, and can split a medium with very many copies if it isn't.
-    known = stash(repeated.withColumn("repeated", F.lit(True)).join(roles, "medium", "full"), "media-known")
-    special = found.select("id", "medium").join(small(known, 120), "medium")
-    special = special.select(F.col("id").alias("_id"), F.col("medium").alias("_medium"), (F.col("repeated").isNull() | F.col("id").eqNullSafe(F.col("writer"))).alias("writes"), "shared", "foreign").distinct()
-
-    # Documents of equal id may have several media, so what the join brings is a map by medium.
-    by_id = special.groupBy("_id").agg(F.collect_list(F.struct("_medium", "writes", F.coalesce("shared", F.array().cast("array<int>")).alias("shared"), F.coalesce("foreign", F.array().cast("array<int>")).alias("foreign"))).alias("roles"))
-    by_id = stash(by_id, "media-roles-by-id")
-    dealt = rows.join(small(by_id, 160), rows["id"].eqNullSafe(by_id["_id"]), "left").select("text", "roles")
+                lists.append(_digests(chunks(wav(payload))))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(sizes, pa.int64()), pa.array(lists, pa.list_(pa.binary()))], ["id", "medium", "n_bytes", "list"])
+
+    found = stash(rows.select("id", "medium", "text").mapInArrow(tidy(manifest), f"id {kind}, medium binary, n_bytes long, list array<binary>"), "media-manifest")
+    by_row = found.groupBy("medium", "id").agg(F.count("*").alias("n"), F.first("list").alias("list"))
+    media_ = by_row.groupBy("medium").agg(F.sum("n").alias("n"), F.min(F.struct(F.col("id").isNull().alias("unknown"), "id", F.col("n").alias("alike"))).alias("writer"), F.first("list").alias("list"))
+    media_ = stash(media_, "media-distinct")
+    places = media_.select("medium", F.posexplode("list").alias("place", "digest"))
+    owners = places.groupBy("digest").agg(F.min(F.struct("medium", "place")).alias("owner"), F.count("*").alias("n")).where("n > 1").select("digest", "owner")
+    owners = stash(owners, "media-owners")
+    roles = places.join(small(owners, 80), "digest").withColumn("own", F.col("owner") == F.struct("medium", "place"))
+    roles = roles.groupBy("medium").agg(F.collect_list(F.when(F.col("own"), F.col("place"))).alias("lent"), F.collect_list(F.when(~F.col("own"), F.col("place"))).alias("foreign"))
+    # What there is to know of a medium is a written row, so that the join with all texts broadcasts these rows while they are small, and can split a medium with very many copies beyond that.
+    known = stash(media_.where("n > 1").select("medium", "writer").join(roles, "medium", "full"), "media-known")
+    ready = rows.join(small(known, 120, F.lit(4) * (F.coalesce(F.size("lent"), F.lit(0)) + F.coalesce(F.size("foreign"), F.lit(0)))), "medium", "left")
+    ready = ready.where(F.col("writer").isNull() | F.col("id").eqNullSafe(F.col("writer.id"))).select("medium", "text", "lent", "foreign", F.coalesce("writer.alike", F.lit(1)).alias("alike"))
+    alike = ready.where("alike > 1").groupBy("medium").agg(*(F.first(c).alias(c) for c in ("text", "lent", "foreign")))
+    columns = ["medium", "text", "lent", "foreign"]
 
     def write(batches):
         import pyarrow as pa
 
         packer = zstandard.ZstdCompressor(level=3)
-        schema = pa.schema([("medium", pa.binary()), ("list", pa.list_(pa.binary())), ("owned", pa.list_(pa.struct([("place", pa.int32()), ("shared", pa.bool_())]))), ("sizes", pa.list_(pa.int32())), ("data", pa.binary()), ("shared", pa.list_(pa.struct([("digest", pa.binary()), ("chunk", pa.binary())])))])
+        schema = pa.schema([("medium", pa.binary()), ("list", pa.list_(pa.binary())), ("foreign", pa.list_(pa.int32())), ("sizes", pa.list_(pa.int32())), ("data", pa.binary()), ("shared", pa.list_(pa.struct([("digest", pa.binary()), ("chunk", pa.binary())])))])
         for b in batches:
             out = []
-            for t, roles in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                payload, _ = padded(t)
-                parts = chunks(wav(payload))
-                digests = _digests(parts)
-                medium = xxhash.xxh3_128_digest(b"".join(digests))
-                role = next((r for r in roles or () if r["_medium"] == medium), None)
-                if role and not role["writes"]:
-                    continue
-                foreign, shared = (set(role["foreign"]), set(role["shared"])) if role else ((), ())
-                own = [k for k in range(len(parts)) if k not in foreign]
-                out.append({"medium": medium, "list": digests, "owned": [{"place": k, "shared": k in shared} for k in own], "sizes": [len(parts[k]) for k in own], "data": packer.compress(b"".join(parts[k] for k in own)), "shared": [{"digest": digests[k], "chunk": packer.compress(parts[k])} for k in sorted(shared)]})
+            for medium, t, lent, foreign in zip(*(b.column(c).to_pylist() for c in columns), strict=True):
+                parts = chunks(wav(padded(t)[0]))
+                digests, lent = _digests(parts), sorted(lent or ())
+                others = {*lent, *(foreign or ())}
+                own = [p for k, p in enumerate(parts) if k not in others]
+                out.append({"medium": medium, "list": digests, "foreign": sorted(foreign or ()), "sizes": list(map(len, own)), "data": packer.compress(b"".join(own)) if own else b"", "shared": [{"digest": digests[k], "chunk": packer.compress(parts[k])} for k in lent]})
             yield pa.RecordBatch.from_pylist(out, schema)
 
-    stored = stash(dealt.mapInArrow(write, "medium binary, list array<binary>, owned array<struct<place:int,shared:boolean>>, sizes array<int>, data binary, shared array<struct<digest:binary,chunk:binary>>"), "media-store")
+    dealt = ready.where("alike = 1").select(columns).unionByName(alike.select(columns))
+    stored = stash(dealt.mapInArrow(tidy(write), STORE), "media-store")
     return stored, found.select("id", "medium", "n_bytes")
 
 
@@ -183,47 +193,47 @@ FACTS = "payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes
 def media(stored: DataFrame, then, schema: str) -> DataFrame:
     """Puts every distinct medium together from its chunk list and applies `then(bytes)`; columns medium and `schema`.
 
-    Media with all their chunks in their own row are read in place. For the others the shared chunks alone are shuffled:
-    by digest to the references, and by medium to the lists. Every chunk is checked against its digest.
+    Media with all their chunks in their own row are read in place. For the others the chunks that they lack alone are
+    shuffled: by digest to the references, and by medium to the lists. Every chunk is checked against its digest.
     """
+    tune(stored.sparkSession)
+    names = ["medium", *(x.split()[0] for x in schema.split(", "))]
+    columns = ["medium", "list", "foreign", "sizes", "data", "shared"]
 
     def rebuild(batches):
         import pyarrow as pa
 
         unpacker = zstandard.ZstdDecompressor()
         for b in batches:
-            got = [b.column(c).to_pylist() for c in ("medium", "list", "owned", "sizes", "data", "foreign")]
             out = []
-            for medium, digests, owned, sizes, data, foreign in zip(*got, strict=True):
-                parts: dict = {}
-                raw, at = unpacker.decompress(data, max_output_size=sum(sizes)) if sizes else b"", 0
-                for o, n in zip(owned, sizes, strict=True):
-                    parts[o["place"]] = raw[at : at + n]
-                    at += n
-                by_digest = {f["digest"]: f["chunk"] for f in foreign or ()}
+            for medium, digests, foreign, sizes, data, shared in zip(*(b.column(c).to_pylist() for c in columns), strict=True):
+                given = {x["digest"]: x["chunk"] for x in shared}
+                raw, at, elsewhere, sizes = unpacker.decompress(data, max_output_size=sum(sizes)) if sizes else b"", 0, set(foreign), iter(sizes)
+                parts = []
                 for k, d in enumerate(digests):
-                    if k not in parts:
-                        parts[k] = unpacker.decompress(by_digest[d])
-                    if xxhash.xxh3_128_digest(parts[k]) != d:
+                    if k in elsewhere or d in given:
+                        parts.append(unpacker.decompress(given[d]))
+                    else:
+                        n = next(sizes)
+                        parts.append(raw[at : at + n])
+                        at += n
+                    if xxhash.xxh3_128_digest(parts[-1]) != d:
                         raise ValueError("a stored chunk differs from its digest")
-                out.append((medium, *then(b"".join(parts[k] for k in range(len(digests))))))
+                out.append((medium, *then(b"".join(parts))))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out, strict=True)], names)
 
-    names = ["medium", *(x.split()[0] for x in schema.split(", "))]
-    whole = stored.where("size(owned) = size(list)").withColumn("foreign", F.lit(None).cast("array<struct<digest:binary,chunk:binary>>"))
-    broken = stored.where("size(owned) < size(list)")
-    needs = broken.select("medium", F.explode(F.array_distinct(F.array_except("list", F.transform(F.filter("owned", lambda o: ~o.getField("shared")), lambda o: F.element_at(F.col("list"), o.getField("place") + 1))))).alias("digest"))
-    bank = stored.select(F.explode("shared").alias("x")).select("x.digest", "x.chunk")
-    given = needs.join(bank, "digest").groupBy("medium").agg(F.collect_list(F.struct("digest", "chunk")).alias("foreign"))
-    mended = broken.join(given, "medium", "left")
-    columns = ["medium", "list", "owned", "sizes", "data", "foreign"]
-    both = whole.select(columns).unionByName(mended.select(columns))
-    return both.mapInArrow(rebuild, f"medium binary, {schema}")
+    lacking = F.array_except(F.transform("foreign", lambda k: F.element_at("list", k + 1)), F.transform("shared", lambda x: x.digest))
+    whole = stored.where(F.size(lacking) == 0)
+    broken = stored.where(F.size(lacking) > 0)
+    bank = stored.select(F.inline("shared"))
+    given = broken.select("medium", F.explode(lacking).alias("digest")).join(bank, "digest").groupBy("medium").agg(F.collect_list(F.struct("digest", "chunk")).alias("more"))
+    mended = broken.join(given, "medium", "left").withColumn("shared", F.concat("shared", F.coalesce("more", F.array().cast(given.schema["more"].dataType))))
+    return whole.select(columns).unionByName(mended.select(columns)).mapInArrow(tidy(rebuild), f"medium binary, {schema}")
 
 
 def features(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Per document: the key, n_bytes, and the facts of its medium as read back from the chunk store."""
     stored, manifest = store(docs, key, text)
-    told = stash(stash(media(stored, _facts, FACTS), "media-facts").dropDuplicates(["medium"]), "media-told")
+    told = stash(media(stored, _facts, FACTS), "media-told")
     return manifest.join(small(told, 400), "medium").select(F.col("id").alias(key), "n_bytes", *(x.split()[0] for x in FACTS.split(", ")))

@@ -3,9 +3,14 @@ from __future__ import annotations
 import base64
 import hashlib
 import io
+import itertools
+import math
+import wave
 import zlib
+from collections import Counter
 
 import pytest
+import zstandard
 from leafmill.llm import html as extraction
 from leafmill.llm import media
 from leafmill.llm.queries_html import op3_html_extraction
@@ -76,24 +81,54 @@ def test_chunks_cut_alike_and_join(spark):
         start = end
 
 
+def told(payload: bytes) -> str:
+    """The feature by its definition, in plain Python."""
+    mean = math.fsum(payload) / len(payload)
+    dev = math.sqrt(math.fsum((x - mean) ** 2 for x in payload) / len(payload))
+    cross = sum((a >= mean) != (b >= mean) for a, b in itertools.pairwise(payload)) / len(payload)
+    ranges = Counter(x // 32 for x in payload)
+    return f"mean={mean:.4f};dev={dev:.4f};cross={cross:.4f};hist=" + ",".join(f"{ranges[k] / len(payload):.4f}" for k in range(8))
+
+
+def sound(payload: bytes) -> bytes:
+    """The WAV file as the standard library writes it."""
+    out = io.BytesIO()
+    with wave.open(out, "wb") as w:
+        w.setnchannels(1)
+        w.setsampwidth(1)
+        w.setframerate(8000)
+        w.writeframes(payload)
+    return out.getvalue()
+
+
 def test_media_query_by_brute_force(spark, awkward, empty):
     def expected(text):
         data = (text or "").encode()
         p = data + b" " * (-len(data) % 192 if data else 192)
-        w = media.wav(p)
+        w = sound(p)
         assert media.samples(w) == p
-        return len(data), len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-16:]), len(w), hashlib.sha256(w).hexdigest(), media.feature(p)
+        return len(data), len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-16:]), len(w), hashlib.sha256(w).hexdigest(), told(p)
 
-    texts = awkward.unionByName(spark.createDataFrame([(50, awkward.where("doc_id = 8").first().text[:90_000] + " tail", *[None] * 3, *"x" * 13), (1, "another text of id 1", *[None] * 3, *"x" * 13)], awkward.schema))
+    long = awkward.where("doc_id = 8").first().text
+    more = [(50, long[:90_000] + " tail"), (1, "another text of id 1"), (None, long), (None, long), (8, long), (51, long * 8), (52, long[:5000] * 3)]
+    texts = awkward.unionByName(spark.createDataFrame([(i, t, *[None] * 3, *"x" * 13) for i, t in more], awkward.schema))
     got = [(r.doc_id, r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32, r.media_bytes, r.media_sha256, r.feature) for r in op6_media(spark, "", texts).collect()]
     assert sorted(got, key=str) == sorted(((r.doc_id, *expected(r.text)) for r in texts.collect()), key=str)
     assert op6_media(spark, "", empty).collect() == []
 
-
-def test_shared_chunks_are_stored_once(spark, awkward):
-    stored, _ = media.store(awkward.dropDuplicates())
-    digests = [d for r in stored.collect() for k, d in enumerate(r.list) if any(o.place == k for o in r.owned)]
-    assert len(digests) == len(set(digests))
+    # Every chunk's bytes stand in the store once, alone in `shared` or together with others in `data`.
+    rows, unpack = media.store(texts)[0].collect(), zstandard.ZstdDecompressor().decompress
+    held = Counter()
+    for r in rows:
+        data, at = unpack(r.data) if r.data else b"", 0
+        for n in r.sizes:
+            held[data[at : at + n]] += 1
+            at += n
+        assert at == len(data)
+        held.update(unpack(x.chunk) for x in r.shared)
+    every = {c for r in texts.collect() for c in media.chunks(sound(media.padded(r.text)[0]))}
+    assert set(held) == every and set(held.values()) == {1}
+    assert any(r.shared for r in rows) and any(r.foreign for r in rows)
 
 
 @pytest.mark.parametrize(
