@@ -25,7 +25,7 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return other.unionAll(least.select("a", F.col("m").alias("b"))).distinct()
 
 
-def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """For each node of an edge (a, b), a <> b, that isn't its component's least: `a`, and that least node as `b`.
 
     Every round's edges are written to the shared folder, so a lost executor costs no lineage. The number of rounds grows
@@ -37,9 +37,8 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         return tuple(df.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b")), F.bit_xor(F.xxhash64("b", "a"))).first())
 
     before = mark(edges)
-    for _ in range(most_rounds):
+    while True:
         edges = stash(_small_star(_large_star(edges)), "edges")
         if (now := mark(edges)) == before or not now[0]:
             return edges
         before = now
-    raise RuntimeError("components did not settle")

@@ -4,7 +4,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 from leafmill.llm.components import components
-from leafmill.llm.ngram_join import TREES, Forest, first_of_each, join, prefix_length, shingles
+from leafmill.llm.ngram_join import LONGEST, NODES, TREES, Forest, _tries, first_of_each, join, least_likeness, level_of, prefix_length, shingles
 
 
 def brute(rows):
@@ -40,15 +40,57 @@ def test_prefix_is_shortened_until_the_recall_is_met():
     assert prefix_length(0.1, 1, 8, 0.999) == 1
 
 
-def test_prefixes_agree_as_often_as_they_should():
-    rng, forest, length = np.random.default_rng(1), Forest(TREES, 5), 5
-    hits = 0
-    for _ in range(200):
-        x = np.unique(rng.integers(0, 1 << 63, 300, np.uint64))
-        y = np.unique(np.concatenate([x[30:], rng.integers(0, 1 << 63, 30, np.uint64)]))
-        hits += (forest.prefixes(x) == forest.prefixes(y)).sum()
-    share, expected = hits / (200 * TREES), (270 / 330) ** length
-    assert abs(share - expected) < 0.05
+def test_a_text_looks_for_others_at_the_longest_prefix_that_finds_them():
+    for n in range(1, 40):
+        likely = [k / (n + m - k) for m in range(1, 60) for k in range(min(n, m) + 1) if not n == m == k and k >= 0.8 * (n + m - k) - 1e-9]
+        assert least_likeness(n) == (min(likely) if likely else None)
+        assert level_of(n) == (prefix_length(min(likely)) if likely else 0)
+    # From the longest prefix on: a set of seven keeps it, one of six gives up two values, one of ten three.
+    assert [level_of(n) for n in (0, 3, 7, 6, 10, 300)] == [0, 0, LONGEST, 6, 5, 5]
+
+
+def _trees(signature: bytes) -> np.ndarray:
+    return np.frombuffer(signature, ">u2").reshape(TREES, LONGEST)
+
+
+def test_signatures_agree_as_often_as_they_should():
+    rng, forest = np.random.default_rng(1), Forest(TREES, LONGEST)
+    for length in (1, 5):
+        hits = 0
+        for _ in range(200):
+            x = np.unique(rng.integers(0, 1 << 63, 300, np.uint64))
+            y = np.unique(np.concatenate([x[30:], rng.integers(0, 1 << 63, 30, np.uint64)]))
+            hits += (_trees(forest.signature(x)) == _trees(forest.signature(y)))[:, :length].all(1).sum()
+        assert abs(hits / (200 * TREES) - (270 / 330) ** length) < 0.05
+
+
+def test_nodes_of_the_tries_by_brute_force(spark):
+    rng = np.random.default_rng(3)
+    rows = [(int(rng.integers(0, 2)), bytes(np.minimum(rng.integers(0, 3, 2 * LONGEST), 1).astype(np.uint8)), int(rng.integers(5, LONGEST + 1)), 10, k, k * k) for k in range(3000)]
+    frame = spark.createDataFrame(rows, "tree int, signature binary, level int, n int, x long, y long")
+    parts = frame.repartitionByRange(7, "tree", "signature", "x").sortWithinPartitions("tree", "signature").mapInArrow(_tries([5, 6, 7, 8]), NODES)
+    got: dict = defaultdict(lambda: [0, 0, 0, 0])
+    for r in parts.collect():
+        node = got[r.level, r.tree, bytes(r.node)]
+        node[0], node[1], node[2], node[3] = node[0] + r.texts, node[1] + r.askers, node[2] + r.runs, node[3] ^ r.x
+    expected: dict = defaultdict(lambda: [0, 0, 0, 0])
+    for tree, signature, level, n, x, _ in rows:
+        for k in range(5, level + 1):
+            node = expected[k, tree, signature[: 2 * k]]
+            node[0], node[1], node[2], node[3] = node[0] + 1, node[1] + (level == k), node[2] + n, node[3] ^ x
+    assert {k: v for k, v in got.items() if v[0] > 1} == {k: v for k, v in expected.items() if v[0] > 1}
+
+
+def test_short_texts_at_every_level(spark):
+    """Sets of four to twelve runs with all their neighbours: every level of the forest has askers."""
+    import random
+
+    rng, rows = random.Random(5), []
+    for group in range(60):
+        w = [f"w{group}x{k}" for k in range(5 + group % 12)]
+        rows += [(len(rows), " ".join(w)), (len(rows) + 1, " ".join([*w, "more"])), (len(rows) + 2, " ".join(w[1:])), (len(rows) + 3, " ".join([*w[:-1], rng.choice("abc")]))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(((r.doc_id, r.class_id, r.n_links) for r in join(docs).collect()), key=str) == brute(rows)
 
 
 def test_join_equals_all_pairs(spark):
