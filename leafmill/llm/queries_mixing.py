@@ -9,8 +9,8 @@ from .mixing import mix
 WEIGHTS, SHARE, LIMIT = (3, 1, 2), 1.5, 2
 
 
-def by_turn(sources):
-    return {s: WEIGHTS[i % len(WEIGHTS)] for i, s in enumerate(sources)}
+def by_turn(rank, source):
+    return F.element_at(F.array(*map(F.lit, WEIGHTS)), rank % len(WEIGHTS) + 1)
 
 
 def op1_mixing(spark, sf_dir, docs=None):
