@@ -1,16 +1,15 @@
 """Benchmark decontamination with a distributed positional inverted index.
 
-Training texts are cut into segments of a bounded number of words; a segment's postings list, for each term, the places
-where it stands. The index is written to the shared folder, one row a segment. Test phrases are looked up in each segment
-by intersecting offset-adjusted posting lists from the phrase's rarest term on, which gives exact matches and, with a
-slop, proximity matches.
+Training texts are cut into segments of a bounded number of words; a segment's postings list, for each of its words, the
+places where it stands. The index is written to the shared folder once, one row a segment, and answers any phrases. Test
+phrases are looked up in each segment by intersecting offset-adjusted posting lists from the phrase's rarest term on,
+which gives exact matches and, with a slop, proximity matches.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections import defaultdict
-from itertools import repeat
 
 import numpy as np
 import zstandard
@@ -18,7 +17,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small, stash, text_words, tidy
+from .common import small, stash, text_words, tidy, tune
 
 #: Words of a window.
 WINDOW = 10
@@ -29,10 +28,10 @@ SEGMENT_WORDS = 1_000_000
 #: Phrases that are looked up at once; with their terms they are what is broadcast.
 PHRASES_MOST = 200_000
 
-#: Empty places between two texts of a segment, so that no match, with a slop of half of it at most, spans two.
+#: Empty places between two texts of a segment. A phrase and its slop are shorter, so no match spans two texts.
 GAP = 64
 
-SEGMENT = "segment string, ids array<{kind}>, hashes array<long>, lengths array<int>, terms array<int>, counts array<int>, postings binary"
+SEGMENT = "segment string, ids array<{kind}>, hashes array<long>, lengths array<int>, terms array<binary>, counts array<int>, postings binary"
 
 
 def phrases(items: DataFrame, key: str, text: str, window: int = WINDOW) -> DataFrame:
@@ -54,30 +53,36 @@ def phrases(items: DataFrame, key: str, text: str, window: int = WINDOW) -> Data
     return rows.mapInArrow(run, "item string, words array<binary>").distinct()
 
 
-def build_index(docs: DataFrame, key: str, text: str, terms: list[bytes], segment_words: int = SEGMENT_WORDS) -> DataFrame:
-    """Writes the positional index of `terms` over all texts; words of other terms take up places but have no postings."""
-    spark = docs.sparkSession
+class _Numbers(dict):
+    """Numbers for words, as they occur."""
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = n = len(self)
+        return n
+
+
+def build_index(docs: DataFrame, key: str, text: str, segment_words: int = SEGMENT_WORDS) -> DataFrame:
+    """Writes the positional index of all words of all texts."""
+    tune(docs.sparkSession)
     rows = docs.select(F.col(key).alias("id"), F.col(text).cast("string").alias("text"), F.xxhash64(F.col(text).cast("string")).alias("hash"))
     kind = rows.schema["id"].dataType.simpleString()
-    sent = spark.sparkContext.broadcast(terms)
 
     def run(batches):
         import pyarrow as pa
 
-        number = {w: k for k, w in enumerate(sent.value)}
         part, made = TaskContext.get().partitionId(), 0
-        id_type, ids, hashes, lengths, parts = None, [], [], [], []
+        id_type, ids, hashes, lengths, parts, numbers = None, [], [], [], [], _Numbers()
 
         def segment():
             places = np.concatenate(parts)
-            where = np.flatnonzero(places >= 0).astype(np.int32)
-            order = np.argsort(places[where], kind="stable")
-            found, first, counts = np.unique(places[where][order], return_index=True, return_counts=True)
-            ordered = where[order]
-            step = np.diff(ordered, prepend=np.int32(0))
-            step[first] = ordered[first]
-            schema = pa.schema([("segment", pa.string()), ("ids", pa.list_(id_type)), ("hashes", pa.list_(pa.int64())), ("lengths", pa.list_(pa.int32())), ("terms", pa.list_(pa.int32())), ("counts", pa.list_(pa.int32())), ("postings", pa.binary())])
-            row = {"segment": f"{part}-{made}", "ids": ids, "hashes": hashes, "lengths": lengths, "terms": found.tolist(), "counts": counts.tolist(), "postings": zstandard.ZstdCompressor(level=1).compress(step.astype("<i4").tobytes())}
+            order = np.argsort(places, kind="stable")
+            order = order[np.searchsorted(places[order], 0) :].astype(np.int32)  # the gaps come first
+            counts = np.bincount(places[order], minlength=len(numbers))
+            first = np.cumsum(counts) - counts
+            step = np.diff(order, prepend=np.int32(0))
+            step[first] = order[first]
+            schema = pa.schema([("segment", pa.string()), ("ids", pa.list_(id_type)), ("hashes", pa.list_(pa.int64())), ("lengths", pa.list_(pa.int32())), ("terms", pa.list_(pa.binary())), ("counts", pa.list_(pa.int32())), ("postings", pa.binary())])
+            row = {"segment": f"{part}-{made}", "ids": ids, "hashes": hashes, "lengths": lengths, "terms": list(numbers), "counts": counts.tolist(), "postings": zstandard.ZstdCompressor(level=1).compress(step.astype("<i4").tobytes())}
             return pa.RecordBatch.from_pylist([row], schema)
 
         gap, total = np.full(GAP, -1, np.int32), 0
@@ -87,11 +92,11 @@ def build_index(docs: DataFrame, key: str, text: str, terms: list[bytes], segmen
                 w = text_words(t)
                 if ids and total + len(w) > segment_words:
                     yield segment()
-                    ids, hashes, lengths, parts, made, total = [], [], [], [], made + 1, 0
+                    ids, hashes, lengths, parts, numbers, made, total = [], [], [], [], _Numbers(), made + 1, 0
                 ids.append(i)
                 hashes.append(h)
                 lengths.append(len(w))
-                parts += [np.fromiter(map(number.get, w, repeat(-1)), np.int32, len(w)), gap]
+                parts += [np.fromiter(map(numbers.__getitem__, w), np.int32, len(w)), gap]
                 total += len(w)
         if ids:
             yield segment()
@@ -112,35 +117,36 @@ class Segment:
         a, b = self.lists[term]
         return np.cumsum(self.steps[a:b])
 
-    def find(self, phrase: list[int], order: list[int], slop: int, memory: dict) -> np.ndarray:
-        """Where the phrase begins. order: the offsets of its terms, the rarest first. With a slop, every term stands within that many places of its own place."""
-        if any(t not in self.lists for t in phrase):
-            return np.zeros(0, np.int64)
-        starts = None
+    def find(self, phrase: list[bytes], order: list[int], slop: int, memory: dict) -> tuple[np.ndarray, np.ndarray]:
+        """Where the phrase begins, and where its rarest term stands. order: the offsets of its terms, the rarest first. With a slop, every term stands within that many places of its own place."""
+        starts = found = None
         for offset in order:
             term = phrase[offset]
             if term not in memory:
                 memory[term] = self.places(term)
             at = memory[term]
             if starts is None:
-                starts = at - offset
+                starts, found = at - offset, at
                 continue
             k = np.searchsorted(at, starts + offset - slop)
             ok = k < len(at)
             ok[ok] = at[k[ok]] <= starts[ok] + offset + slop
-            starts = starts[ok]
+            starts, found = starts[ok], found[ok]
             if not len(starts):
                 break
-        return starts
+        return starts, found
 
 
-def search(index: DataFrame, found: list[tuple[str, list[int]]], rarity: dict[int, int], slop: int = 0) -> DataFrame:
-    """segment, doc (its place in the segment), id, hash (of the text), item, start, words: each occurrence of each phrase that lies within one text. start counts from the text's first word."""
+def search(index: DataFrame, found: list[tuple[str, list[bytes]]], rarity: dict[bytes, int], slop: int = 0) -> DataFrame:
+    """segment, doc (its place in the segment), id, hash (of the text), item, start, words: the runs of words, from the text's first word on, that occurrences of an item's phrases make up."""
     spark = index.sparkSession
+    if any(len(phrase) + slop > GAP for _, phrase in found):
+        raise ValueError(f"a phrase and its slop have {GAP} words at most")
     by_rarest = defaultdict(list)
     for item, phrase in found:
         order = sorted(range(len(phrase)), key=lambda k: (rarity.get(phrase[k], 0), k))
-        by_rarest[phrase[order[0]]].append((item, phrase, order))
+        if all(w in rarity for w in phrase):  # a word that is nowhere in the index has no match
+            by_rarest[phrase[order[0]]].append((item, phrase, order))
     sent = spark.sparkContext.broadcast(dict(by_rarest))
     kind = index.schema["ids"].dataType.elementType.simpleString()
 
@@ -156,40 +162,50 @@ def search(index: DataFrame, found: list[tuple[str, list[int]]], rarity: dict[in
                 starts, memory, hits = np.cumsum(lengths + GAP) - lengths - GAP, {}, []
                 for term in s.lists.keys() & sent.value.keys():
                     for item, phrase, order in sent.value[term]:
-                        at = s.find(phrase, order, slop, memory)
-                        if len(at):
-                            doc = np.searchsorted(starts, at, side="right") - 1
-                            inside = (at >= starts[doc]) & (at + len(phrase) <= starts[doc] + lengths[doc])
-                            hits += [(d, item, a - int(starts[d]), len(phrase)) for d, a in zip(doc[inside].tolist(), at[inside].tolist(), strict=True)]
+                        if any(w not in s.lists for w in phrase):
+                            continue
+                        begin, at = s.find(phrase, order, slop, memory)
+                        doc = np.searchsorted(starts, at, side="right") - 1
+                        hits += [(d, item, max(0, a - int(starts[d])), len(phrase)) for d, a in zip(doc.tolist(), begin.tolist(), strict=True)]
                 if hits:
                     ids = row["ids"].values
-                    doc, item, start, words = zip(*hits, strict=True)
-                    yield pa.RecordBatch.from_arrays([pa.array([row["segment"].as_py()] * len(hits)), pa.array(doc, pa.int32()), ids.take(pa.array(doc)).cast(id_type), row["hashes"].values.take(pa.array(doc)), pa.array(item, pa.string()), pa.array(start, pa.int32()), pa.array(words, pa.int32())], ["segment", "doc", "id", "hash", "item", "start", "words"])
+                    doc, item, start, words = zip(*_runs(hits), strict=True)
+                    yield pa.RecordBatch.from_arrays([pa.array([row["segment"].as_py()] * len(doc)), pa.array(doc, pa.int32()), ids.take(pa.array(doc)).cast(id_type), row["hashes"].values.take(pa.array(doc)), pa.array(item, pa.string()), pa.array(start, pa.int32()), pa.array(words, pa.int32())], ["segment", "doc", "id", "hash", "item", "start", "words"])
 
     return index.mapInArrow(tidy(run), f"segment string, doc int, id {kind}, hash long, item string, start int, words int")
 
 
+def _runs(hits: list[tuple]) -> list[tuple]:
+    """(doc, item, start, words) with those that overlap or touch made one."""
+    out: list = []
+    for doc, item, start, words in sorted(hits):
+        if out and out[-1][:2] == (doc, item) and start <= out[-1][2] + out[-1][3]:
+            out[-1] = (doc, item, out[-1][2], max(out[-1][3], start + words - out[-1][2]))
+        else:
+            out.append((doc, item, start, words))
+    return out
+
+
 def matches(docs: DataFrame, items: DataFrame, key: str = "doc_id", item_key: str = "item_id", text: str = "text", window: int = WINDOW, slop: int = 0) -> tuple[DataFrame, DataFrame]:
     """The index, and all matches of the items' phrases in it, written to the shared folder.
 
-    Phrases are looked up in blocks of at most PHRASES_MOST, each against the whole index; the index covers the terms of
-    the block's phrases. The driver holds one block at a time.
+    Phrases are looked up in blocks of at most PHRASES_MOST, each against the whole index, which is built once. The driver
+    holds one block at a time.
     """
-    spark = docs.sparkSession
+    index = build_index(docs, key, text)
     runs = stash(phrases(items, item_key, text, window), "phrases")
     blocks = max(1, -(-runs.count() // PHRASES_MOST))
     out = []
     for block in range(blocks):
-        part = [(r.item, [bytes(w) for w in r.words]) for r in runs.where(F.pmod(F.xxhash64("words"), F.lit(blocks)) == block).collect()]
-        terms = sorted({w for _, run in part for w in run})
-        number = {w: k for k, w in enumerate(terms)}
-        index = build_index(docs, key, text, terms)
-        rarity = {r.term: r.n for r in index.select(F.explode(F.arrays_zip("terms", "counts")).alias("x")).groupBy(F.col("x.terms").alias("term")).agg(F.sum("x.counts").alias("n")).collect()} if terms else {}
-        out.append((index, stash(search(index, [(i, [number[w] for w in run]) for i, run in part], rarity, slop), "matches")))
-    found = out[0][1]
-    for _, more in out[1:]:
+        part = runs.where(F.pmod(F.xxhash64("words"), F.lit(blocks)) == block)
+        terms = stash(part.select(F.explode("words").alias("term")).distinct(), "phrase-terms")
+        counted = index.select(F.inline(F.arrays_zip("terms", "counts"))).join(small(terms, 48, F.octet_length("term")), F.col("terms") == F.col("term"))
+        rarity = {bytes(r.term): r.n for r in counted.groupBy("term").agg(F.sum("counts").alias("n")).collect()}
+        out.append(stash(search(index, [(r.item, [bytes(w) for w in r.words]) for r in part.collect()], rarity, slop), "matches"))
+    found = out[0]
+    for more in out[1:]:
         found = found.unionByName(more)
-    return out[0][0], found
+    return index, found
 
 
 def digest(index: DataFrame, found: DataFrame, key: str = "doc_id") -> DataFrame:

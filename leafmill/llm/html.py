@@ -9,13 +9,14 @@ of the host has its article; pages without that path use their own best containe
 from __future__ import annotations
 
 import html
+import itertools
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small, stash
+from .common import small, stash, tidy, tune
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<(?:[!?])[^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:=\s*(?:\"[^\"]*\"|'[^']*')|[^>])*)(>|\Z)|[^<]+|<", re.S)
 _NAMED = re.compile(r"""(?:^|[\s"'/])(class|id|role|hidden|style|aria-hidden)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
@@ -49,6 +50,11 @@ WHOLE = ("article", "main")
 #: Blocks that are lines of a container rather than containers.
 _LINES = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd pre blockquote figcaption caption td th tr tbody thead tfoot br hr summary address".split())
 
+#: Containers inside one another that a path names. What is deeper belongs to the last of them, as in browsers, which bound the depth of their trees too; its text stays.
+DEEPEST = 256
+
+_NEXT = frozenset(x for tags in ENDS.values() for x in tags)
+
 _DIGITS = re.compile(r"\d+")
 
 
@@ -80,10 +86,13 @@ def blocks(page: str | None) -> list[tuple[str, str, bool, int, str]]:
     out: list = []
     if not page:
         return out
-    # An open element: tag, whether a block, path, path of the whole article around it, whether dropped.
-    stack: list = [("", True, "", "", False)]
+    # An open element: tag, whether a block, path, path of the whole article around it, whether dropped, the place of the box that holds its paragraphs, containers in its path.
+    stack: list = [("", True, "", "", False, 0, 0)]
     texts: list[str] = []
     linked = 0
+    # So that no tag searches the whole stack: how many elements of each tag are open, and the places of open boxes, paragraphs, items and cells.
+    opened: Counter = Counter()
+    stops: list[int] = []
 
     def close():
         nonlocal texts, linked
@@ -91,17 +100,18 @@ def blocks(page: str | None) -> list[tuple[str, str, bool, int, str]]:
             text = " ".join(html.unescape("".join(texts)).split())
             if text:
                 # A run of text belongs to the box that holds its paragraph.
-                k = len(stack) - 1
-                while k and (not stack[k][1] or stack[k][0] in _LINES):
-                    k -= 1
-                _, _, path, whole, _ = stack[k]
+                _, _, path, whole, *_ = stack[stack[-1][5]]
                 out.append((path, whole, stack[-1][4], linked, text))
             texts, linked = [], 0
 
     def leave(k):
         if any(x[1] or x[4] for x in stack[k:]):
             close()
+        for x in stack[k:]:
+            opened[x[0]] -= 1
         del stack[k:]
+        while stops and stops[-1] >= k:
+            stops.pop()
 
     at, n = 0, len(page)
     while at < n:
@@ -120,29 +130,24 @@ def blocks(page: str | None) -> list[tuple[str, str, bool, int, str]]:
             break
         tag = tag.lower()
         if m[1]:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k][0] == tag:
-                    leave(k)
-                    break
-            else:
-                if tag in BLOCKS:
-                    close()
+            if opened[tag]:
+                leave(next(k for k in range(len(stack) - 1, 0, -1) if stack[k][0] == tag))
+            elif tag in BLOCKS:
+                close()
             continue
         block = tag in BLOCKS
         if block:
             close()
             if tag in ENDS_P:
-                for k in range(len(stack) - 1, 0, -1):
-                    if stack[k][0] == "p":
-                        leave(k)
-                        break
+                k = next((k for k in reversed(stops) if stack[k][0] == "p" or stack[k][0] in _BOX), 0)
+                if stack[k][0] == "p":
+                    leave(k)
+            if tag in ENDS:
+                low = None
+                for k in reversed(stops):
                     if stack[k][0] in _BOX:
                         break
-            if tag in ENDS:
-                low, k = None, len(stack) - 1
-                while k and stack[k][0] not in _BOX:
                     low = k if stack[k][0] in ENDS[tag] else low
-                    k -= 1
                 if low:
                     leave(low)
         if tag in VOID:
@@ -151,9 +156,9 @@ def blocks(page: str | None) -> list[tuple[str, str, bool, int, str]]:
             continue
         top = stack[-1]
         classes, marked = _attributes(tag, m[3], bool(top[3])) if m[3].strip(" /\n") else ([], False)
-        path = top[2]
-        if block and tag not in _LINES:
-            path = f"{path}>{tag}" + "".join(f".{c}" for c in sorted({_DIGITS.sub('0', c).replace('>', '_') for c in classes}))
+        path, depth, box = top[2], top[6], block and tag not in _LINES
+        if box and depth < DEEPEST:
+            path, depth = f"{path}>{tag}" + "".join(f".{c}" for c in sorted({_DIGITS.sub('0', c).replace('>', '_') for c in classes})), depth + 1
         whole = top[3] or (path if tag in WHOLE else "")
         dropped = tag in DROPPED or marked or (tag == "header" and not top[3])
         if dropped:
@@ -164,7 +169,10 @@ def blocks(page: str | None) -> list[tuple[str, str, bool, int, str]]:
             continue
         if m[3].endswith("/") and not block:
             continue
-        stack.append((tag, block, path, whole, top[4] or dropped))
+        if tag == "p" or tag in _BOX or tag in _NEXT:
+            stops.append(len(stack))
+        stack.append((tag, block, path, whole, top[4] or dropped, len(stack) if box else top[5], depth))
+        opened[tag] += 1
     close()
     return out
 
@@ -194,29 +202,35 @@ def _above(path: str) -> list[str]:
     return [path[:k] for k in range(len(path) - 1, -1, -1) if path[k] == ">"]
 
 
-def _steps(found: list) -> dict[tuple[str, str], int]:
-    """By path and path of a container around it: 1 if the container adds more sentences than other text (links, and labels by half), -1 if less; absent if it adds as much or nothing.
+#: A path that ends with an element that holds one whole article.
+_ENDS_WHOLE = rf">({'|'.join(WHOLE)})(\.[^>]*)?$"
+
+
+def _steps(found: list, path: str) -> dict[tuple[str, str], int]:
+    """For a path and the containers around it, by two of them: 1 if the outer one adds more sentences than other text (links, and labels by half), -1 if less; absent if it adds as much or nothing, or the page lacks the inner one.
 
     What is in an article or main element stands for itself, and none is around it.
     """
-    held: dict = defaultdict(float)
+    chain = [path, *_above(path)] if path else [path]  # the page itself, '', is around all
+    gains, there = [0.0] * len(chain), len(chain)
     closed = set()
-    for path, whole, dropped, linked, text in found:
+    for at, whole, dropped, linked, text in found:
         if dropped:
             continue
-        own = whole or path
+        own = whole or at
         if whole:
             closed.add(whole)
+        k = next(k for k, c in enumerate(chain) if own == c or own.startswith(f"{c}>"))
         rest = max(0, len(text) - linked)
-        gain = (rest if len(text) > _LABEL else -rest / 2) - linked
-        for p in (own, *_above(own)):
-            held[p] += gain
+        gains[k] += (rest if len(text) > _LABEL else -rest / 2) - linked
+        there = min(there, k)
+    held = list(itertools.accumulate(gains))
     out = {}
-    for p, mine in held.items():
-        if p not in closed:
-            for above in _above(p):
-                if gain := held[above] - mine:
-                    out[p, above] = 1 if gain > 0 else -1
+    for k in range(there, len(chain)):
+        if chain[k] not in closed:
+            for j in range(k + 1, len(chain)):
+                if gain := held[j] - held[k]:
+                    out[chain[k], chain[j]] = 1 if gain > 0 else -1
     return out
 
 
@@ -239,7 +253,8 @@ def extract(page: str | None, path: str | None) -> str:
     inside = [t for p, w, t in found if path and (p == path or p.startswith(f"{path}>") or w == path)]
     if not inside and found:
         own = _scores(every)
-        best = widest(max(own, key=lambda k: (own[k], k)) if own else found[0][1] or found[0][0], _steps(every))
+        best = max(own, key=lambda k: (own[k], k)) if own else found[0][1] or found[0][0]
+        best = widest(best, _steps(every, best))
         inside = [t for p, w, t in found if p == best or p.startswith(f"{best}>") or w == best]
     return " ".join(inside)
 
@@ -247,17 +262,26 @@ def extract(page: str | None, path: str | None) -> str:
 def votes(pages: DataFrame, page: str = "html", url: str = "url") -> DataFrame:
     """The winning path of each host: host, path. A page's votes sum to 1, so no page outweighs another; ties go to the least path. Then a page has one vote for or against each container around the winner."""
 
-    def run(batches):
+    def score(batches):
         import pandas as pd
 
         for b in batches:
             told: dict = defaultdict(float)
             for u, h in zip(b["url"], b["html"], strict=True):
-                host, found = host_of(u), blocks(h)
-                for path, score in _scores(found).items():
-                    told[host, path, None] += score
-                for (path, above), vote in _steps(found).items():
-                    told[host, path, above] += vote
+                host = host_of(u)
+                for path, share in _scores(blocks(h)).items():
+                    told[host, path] += share
+            if told:
+                yield pd.DataFrame([(*k, v) for k, v in told.items()], columns=["host", "path", "score"])
+
+    def climb(batches):
+        import pandas as pd
+
+        for b in batches:
+            told: dict = defaultdict(int)
+            for host, path, h in zip(b["host"], b["path"], b["html"], strict=True):
+                for (inner, outer), vote in _steps(blocks(h), path).items():
+                    told[host, inner, outer] += vote
             if told:
                 yield pd.DataFrame([(*k, v) for k, v in told.items()], columns=["host", "path", "above", "score"])
 
@@ -266,26 +290,37 @@ def votes(pages: DataFrame, page: str = "html", url: str = "url") -> DataFrame:
             b["path"] = [widest(p, {(s["path"], s["above"]): s["score"] for s in steps}) for p, steps in zip(b["path"], b["steps"], strict=True)]
             yield b[["host", "path"]]
 
+    tune(pages.sparkSession)
     rows = pages.select(F.col(url).cast("string").alias("url"), F.col(page).cast("string").alias("html"))
-    summed = stash(rows.mapInPandas(run, "host string, path string, above string, score double").groupBy("host", "path", "above").agg(F.sum("score").alias("score")), "host-votes")
-    winners = stash(summed.where("above IS NULL").groupBy("host").agg(F.min_by("path", F.struct(-F.round("score", 6), F.col("path"))).alias("path")), "host-winners")
-    # Only the winner and the containers around it can be climbed to: a few rows for each host.
-    steps = summed.where("above IS NOT NULL AND score > 0").alias("s").join(small(winners, 300).alias("w"), "host").where("w.path = s.path OR startswith(w.path, concat(s.path, '>'))")
-    steps = steps.groupBy("host").agg(F.collect_list(F.struct("s.path", "s.above", "s.score")).alias("steps"))
+    summed = rows.mapInPandas(tidy(score), "host string, path string, score double").groupBy("host", "path").agg(F.sum("score").alias("score"))
+    winners = stash(summed.groupBy("host").agg(F.min_by("path", F.struct(-F.round("score", 6), F.col("path"))).alias("path")), "host-winners")
+    # Only winners that aren't whole articles can be widened; the pages of their hosts are read again, for the containers around the winner alone.
+    inner = winners.where(~F.col("path").rlike(_ENDS_WHOLE) & (F.col("path") != ""))
+    again = rows.select(_host("url").alias("_host"), "html").join(_small(inner), F.col("_host") == F.col("host")).select("host", "path", "html")
+    steps = again.mapInPandas(tidy(climb), "host string, path string, above string, score long").groupBy("host", "path", "above").agg(F.sum("score").alias("score")).where("score > 0")
+    steps = steps.groupBy("host").agg(F.collect_list(F.struct("path", "above", "score")).alias("steps"))
     return winners.join(steps, "host", "left").withColumn("steps", F.coalesce("steps", F.array().cast(steps.schema["steps"].dataType))).select("host", "path", "steps").mapInPandas(widen, "host string, path string")
 
 
+def _host(url: str):
+    """As host_of, as a column."""
+    return F.lower(F.coalesce(F.regexp_extract(url, r"(?s)^.*?://([^/?#]*)", 1), F.lit("")))
+
+
+def _small(winners: DataFrame) -> DataFrame:
+    return small(winners, 48, F.octet_length("host") + F.octet_length("path"))
+
+
 def articles(pages: DataFrame, key: str = "page_id", page: str = "html", url: str = "url") -> DataFrame:
     """One row per page: the key, url, and the article's text ('' if none); null pages and URLs count as empty."""
     winners = stash(votes(pages, page, url), "host-paths")
     rows = pages.select(F.col(key).alias("_key"), F.col(url).cast("string").alias("_url"), F.col(page).cast("string").alias("_html"))
-    host = F.lower(F.coalesce(F.regexp_extract("_url", r"(?s)^.*?://([^/?#]*)", 1), F.lit("")))
-    dealt = rows.withColumn("_host", host).join(small(winners, 300), F.col("_host") == F.col("host"), "left").select("_key", "_url", "_html", "path")
+    dealt = rows.withColumn("_host", _host("_url")).join(_small(winners), F.col("_host") == F.col("host"), "left").select("_key", "_url", "_html", "path")
 
     def run(batches):
         for b in batches:
             b["text"] = [extract(h, p) for h, p in zip(b["_html"], b["path"], strict=True)]
             yield b[["_key", "_url", "text"]]
 
-    out = dealt.mapInPandas(run, f"_key {rows.schema['_key'].dataType.simpleString()}, _url string, text string")
+    out = dealt.mapInPandas(tidy(run), f"_key {rows.schema['_key'].dataType.simpleString()}, _url string, text string")
     return out.select(F.col("_key").alias(key), F.col("_url").alias(url), "text")

@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix64, stash, tidy
+from .common import mix64, stash, tidy, tune
 
 UNDETERMINED = "und"
 
@@ -74,13 +74,14 @@ def grams(codes: np.ndarray, size: int) -> np.ndarray:
 
 @dataclass
 class Filters:
-    """slots: one bitmask a slot; rates: each language's share of bits set, to the power of the probes."""
+    """slots: one bitmask a slot; scale: each language's rate of false positives; floor: the least share of a text's n-grams that its language has."""
 
     languages: list[str] = field(default_factory=list)
     bits: int = 20
     probes: int = 3
     slots: dict = field(default_factory=dict)
     scale: dict = field(default_factory=dict)
+    floor: float = 0.0
 
     @property
     def kind(self) -> np.dtype:
@@ -103,7 +104,8 @@ class Filters:
 
     def at(self, h: np.ndarray) -> list[np.ndarray]:
         mask = np.uint64((1 << self.bits) - 1)
-        return [(h >> np.uint64(k * 20 % 44)) & mask for k in range(self.probes)]
+        step = (64 - self.bits) // max(1, self.probes - 1)
+        return [(h >> np.uint64(k * step)) & mask for k in range(self.probes)]
 
     def add(self, size: int, language: int, h: np.ndarray) -> None:
         if size not in self.slots:
@@ -142,60 +144,82 @@ class Filters:
 
     def predict(self, text: str | None) -> tuple[str, float]:
         """The language and its share of the corrected hits; `und` and 0 without a letter or a learnt language."""
+        return self.told(text)[:2]
+
+    def told(self, text: str | None) -> tuple[str, float, float]:
+        """As predict, and the share of the text's n-grams, longer ones weighing more, that the language has beyond its false positives."""
         if not self.languages or not has_letter(text):
-            return UNDETERMINED, 0.0
+            return UNDETERMINED, 0.0, 0.0
         hits, total = self.counts(text)
         if not hits.sum():
-            return self.languages[0], 0.0  # letters, but nothing known: the commonest language, with no confidence
+            return self.languages[0], 0.0, 0.0  # letters, but nothing known: the commonest language, with no confidence
         best = int(hits.argmax())
-        return self.languages[best], float(hits[best] / hits.sum())
+        return self.languages[best], float(hits[best] / hits.sum()), float(hits[best] / total)
+
+
+#: Distinct texts that one task counts n-grams of, and n-grams that it holds before it passes their counts on.
+TEXTS_A_TASK, GRAMS_HELD = 400, 2_000_000
 
+#: Slots of a filter for each n-gram of its largest language, at least; the filters grow with what is learnt, so that false positives don't.
+SLOTS_A_GRAM = 5
 
-def fit(docs: DataFrame, lang: str = "lang", text: str = "text", rows: int = 2_000, keep: float = 0.9, bits: int = 20, grams_most: int = 200_000) -> Filters:
-    """Learns the filters from the `rows` rows of smallest hash in each language (the documented bound of the fit).
+
+def fit(docs: DataFrame, lang: str = "lang", text: str = "text", rows: int = 2_000, keep: float = 0.9, bits: int = 20, with_floor: bool = False) -> Filters:
+    """Learns the filters from about `rows` distinct texts of each language, those of smallest hash (the documented bound of the fit).
 
     An n-gram enters a language's filter if it is among the commonest ones that make up the share `keep` of that
-    language's n-gram occurrences, so that stray foreign words stay out, and at most `grams_most` of a size. All languages
-    are learnt; a filter takes 8 MB for each 64 of them, at 2**20 slots.
+    language's n-gram occurrences, so that stray foreign words stay out. All languages are learnt; a filter has 2**bits
+    slots, or more if the n-grams need them, and takes 8 MB for each 64 languages at 2**20 slots. with_floor: sets the floor
+    below which a text is in no learnt language, from the share of their n-grams that the sample's own texts have.
     """
     spark = docs.sparkSession
-    rows_of = docs.select(F.col(lang).cast("string").alias("lang"), F.col(text).cast("string").alias("text")).where("lang IS NOT NULL AND text IS NOT NULL")
-    known = [(r.lang, r["count"]) for r in rows_of.groupBy("lang").count().orderBy(F.desc("count"), "lang").collect()]
+    tune(spark)
+    rows_of = docs.select(F.col(lang).cast("string").alias("lang"), F.col(text).cast("string").alias("text")).where("lang IS NOT NULL AND text IS NOT NULL").withColumn("h", F.xxhash64("text", "lang"))
+    # Numbers of distinct texts are estimated, as they only set the size of the sample; copies are one text.
+    known = [(r.lang, r.texts) for r in rows_of.groupBy("lang").agg(F.count("*").alias("n"), F.approx_count_distinct("h", 0.02).alias("texts")).orderBy(F.desc("n"), "lang").collect()]
     if not known:
         return Filters()
-    # About `rows` rows of each language by a hash threshold from its exact count: no sort, no window over a language.
-    shares = spark.createDataFrame([(name, min(1.0, rows / n)) for name, n in known], "lang string, share double")
-    picked = rows_of.join(F.broadcast(shares), "lang").where("pmod(xxhash64(text, lang), 1000000) < share * 1000000")
+    # A hash threshold takes about `rows` texts of each language: no sort, no window over a language.
+    shares = spark.createDataFrame([(name, min(1.0, rows / max(1, n))) for name, n in known], "lang string, share double")
+    picked = rows_of.join(F.broadcast(shares), "lang").where("pmod(h, 1000000) < share * 1000000").groupBy("lang", "h").agg(F.first("text").alias("text"))
+    picked = stash(picked.select("lang", "text"), "language-sample")
 
     def count(batches):
-        gathered: dict = {}
+        gathered, held = {}, 0
+
+        def told():
+            for (name, size), parts in sorted(gathered.items()):
+                keys, n = np.unique(np.concatenate(parts), return_counts=True)
+                yield pd.DataFrame({"lang": name, "size": size, "gram": keys.view(np.int64), "n": n})
+
         for b in batches:
             for name, value in zip(b["lang"], b["text"], strict=True):
                 codes = letters(value)
                 for size in SIZES:
                     gathered.setdefault((name, size), []).append(grams(codes, size))
-        for (name, size), parts in sorted(gathered.items()):
-            keys, n = np.unique(np.concatenate(parts), return_counts=True)
-            yield pd.DataFrame({"lang": name, "size": size, "gram": keys.view(np.int64), "n": n})
-
-    counted = picked.select("lang", "text").repartition(24 * -(-len(known) // 64)).mapInPandas(tidy(count), "lang string, size int, gram long, n long").groupBy("lang", "size", "gram").agg(F.sum("n").alias("n")).where("n > 1")
+                held += len(SIZES) * len(codes)
+                if held > GRAMS_HELD:
+                    yield from told()
+                    gathered, held = {}, 0
+        yield from told()
+
+    tasks = -(-sum(min(n, rows) for _, n in known) // TEXTS_A_TASK)
+    counted = picked.repartition(tasks).mapInPandas(tidy(count), "lang string, size int, gram long, n long").groupBy("lang", "size", "gram").agg(F.sum("n").alias("n")).where("n > 1")
     counted = stash(counted, "language-grams")
     # The commonest that make up `keep` of the occurrences: the least count that qualifies comes from a histogram of counts.
     levels = counted.groupBy("lang", "size", "n").agg(F.count("*").alias("m")).collect()
-    least, of = {}, {}
+    least, of, most = {}, {}, 1
     for r in levels:
-        of.setdefault((r.lang, r["size"]), []).append((r.n, r.n * r.m))
+        of.setdefault((r.lang, r["size"]), []).append((r.n, r.m))
     for key, level in of.items():
         level.sort(reverse=True)
-        total, run, held = sum(x for _, x in level), 0, 0
-        least[key] = level[0][0]
-        for n, x in level:
-            run, held = run + x, held + x // n
-            if held > grams_most:
-                break
-            least[key] = n
+        total, run, held = sum(n * m for n, m in level), 0, 0
+        for n, m in level:
+            run, held, least[key] = run + n * m, held + m, n
             if run >= keep * total:
                 break
+        most = max(most, held)
+    bits = max(bits, (SLOTS_A_GRAM * most - 1).bit_length())
     floors = spark.createDataFrame([(*key, n) for key, n in sorted(least.items())], "lang string, size int, least long")
     chosen = counted.join(F.broadcast(floors), ["lang", "size"]).where("n >= least").select("lang", "size", "gram")
 
@@ -214,11 +238,29 @@ def fit(docs: DataFrame, lang: str = "lang", text: str = "text", rows: int = 2_0
                 words, bit = out.word(table, k)
                 words |= np.unpackbits(np.frombuffer(slices[name, size], np.uint8)).astype(out.kind) * bit
         out.scale[size] = out.rates(size)
+    if with_floor:
+        out.floor = _floor(picked.repartition(tasks), out)
     return out
 
 
+#: The floor: a share of what all but one in a hundred of the sample's texts have, and no more than that.
+FLOOR_SHARE, FLOOR_MOST = 0.25, 0.1
+
+
+def _floor(sample: DataFrame, filters: Filters) -> float:
+    sent = sample.sparkSession.sparkContext.broadcast(filters)
+
+    def run(batches):
+        for b in batches:
+            yield pd.DataFrame({"x": [sent.value.told(t)[2] for t in b["text"]]})
+
+    least = sample.mapInPandas(tidy(run), "x double").agg(F.percentile("x", F.lit(0.01))).first()[0]
+    return min(FLOOR_MOST, FLOOR_SHARE * (least or 0.0))
+
+
 def predict(docs: DataFrame, filters: Filters, keys: list[str], text: str = "text") -> DataFrame:
     """The keys, `lang_pred` and `score`, one row per input row."""
+    tune(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(filters)
 
     def run(batches):
@@ -233,13 +275,18 @@ def predict(docs: DataFrame, filters: Filters, keys: list[str], text: str = "tex
 
 
 def known_only(docs: DataFrame, filters: Filters, text: str = "text") -> DataFrame:
-    """The rows of `docs` that have a language: all but those with a null text or without a letter, even where no language was learnt."""
+    """The rows of `docs` that are in a learnt language.
+
+    Null texts, those without a letter, and those of whose n-grams no language has the filters' floor go. Where no language
+    was learnt, all texts with letters stay.
+    """
+    tune(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(filters)
 
     def run(texts: pd.Series) -> pd.Series:
-        predict_ = sent.value.predict if sent.value.languages else lambda t: ("letters" if has_letter(t) else UNDETERMINED,)
-        return pd.Series([predict_(t)[0] for t in texts], dtype=object)
+        known = sent.value
+        return pd.Series([has_letter(t) and (not known.languages or known.told(t)[2] >= known.floor) for t in texts], dtype=bool)
 
-    # Marked as nondeterministic, the function runs once for each row, not once for the filter and once for the column.
-    found = F.pandas_udf(run, "string").asNondeterministic()
-    return docs.withColumn("__lang", found(F.col(text).cast("string"))).where(F.col("__lang") != UNDETERMINED).select(docs.columns)
+    # Marked as nondeterministic, the function runs once for each row.
+    stays = F.pandas_udf(run, "boolean").asNondeterministic()
+    return docs.withColumn("__known", stays(F.col(text).cast("string"))).where("__known").select(*(f"`{c}`" for c in docs.columns))

@@ -8,23 +8,29 @@ from pyspark import TaskContext
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from .common import read, shared_dir, stash, tidy
+from .common import read, shared_dir, stash, tidy, tune
 from .sstable import open_shard, write_shard
 from .tokens import encoder
 
 TOKENIZER, END_ID = "word_bpe_49k.json", 2
 
+#: Bytes of input, as Spark estimates them from the files, for each shard.
+SHARD_BYTES = 256 << 20
+
 
 def write_tokens(docs, tokenizer: str, end_id: int, folder: str, key: str = "doc_id", text: str = "text", shards: int | None = None):
     """Writes `docs` as shards in `folder`, ranges of `key` in ascending order; returns one row per shard: path, entries, tokens, first, last.
 
     The shuffle deals out whole texts by ranges of the key, so that tokens are made once, in the task that writes them.
-    Null keys come first. Equal keys are ordered by a hash of the text and then by the text. A null text has the end id alone.
+    Null keys come first. Equal keys are ordered by a hash of the text and then by the text; they may stand in several
+    shards, and so may equal rows. A null text has the end id alone. There are as many shards as shuffle partitions, or
+    more if the input asks for them.
     """
     spark = docs.sparkSession
-    shards = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    tune(spark)
     rows = docs.select(F.col(key).cast("long").alias("key"), F.col(text).cast("string").alias("text"))
-    dealt = rows.repartitionByRange(shards, "key").sortWithinPartitions(F.asc_nulls_first("key"), F.xxhash64("text"), "text")
+    shards = shards or shards_for(rows)
+    dealt = rows.withColumns({"hash": F.xxhash64("text"), "place": F.monotonically_increasing_id()}).repartitionByRange(shards, F.asc_nulls_first("key"), "hash", "place").sortWithinPartitions(F.asc_nulls_first("key"), "hash", "text").select("key", "text")
 
     def write(batches):
         import pandas as pd
@@ -47,6 +53,13 @@ def write_tokens(docs, tokenizer: str, end_id: int, folder: str, key: str = "doc
     return stash(dealt.mapInArrow(tidy(write), "part int, path string, entries long, tokens long, first long, last long"), "token-shards")
 
 
+def shards_for(rows) -> int:
+    """Shards of about SHARD_BYTES by the estimate of the plan; an estimate without meaning, as of joins, counts as none."""
+    spark = rows.sparkSession
+    estimate = int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-estimate // SHARD_BYTES) if estimate < 1 << 52 else 1)
+
+
 def read_tokens(shards, key: str = "doc_id"):
     """Reads the shards back: the key, start (ids before it in all shards), n_tokens and ids_crc32, one row per entry."""
     spark = shards.sparkSession

@@ -5,9 +5,6 @@ from pyspark.sql import functions as F
 from .common import crc_mod, read
 from .toxicity import fit, score
 
-#: Harmless phrases that hold a lexicon word.
-EXCEPTIONS = ("trash can", "trash bin", "class clown", "clown fish", "sore loser")
-
 
 def op7_toxicity(spark, sf_dir, docs=None, labels=None):
     """doc_id, held_out, score, predicted, matches. Null and empty texts get the score of no evidence; a null doc_id counts as the text ''.
@@ -18,7 +15,7 @@ def op7_toxicity(spark, sf_dir, docs=None, labels=None):
     labels = read(spark, sf_dir, "labels") if labels is None else labels
     told = labels.where("toxic IS NOT NULL AND doc_id IS NOT NULL").where(crc_mod("doc_id", 5) != 0).groupBy("doc_id").agg(F.max("toxic").alias("y"))
     held = (crc_mod("doc_id", 5) == 0).alias("held_out")
-    lexicon = fit(docs, told, "doc_id", exceptions=EXCEPTIONS)
+    lexicon = fit(docs, told, "doc_id")
     rows = docs.select("doc_id", "text", held)
     return score(rows, lexicon, ["doc_id", "held_out"]).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 

@@ -2,12 +2,13 @@
 
 A shard holds entries in ascending key order. Layout, all integers little-endian unless said otherwise:
 
-    b"LMSST001"
+    b"LMSST002"
     data blocks   zstd frames of entries: varint shared, varint unshared, varint value bytes, key suffix, value
-    index block   zstd frame, for each data block: varint key bytes, last key, varint offset, varint length
+    index block   zstd frame, for each data block: varint key bytes, last key, varint offset, varint length, crc32 (u32)
     bloom filter  bits of the keys, PROBES probes by double hashing of xxh64
-    footer        index offset, index length, bloom offset, bloom bits, entries, tokens (six u64), crc32 of what is before the footer's crc (u32), id width in bytes (u32), b"LMSSTEND"
+    footer        index offset, index length, bloom offset, bloom bits, entries, tokens (six u64), id width in bytes, crc32 of the index block, of the bloom filter, and of the footer before it (four u32), b"LMSSTEND"
 
+Every part is checked against its crc32 before it is used, so a damaged shard is an error and never another answer.
 A key is byte 0 for a null identifier or byte 1 and the identifier as big-endian 64 bits with its sign bit flipped, so
 keys sort as identifiers do, null first. Keys in a block share prefixes with the key before; a block's first key is whole.
 A value is the ids, two bytes each where the vocabulary allows, else four. Equal identifiers keep an entry each.
@@ -24,8 +25,8 @@ import numpy as np
 import xxhash
 import zstandard
 
-MAGIC, END = b"LMSST001", b"LMSSTEND"
-FOOTER = struct.Struct("<6QII8s")
+MAGIC, END = b"LMSST002", b"LMSSTEND"
+HEAD, FOOTER = struct.Struct("<6Q3I"), struct.Struct("<6Q4I8s")
 
 #: Bytes of a data block before compression, bloom bits a key, probes.
 BLOCK, BLOOM_BITS, PROBES = 64 << 10, 10, 6
@@ -68,7 +69,7 @@ class Writer:
     """Writes entries, given in key order, to a binary sink; holds one block and the index in memory."""
 
     def __init__(self, sink, width: int):
-        self.sink, self.width, self.offset, self.crc = sink, width, 0, 0
+        self.sink, self.width, self.offset = sink, width, 0
         self.block, self.last, self.index, self.hashes, self.entries, self.tokens = [], b"", [], [], 0, 0
         self.block_bytes = 0
         self.packer = zstandard.ZstdCompressor(level=1)
@@ -76,7 +77,6 @@ class Writer:
 
     def _put(self, data: bytes) -> None:
         self.sink.write(data)
-        self.crc = zlib.crc32(data, self.crc)
         self.offset += len(data)
 
     def add(self, identifier: int | None, ids: np.ndarray) -> None:
@@ -98,7 +98,7 @@ class Writer:
     def _flush(self) -> None:
         if self.block:
             data = self.packer.compress(b"".join(self.block))
-            self.index.append(_varint(len(self.last)) + self.last + _varint(self.offset) + _varint(len(data)))
+            self.index.append(_varint(len(self.last)) + self.last + _varint(self.offset) + _varint(len(data)) + struct.pack("<I", zlib.crc32(data)))
             self._put(data)
             self.block, self.block_bytes = [], 0
 
@@ -114,10 +114,10 @@ class Writer:
         for k in range(PROBES):  # as in _probes: both terms are reduced first, so that neither overflows
             bloom[((h % np.uint64(bits)) + (np.uint64(k) * step) % np.uint64(bits)) % np.uint64(bits)] = True
         bloom_at = self.offset
-        self._put(np.packbits(bloom, bitorder="little").tobytes())
-        head = struct.pack("<6Q", at, len(index), bloom_at, bits, self.entries, self.tokens)
-        self._put(head)
-        self.sink.write(struct.pack("<II8s", self.crc, self.width, END))
+        packed = np.packbits(bloom, bitorder="little").tobytes()
+        self._put(packed)
+        head = HEAD.pack(at, len(index), bloom_at, bits, self.entries, self.tokens, self.width, zlib.crc32(index), zlib.crc32(packed))
+        self._put(head + struct.pack("<I8s", zlib.crc32(head), END))
 
 
 class Reader:
@@ -126,26 +126,36 @@ class Reader:
     def __init__(self, source):
         self.source = source
         size = source.size() if callable(source.size) else source.size
+        if size < len(MAGIC) + FOOTER.size:
+            raise ValueError("not a shard, or cut short")
         source.seek(size - FOOTER.size)
-        index_at, index_length, self.bloom_at, self.bits, self.entries, self.tokens, self.crc, self.width, end = FOOTER.unpack(source.read(FOOTER.size))
-        if end != END:
+        foot = source.read(FOOTER.size)
+        index_at, index_length, self.bloom_at, self.bits, self.entries, self.tokens, self.width, index_crc, self.bloom_crc, crc, end = FOOTER.unpack(foot)
+        if end != END or zlib.crc32(foot[: HEAD.size]) != crc or self._at(0, len(MAGIC)) != MAGIC:
             raise ValueError("not a shard, or cut short")
         self.unpacker = zstandard.ZstdDecompressor()
-        data, at, self.keys, self.blocks = self.unpacker.decompress(self._at(index_at, index_length), 1 << 31) if index_length else b"", 0, [], []
+        data, at, self.keys, self.blocks = self.unpacker.decompress(self._sound(index_at, index_length, index_crc), 1 << 31) if index_length else b"", 0, [], []
         while at < len(data):
             n, at = _read_varint(data, at)
             self.keys.append(data[at : at + n])
             offset, at = _read_varint(data, at + n)
             length, at = _read_varint(data, at)
-            self.blocks.append((offset, length))
+            self.blocks.append((offset, length, *struct.unpack_from("<I", data, at)))
+            at += 4
         self.bloom = None
 
     def _at(self, offset: int, length: int) -> bytes:
         self.source.seek(offset)
         return self.source.read(length)
 
+    def _sound(self, offset: int, length: int, crc: int) -> bytes:
+        data = self._at(offset, length)
+        if len(data) != length or zlib.crc32(data) != crc:
+            raise ValueError("the shard is damaged")
+        return data
+
     def _entries(self, block: int) -> Iterator[tuple[bytes, np.ndarray]]:
-        data, at, key = self.unpacker.decompress(self._at(*self.blocks[block])), 0, b""
+        data, at, key = self.unpacker.decompress(self._sound(*self.blocks[block])), 0, b""
         while at < len(data):
             shared, at = _read_varint(data, at)
             more, at = _read_varint(data, at)
@@ -162,7 +172,7 @@ class Reader:
 
     def may_hold(self, identifier: int | None) -> bool:
         if self.bloom is None:
-            self.bloom = self._at(self.bloom_at, (self.bits + 7) // 8)
+            self.bloom = self._sound(self.bloom_at, (self.bits + 7) // 8, self.bloom_crc)
         return all(self.bloom[p >> 3] >> (p & 7) & 1 for p in _probes(key_of(identifier), self.bits))
 
     def get(self, identifier: int | None) -> list[np.ndarray]:

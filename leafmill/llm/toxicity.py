@@ -7,15 +7,18 @@ phrases cover harmless uses, and an entry inside one doesn't count. The weights
 
 from __future__ import annotations
 
+import itertools
 import math
 import unicodedata
+from bisect import bisect_right
 from collections import Counter
 
 import numpy as np
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from .common import stash
+
+from .common import stash, tidy, tune
 
 #: Signs that stand for letters. Fixed values.
 SUBSTITUTES = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "l", "€": "e"}
@@ -104,14 +107,26 @@ class Lexicon:
         """(start, end, weight) in the folded text, at most one a word (the heaviest), none inside an exception phrase."""
         if not self.entries:
             return []
-        found, covered = {}, []
+        found, begins, ends = {}, [], []  # matches; the exception phrases' places, merged, in order
         for end, (length, weight, _) in self.automaton.iter(text):
             start = end - length + 1
-            if weight is None:
-                covered.append((start, end))
-            elif start not in found or weight > found[start][1]:
-                found[start] = (end, weight)
-        return [(s, e, w) for s, (e, w) in sorted(found.items()) if not any(a <= s and e <= b for a, b in covered)]
+            if weight is not None:
+                if start not in found or weight > found[start][1]:
+                    found[start] = (end, weight)
+                continue
+            # Ends ascend, so a phrase that begins before others takes them in. Phrases share a space at most, which is no match.
+            while begins and begins[-1] >= start:
+                begins.pop()
+                ends.pop()
+            if not begins or end > ends[-1]:
+                begins.append(start)
+                ends.append(end)
+        out = []
+        for s, (e, w) in sorted(found.items()):
+            k = bisect_right(begins, s) - 1
+            if k < 0 or ends[k] < e:
+                out.append((s, e, w))
+        return out
 
     def evidence(self, text: str | None) -> tuple[float, float, int]:
         """Total weight (an entry's c matches weigh 1 + ln c times), weight per fourth root of the length in hundreds of words, matches."""
@@ -135,16 +150,18 @@ def candidates(text: str | None, shortest: int = 4, longest: int = 9) -> set[str
     return out
 
 
-def fit(docs: DataFrame, labels: DataFrame, key: str, text: str = "text", exceptions=(), rows: int = 20_000, least: int = 4, entries: int = 5_000, purity: float = 0.8) -> Lexicon:
+def fit(docs: DataFrame, labels: DataFrame, key: str, text: str = "text", exceptions=(), rows: int = 20_000, least: int = 4, purity: float = 0.8) -> Lexicon:
     """Learns a lexicon from `labels` (columns `key`, unique and not null, and `y`, 1 or 0) of rows of `docs`.
 
     Of near copies about one counts. The fit reads about `rows` labelled rows, chosen by a hash of the key at a threshold
     from the exact number of labels: a documented bound, so that the chosen keys can be broadcast, no text is shuffled,
-    and the driver holds a bounded table of entries. An entry needs `least` texts of label 1 and a smoothed share of
+    and the driver holds no more entries than those rows' texts show often enough. An entry needs `least` texts of label 1 and a smoothed share of
     label 1 of at least `purity`; a beginning that says no more than what it contains, or is contained in, is dropped.
-    Weights are the lower ends of log odds.
+    Weights are the lower ends of log odds. Exception phrases are those given and those learnt: pairs of words, one of
+    them an entry, that at least `least` texts of label 0 hold and that say no more of label 1 than of label 0.
     """
     spark = docs.sparkSession
+    tune(spark)
     chosen = labels.select(F.col(key).alias("_key"), F.col("y").cast("int").alias("y")).where("y IN (0, 1)")
     share = min(1.0, rows / max(1, chosen.count()))
     chosen = chosen.where(F.expr(f"pmod(xxhash64(_key), 1000000) < {share * 1_000_000}"))
@@ -171,17 +188,20 @@ def fit(docs: DataFrame, labels: DataFrame, key: str, text: str = "text", except
             keys = sorted(pos.keys() | neg.keys())
             yield pd.DataFrame({"entry": [*keys, ""], "pos": [*(pos[k] for k in keys), n[1]], "neg": [*(neg[k] for k in keys), n[0]]})
 
-    counted = sample.mapInPandas(count, "entry string, pos long, neg long").groupBy("entry").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+    counted = sample.mapInPandas(tidy(count), "entry string, pos long, neg long").groupBy("entry").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
     counted = stash(counted, "toxic-entries")
     total = counted.where("entry = ''").collect()
     n1, n0 = (total[0].pos, total[0].neg) if total else (0, 0)
     rate = F.expr(f"(pos + 0.5) / ({n1} + 1) / ((pos + 0.5) / ({n1} + 1) + (neg + 0.5) / ({n0} + 1))")
-    kept = counted.where((F.col("entry") != "") & (F.col("pos") >= least)).withColumn("share", rate).where(F.col("share") >= purity).orderBy(F.desc(F.col("pos") * (F.col("share") - 0.5)), "entry").limit(entries).collect()
+    kept = counted.where((F.col("entry") != "") & (F.col("pos") >= least)).withColumn("share", rate).where(F.col("share") >= purity).collect()
     lexicon = Lexicon(_prune({r.entry: (r.pos, r.neg) for r in kept}, n1, n0, least), exceptions)
     if not n1 or not n0:
         lexicon.entries = {}
         return lexicon
 
+    harmless = sample.mapInPandas(tidy(_pairs(spark.sparkContext.broadcast(lexicon))), "pair string, y int").groupBy("pair").agg(F.count_if(F.col("y") == 1).alias("pos"), F.count_if(F.col("y") == 0).alias("neg"))
+    learnt = harmless.where(F.col("neg") >= least).withColumn("share", rate).where("share <= 0.5").select("pair").orderBy("pair").collect()
+    lexicon = Lexicon(lexicon.entries, [*exceptions, *(r.pair for r in learnt)])
     sent = spark.sparkContext.broadcast(lexicon)
 
     def weigh(batches):
@@ -194,6 +214,23 @@ def fit(docs: DataFrame, labels: DataFrame, key: str, text: str = "text", except
     return lexicon
 
 
+def _pairs(sent):
+    """mapInPandas: (pair, y) for each text and each pair of neighbouring folded words of which one has a match."""
+
+    def run(batches):
+        import pandas as pd
+
+        for b in batches:
+            out = set()
+            for k, (t, y) in enumerate(zip(b["text"], b["y"], strict=True)):
+                words = fold_words(t)
+                hit = {w: bool(sent.value.matches(f" {w} ")) for w in set(words)}
+                out |= {(k, f"{v} {w}", y) for v, w in itertools.pairwise(words) if hit[v] or hit[w]}
+            yield pd.DataFrame([(pair, y) for _, pair, y in sorted(out)], columns=["pair", "y"])
+
+    return run
+
+
 def _families(batches):
     """For each seed the least hash of a text's runs of three words, which near copies share most often."""
     for b in batches:
@@ -241,6 +278,7 @@ def _logistic(x: np.ndarray, y: np.ndarray, n: np.ndarray, steps: int = 100) ->
 
 def score(docs: DataFrame, lexicon: Lexicon, keys: list[str], text: str = "text") -> DataFrame:
     """The keys, `score`, and `matches` (the number of lexicon hits), one row per input row."""
+    tune(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(lexicon)
 
     def run(batches):
@@ -252,4 +290,4 @@ def score(docs: DataFrame, lexicon: Lexicon, keys: list[str], text: str = "text"
 
     rows = docs.select(*keys, F.col(text).cast("string").alias("_text"))
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "_text")
-    return rows.mapInPandas(run, f"{fields}, score double, matches int")
+    return rows.mapInPandas(tidy(run), f"{fields}, score double, matches int")

@@ -1,14 +1,15 @@
 """WARC archives with revisit resolution.
 
-Only headers are shuffled to find equal payloads: each record's payload digest, length and key. The response of a digest
-is chosen by an aggregate and joined back to the headers; the headers then meet their payloads once, by key, where the
-archives are written with fresh headers, one gzip member a record. A revisit record carries headers alone.
+Only headers are shuffled to find equal payloads: each record's payload digest and key. The response of a digest that
+occurs more than once is chosen by an aggregate; what it is is joined back by digest beside the scan, where the archives
+are written with fresh headers, one gzip member a record. A revisit record carries headers alone.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
+import itertools
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -17,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import open_fs, small, stash, write_atomically
+from .common import open_fs, small, stash, tidy, tune, write_atomically
 
 #: The profile of revisits with equal payloads, by the WARC standard. A fixed value.
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -80,37 +81,35 @@ def read_records(source) -> Iterator[tuple[dict[str, str], bytes]]:
 
 
 def resolve(pages: DataFrame, key: str, payload: str, least_bytes: int = 0) -> DataFrame:
-    """Headers: key, digest (hex), length, type, and for revisits the response's key and URL. Only headers are shuffled.
+    """Every row's key, url, payload (bytes), digest (hex), length, type, and for revisits the response's key and URL. Only headers are shuffled.
 
-    Of records with equal payloads of at least `least_bytes` bytes that with the largest key is the response; a null key
-    is the least. Of repeated rows with that key the one with the largest URL is it, and equal rows are all responses.
+    Of records with equal payloads of at least `least_bytes` bytes that with the largest key is the response, and the others
+    revisit it; a null key is the least. Rows that share the largest key can't be told apart by it: all are responses, and
+    revisits name the largest of their URLs.
     """
+    tune(pages.sparkSession)
     data = F.coalesce(F.encode(F.col(payload).cast("string"), "utf-8"), F.lit(b""))
-    heads = stash(pages.select(F.col(key).alias("key"), F.col("url").alias("url"), F.sha1(data).alias("digest"), F.length(data).cast("long").alias("length")), "warc-headers")
-    best = heads.where(F.col("length") >= least_bytes).groupBy("digest").agg(F.max(F.struct((~F.col("key").isNull()).alias("known"), "key", "url")).alias("best"), F.count("*").alias("n")).where("n > 1")
-    best = small(stash(best.select("digest", "best"), "warc-responses"), 400)
-    own = F.struct((~F.col("key").isNull()).alias("known"), "key", "url")
-    told = heads.join(best, "digest", "left").withColumn("type", F.when(F.col("best").isNull() | (F.col("length") < least_bytes) | own.eqNullSafe(F.col("best")), "response").otherwise("revisit"))
-    return told.select("key", "url", "digest", "length", "type", F.when(F.col("type") == "revisit", F.col("best.key")).alias("to_key"), F.when(F.col("type") == "revisit", F.col("best.url")).alias("to_url"))
+    rows = pages.select(F.col(key).alias("key"), F.col("url").cast("string").alias("url"), data.alias("payload")).withColumns({"digest": F.unhex(F.sha1("payload")), "length": F.length("payload").cast("long")})
+    best = rows.where(F.col("length") >= least_bytes).groupBy("digest").agg(F.max(F.struct((~F.col("key").isNull()).alias("known"), "key", "url")).alias("best"), F.count("*").alias("n")).where("n > 1")
+    best = stash(best.select(F.col("digest").alias("_digest"), "best"), "warc-responses")
+    told = rows.join(small(best, 64, F.length("best.url")), F.col("digest") == F.col("_digest"), "left")
+    revisit = F.col("best").isNotNull() & (F.col("length") >= least_bytes) & ~F.col("key").eqNullSafe(F.col("best.key"))
+    return told.select("key", "url", "payload", F.lower(F.hex("digest")).alias("digest"), "length", F.when(revisit, "revisit").otherwise("response").alias("type"), F.when(revisit, F.col("best.key")).alias("to_key"), F.when(revisit, F.col("best.url")).alias("to_url"))
 
 
 def write_archives(pages: DataFrame, folder: str, key: str = "page_id", payload: str = "html", least_bytes: int = 0) -> DataFrame:
     """Writes every row as a record in one of the archives; returns a row per archive: path, records, bytes.
 
-    Payloads are shuffled once, to meet their headers; an archive is a partition of that join. Within an archive records are in ascending key order.
+    An archive is a partition of the rows, in their order: payloads stay where they are read, as long as the responses of
+    repeated digests are counted as small enough to be broadcast; beyond that rows are shuffled by digest once.
     """
-    heads = stash(resolve(pages, key, payload, least_bytes), "warc-resolved")
-    # Rows that share a key and a URL but not a payload are told apart by the digest.
-    rows = pages.select(F.col(key).alias("key"), F.col("url").alias("url"), F.coalesce(F.encode(F.col(payload).cast("string"), "utf-8"), F.lit(b"")).alias("payload"))
-    rows = rows.withColumn("digest", F.sha1("payload"))
-    told = heads.select(*(F.col(c).alias(f"h_{c}") for c in ("key", "url", "digest")), "type", "to_key", "to_url", "length").dropDuplicates(["h_key", "h_url", "h_digest"])
-    full = rows.join(told, rows["key"].eqNullSafe(told["h_key"]) & rows["url"].eqNullSafe(told["h_url"]) & (rows["digest"] == told["h_digest"]))
-    full = full.select("key", "url", "type", "to_key", "to_url", "length", F.when(F.col("type") == "response", F.col("payload")).otherwise(F.lit(b"")).alias("payload"), "digest")
-    dealt = full.sortWithinPartitions(F.asc_nulls_first("key"), "digest", "url")
+    told = resolve(pages, key, payload, least_bytes)
+    dealt = told.select("key", "url", "type", "to_key", "to_url", "length", F.when(F.col("type") == "response", F.col("payload")).otherwise(F.lit(b"")).alias("payload"), "digest")
 
     def write(batches):
         import pyarrow as pa
 
+        batches = iter(batches)
         part = TaskContext.get().partitionId()
         path = f"{folder}/part-{part:06d}.warc.gz"
         n = [0, 0]
@@ -122,11 +121,15 @@ def write_archives(pages: DataFrame, folder: str, key: str = "page_id", payload:
                     n[0] += 1
             n[1] = sink.tell()
 
+        first = next(batches, None)
+        if first is None:
+            return
+        batches = itertools.chain([first], batches)
         write_atomically(path, put)
         if n[0]:
             yield pa.RecordBatch.from_pydict({"path": [path], "records": [n[0]], "bytes": [n[1]]}, pa.schema([("path", pa.string()), ("records", pa.int64()), ("bytes", pa.int64())]))
 
-    return stash(dealt.mapInArrow(write, "path string, records long, bytes long"), "warc-archives")
+    return stash(dealt.mapInArrow(tidy(write), "path string, records long, bytes long"), "warc-archives")
 
 
 def read_archives(archives: DataFrame, key: str = "page_id") -> DataFrame:
@@ -163,4 +166,4 @@ def read_archives(archives: DataFrame, key: str = "page_id") -> DataFrame:
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), schema.types, strict=True)], schema=schema)
 
-    return dealt.mapInArrow(load, f"`{key}` long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, verified boolean")
+    return dealt.mapInArrow(tidy(load), f"`{key}` long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, verified boolean")

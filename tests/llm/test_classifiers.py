@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import random
 import zlib
 
 import numpy as np
@@ -218,3 +219,76 @@ def test_language_of_awkward_rows(spark, awkward, empty):
     kept = language.known_only(awkward, language.fit(awkward))
     assert kept.columns == awkward.columns and kept.count() == sum(r.lang_pred != "und" for r in got)
     assert language.known_only(awkward.where("doc_id IN (1, 4, 5, 9)"), language.Filters()).count() == 1
+
+
+def test_matches_against_every_exception_phrase_by_brute_force():
+    import time
+
+    rng = random.Random(6)
+    lexicon = toxicity.Lexicon({" bad ": 1.0, " wor": 2.0, " ugly": 0.5}, ["not bad", "bad bad luck", "word list", "ugly duck word list"])
+    for _ in range(300):
+        line, _ = toxicity.folded(" ".join(rng.choice(["not", "bad", "luck", "word", "list", "ugly", "duck", "worst"]) for _ in range(rng.randint(0, 12))))
+        spans = [(k, k + len(x) - 1) for x in lexicon.exceptions for k in range(len(line)) if line.startswith(x, k)]
+        expected = {}
+        for entry, weight in lexicon.entries.items():
+            for k in range(len(line)):
+                if line.startswith(entry, k) and (k not in expected or weight > expected[k][1]):
+                    expected[k] = (k + len(entry) - 1, weight)
+        assert lexicon.matches(line) == [(s, e, w) for s, (e, w) in sorted(expected.items()) if not any(a <= s and e <= b for a, b in spans)]
+    began = time.monotonic()
+    assert lexicon.evidence("not bad luck " * 20_000)[2] == 0 and time.monotonic() - began < 5
+
+
+def test_harmless_phrases_are_learnt(spark):
+    rng = random.Random(7)
+    plain = ["river", "stone", "paper", "music", "garden", "window", "summer", "bread"]
+    rows, labels = [], []
+    for k in range(1200):
+        words = [rng.choice(plain) + rng.choice(plain) for _ in range(30)]
+        toxic = int(k % 3 == 0)
+        words.insert(rng.randrange(30), "trash" if toxic else "trash can" if k % 10 == 1 else "calm")
+        rows.append((k, " ".join(words)))
+        labels.append((k, toxic))
+    docs, told = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, y int")
+    lexicon = toxicity.fit(docs, told, "doc_id")
+    assert " trash can " in lexicon.exceptions
+    assert lexicon.score("you are trash my friend of mine") > 0.5 > lexicon.score("put it into the trash can please")
+
+
+def test_accuracy_on_the_tables(spark):
+    """Held-out documents: the score by its contract, and how often it is right."""
+    from leafmill.llm.queries_language import op10_language_id
+    from leafmill.llm.queries_toxicity import op7_toxicity
+    from tests_llm_data import table
+
+    docs, labels = table(spark, "documents"), table(spark, "labels")
+    toxic = {r.doc_id: r.toxic for r in labels.collect()}
+    found = [r for r in op7_toxicity(spark, "", docs, labels).collect() if r.doc_id in toxic]
+    assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) and r.predicted == int(r.score >= 0.5) for r in found)
+    assert sum(r.predicted == toxic[r.doc_id] for r in found if r.held_out) >= 0.8 * sum(r.held_out for r in found)
+    langs = {r.doc_id: r.lang for r in docs.collect()}
+    told = [r for r in op10_language_id(spark, "", docs).collect() if langs[r.doc_id] is not None]
+    assert sum(r.lang_pred == langs[r.doc_id] for r in told if r.held_out) >= 0.95 * sum(r.held_out for r in told)
+
+
+def test_copies_of_one_text_are_one_text_of_the_sample(spark):
+    rows = [("Only this sentence stands here a thousand times over.", "en")] * 3000 + [(f"der {w} und die {w}keit am {w}tag", "de") for w in ("haus", "baum", "wald", "berg") for _ in range(50)] + [(f"this is the {w} with many {w}s of his own", "en") for w in ("house", "river", "tree", "stone")] * 50
+    filters = language.fit(spark.createDataFrame(rows, "text string, lang string"), rows=20)
+    assert filters.predict("this is the river of the house")[0] == "en" and filters.predict("der wald und die berg")[0] == "de"
+
+
+def test_filters_grow_with_what_is_learnt(spark):
+    rng = random.Random(3)
+    rows = [("".join(chr(rng.randint(0x4E00, 0x9F00)) for _ in range(3000)), lang) for lang in ("a", "b") for _ in range(3)]
+    rows = [(t + t, lang) for t, lang in rows]
+    filters = language.fit(spark.createDataFrame(rows, "text string, lang string"), bits=8)
+    assert filters.bits > 12 and all(filters.predict(t)[0] == lang for t, lang in rows)
+
+
+def test_texts_of_no_learnt_language_go(spark):
+    rows = [(k, f"the {a} and the {b} of this {c}", "en") for k, (a, b, c) in enumerate([("house", "river", "town"), ("tree", "stone", "day"), ("river", "tree", "house"), ("day", "town", "stone")] * 10)]
+    docs = spark.createDataFrame([*rows, (100, "xqzv jjkw vvqx zzqk wxkj", None), (101, "12 34", None), (102, None, None), (103, "the house of the river", None)], "doc_id long, text string, lang string")
+    filters = language.fit(docs, with_floor=True)
+    assert 0 < filters.floor <= 0.1
+    assert {r.doc_id for r in language.known_only(docs, filters).where("doc_id >= 100").collect()} == {103}
+    assert language.known_only(docs, language.Filters()).where("doc_id >= 100").count() == 2

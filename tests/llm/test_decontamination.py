@@ -69,6 +69,25 @@ def test_proximity(spark):
     items = spark.createDataFrame([(1, "alpha beta gamma")], "item_id long, text string")
     near = lambda slop: sorted({r.id for r in m.matches(docs, items, slop=slop)[1].collect()})
     assert near(0) == [2] and near(1) == [1, 2]
+    # A match may reach the text's first and last word, and never the next text.
+    docs = spark.createDataFrame([(1, "b a"), (2, "x b a y"), (3, "a"), (4, "b")], "doc_id long, text string")
+    items = spark.createDataFrame([(1, "a b")], "item_id long, text string")
+    assert near(2) == [1, 2] and near(0) == []
+
+
+def test_the_index_holds_every_word_and_answers_any_phrase(spark, awkward):
+    index = m.build_index(awkward, "doc_id", "text")
+    rows = index.collect()
+    found = sum(sum(r.counts) for r in rows)
+    assert found == sum(len(WORD.findall(lower(r.text))) for r in awkward.select("text").collect())
+    for phrase, expected in (([b"one", b"two"], [10, 11]), ([b"two", b"one"], []), ([b"12345"], [9])):
+        assert sorted(r.id for r in m.search(index, [("i", phrase)], dict.fromkeys(phrase, 1)).collect()) == expected
+
+
+def test_repeated_occurrences_make_runs(spark):
+    docs = spark.createDataFrame([(1, "go go go stop go")], "doc_id long, text string")
+    items = spark.createDataFrame([(1, "go")], "item_id long, text string")
+    assert sorted((r.start, r.words) for r in m.matches(docs, items)[1].collect()) == [(0, 3), (4, 1)]
 
 
 def test_clean_only(spark, awkward):

@@ -19,7 +19,7 @@ def test_stages_by_brute_force(spark):
     for df in seen[:-1]:
         assert df.columns == docs.columns
     rows = [[(r.doc_id, r.text) for r in df.select("doc_id", "text").collect()] for df in seen[:-1]]
-    assert sorted(rows[1]) == sorted(rows[0])  # every document has letters
+    assert sorted(rows[1]) == sorted(rows[0])  # every document is in a learnt language
     assert sorted(i for i, _ in rows[2]) == sorted({x[1] for x in near(rows[1])})
     items = [(r.item_id, r.text) for r in table(spark, "benchmark").collect()]
     dirty = {x[0] for x in contaminated(rows[2], items) if x[5]}
@@ -41,6 +41,16 @@ def test_awkward_rows_and_no_rows(spark, awkward, empty):
         c.STAGES[-1][1](spark, docs, str(HERE)).collect()
 
 
+def test_documents_in_no_language_go(spark):
+    from tests_llm_data import HERE, table
+
+    docs = table(spark, "documents")
+    odd = [(10**9, "xqzv jjkw vvqx zzqk wxkj qqzz " * 40), (10**9 + 1, "12 34 56"), (10**9 + 2, docs.first().text)]
+    more = docs.unionByName(spark.createDataFrame([(i, t, None, "src1", len(t)) for i, t in odd], docs.schema))
+    kept = {r.doc_id for r in c.STAGES[0][1](spark, more, str(HERE)).select("doc_id").collect()}
+    assert kept == {r.doc_id for r in docs.select("doc_id").collect()} | {10**9 + 2}
+
+
 def test_run_is_registered(spark):
     import __spark_entry__ as e
 

@@ -46,6 +46,37 @@ def test_shard_round_trip_and_lookup(width):
         w.add(-(1 << 62), np.zeros(0, np.uint32))
 
 
+def test_damage_is_an_error_and_never_another_answer():
+    rng = random.Random(4)
+    sink = Source()
+    w = Writer(sink, 2)
+    rows = [(k, np.arange(k % 50, dtype=np.uint32)) for k in range(2000)]
+    for r in rows:
+        w.add(*r)
+    w.close()
+    good = sink.getvalue()
+    for _ in range(300):
+        at = rng.randrange(len(good))
+        bad = good[:at] + bytes([good[at] ^ 1 << rng.randrange(8)]) + good[at + 1 :]
+        try:
+            shard = Reader(Source(bad))
+            told = [(k, v.tolist()) for k, v in shard]
+            assert all(shard.may_hold(k) for k, _ in rows[:3])
+        except ValueError:
+            continue
+        raise AssertionError(f"byte {at} of {len(good)} went unnoticed: {told == [(k, v.tolist()) for k, v in rows]}")
+
+
+def test_a_hot_id_is_split(spark):
+    docs = spark.createDataFrame([(None if k % 3 else k, f"text {k}" if k % 2 else "same") for k in range(900)], "doc_id long, text string")
+    got = op2_token_output(spark, "", docs.repartition(6)).collect()
+    assert sorted((r.doc_id is not None, r.doc_id or 0, r.n_tokens) for r in got) == sorted((r.doc_id is not None, r.doc_id or 0, len(encoder(tokenizer_path()).ids(r.text)) + 1) for r in docs.collect())
+    from leafmill.llm.common import shared_dir
+
+    shards = write_tokens(docs.repartition(6), tokenizer_path(), 2, shared_dir(spark, "hot"), shards=6).collect()
+    assert max(s.entries for s in shards) < 450
+
+
 def test_encoder_equals_the_library():
     e = encoder(tokenizer_path())
     rng = random.Random(5)

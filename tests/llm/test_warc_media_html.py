@@ -24,7 +24,7 @@ PAGES = "page_id long, url string, html string, key string, digest string, type
 
 @pytest.fixture
 def pages(spark):
-    rows = [(1, "http://a/x", "<p>same</p>"), (2, "http://a/y", "<p>same</p>"), (3, "http://a/z", "<p>other é</p>"), (4, None, None), (5, "http://b/", None), (6, "http://b/", ""), (None, "http://c/ sp\nace", "<p>same</p>"), (7, "x", "y" * 300_000), (3, "http://a/z", "<p>another</p>")]
+    rows = [(1, "http://a/x", "<p>same</p>"), (2, "http://a/y", "<p>same</p>"), (3, "http://a/z", "<p>other é</p>"), (4, None, None), (5, "http://b/", None), (6, "http://b/", ""), (None, "http://c/ sp\nace", "<p>same</p>"), (7, "x", "y" * 300_000), (3, "http://a/z", "<p>another</p>"), (9, "http://one", "two rows"), (9, "http://two", "two rows"), (8, "http://three", "two rows"), (None, "u", "no id"), (None, "v", "no id")]
     return spark.createDataFrame([(*r, *"xxxxxxx") for r in rows], PAGES)
 
 
@@ -210,3 +210,20 @@ def test_extraction_of_the_tables_pages(spark):
         parts = (" ".join(html.unescape(re.sub("<[^>]+>", "", x)).split()) for x in re.split("</?(?:p|h1|br)[^>]*>", inner))
         text = " ".join(x for x in parts if x)
         assert got[r.page_id] == (text, len(text))
+
+
+def test_deep_pages_take_linear_time_and_keep_their_text():
+    import time
+
+    for page, texts in (
+        ("<div>" * 50_000 + "text" + "</div>" * 50_000, "text"),
+        ("<span>" * 8_000 + "<div>a</div>" * 8_000, " ".join(["a"] * 8_000)),
+        ("<span>" * 8_000 + "x<br>" * 8_000, " ".join(["x"] * 8_000)),
+        ("<b>" * 8_000 + "</i>" * 8_000 + "y", "y"),
+        ("<ul>" + "<i>" * 5_000 + "<li>z" * 5_000, " ".join(["z"] * 5_000)),
+        ("".join(f"<div class=c{k}>t" for k in range(5_000)), None),
+    ):
+        began = time.monotonic()
+        assert extraction.extract(page, None) == texts or texts is None
+        assert texts or [x[-1] for x in extraction.blocks(page)] == ["t"] * 5_000
+        assert time.monotonic() - began < 5
