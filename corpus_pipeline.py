@@ -16,9 +16,9 @@ from leafmill.llm.queries_tokens import END_ID, read_tokens, tokenizer_path, wri
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the documents that have a language: those with a null text or without a letter go."""
+    """Keeps the documents in a language that labelled documents have: those with a null text, without a letter, or with next to none of any learnt language's n-grams go."""
     tune(spark)
-    return language.known_only(docs, language.fit(docs))
+    return language.known_only(docs, language.fit(docs, with_floor=True))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
