@@ -14,7 +14,7 @@ from .functions.columns import issue_text, shortened
 from .operators.relational import issue_runs
 from .package import BookError
 from .plans.engine import Options, Outcome, translate_file
-from .providers import ProviderError
+from .providers import Cancelled, ProviderError
 from .settings import SettingsError, factory, load
 
 
@@ -96,7 +96,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     session = spark or SparkSession.builder.appName("leafmill").config("spark.speculation", "false").getOrCreate()
     try:
         out = translate_file(session, uri, o)
-    except KeyboardInterrupt:
+    except (Cancelled, KeyboardInterrupt):
         print("interrupted; what is finished is kept, run again to go on", file=sys.stderr)
         return 130
     except (BookError, ProviderError) as e:

@@ -11,9 +11,9 @@ from pyspark.sql import functions as F
 from ..answers import looks_untranslated
 from ..markup import MarkupError, parse
 from ..package import Package, open_archive, prune, write_archive
-from ..providers import ProviderError
+from ..providers import Cancelled, ProviderError
 from ..segments import Labels, Page, Segment, attached, put
-from ..tables import write_atomically
+from ..tables import StopFile, write_atomically
 from ..translating import Asking, cache_key, sound, timed, translate
 
 SEGMENT = "struct<id:int,source:string,kind:string,pairs:array<int>,atoms:array<int>,nesting:map<int,int>>"
@@ -68,16 +68,17 @@ def check_cached(docs: DataFrame) -> DataFrame:
     return docs.withColumn("sound", F.pandas_udf(run, "boolean").asNondeterministic()("segments", "data"))
 
 
-def call(docs: DataFrame, factory: Callable, target: str) -> DataFrame:
+def call(docs: DataFrame, factory: Callable, target: str, stop: str | None = None) -> DataFrame:
     """Sends (book, idx, key, segments, language, book_title) to the model: book, idx, key and RESULTS.
 
     One row is one document and one conversation. A failure that is final becomes columns, and the task's remaining rows
-    are left unasked, so what has been paid for is kept; the caller writes the result and looks at `failure_kind`.
+    are left unasked, so what has been paid for is kept; the caller writes the result and looks at `failure_kind`. Once the
+    file `stop` is there, requests and waits end, and the rows not yet answered have the failure kind `cancelled`.
     """
 
     def run(batches):
         events: list = []
-        ask, over = Asking(factory(), notify=lambda kind, **data: events.append(dict.fromkeys(("attempt", "pending", "reason", "seconds", "error")) | {"kind": kind} | data)), None
+        ask, over = Asking(factory(), cancel=StopFile(stop) if stop else None, notify=lambda kind, **data: events.append(dict.fromkeys(("attempt", "pending", "reason", "seconds", "error")) | {"kind": kind} | data)), None
         for b in batches:
             out = []
             for book, idx, key, segments, language, title in zip(b["book"], b["idx"], b["key"], b["segments"], b["language"], b["book_title"], strict=True):
@@ -89,8 +90,8 @@ def call(docs: DataFrame, factory: Callable, target: str) -> DataFrame:
                     result, seconds = timed(lambda s=segments, x=language, t=title: translate(unpack(s), ask, target, x, t))
                     issues = [{"seg": i.seg, "kind": i.kind, "detail": i.detail} for i in result.issues]
                     out.append((book, idx, key, result.translations, issues, result.requests, seconds, list(events), None, None))
-                except ProviderError as e:
-                    over = (str(e), e.kind)
+                except (Cancelled, ProviderError) as e:
+                    over = (str(e), e.kind) if isinstance(e, ProviderError) else ("the run was cancelled", "cancelled")
                     out.append((book, idx, key, None, [], 0, 0.0, list(events), *over))
             yield pd.DataFrame(out, columns=["book", "idx", "key", "translations", "issues", "requests", "seconds", "events", "failure", "failure_kind"])
 

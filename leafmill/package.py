@@ -6,9 +6,11 @@ What is read from one archive is a pure function of its bytes, to be run in a ta
 from __future__ import annotations
 
 import io
+import lzma
 import posixpath
 import re
 import zipfile
+import zlib
 from dataclasses import dataclass, field
 from urllib.parse import unquote
 
@@ -117,11 +119,20 @@ def open_archive(data: bytes) -> zipfile.ZipFile:
         raise BookError(f"not an archive: {e}") from None
 
 
-def _xml(z: zipfile.ZipFile, name: str) -> Tree:
+def read_member(z: zipfile.ZipFile, member: str | zipfile.ZipInfo) -> bytes:
+    """A member's bytes. One that is missing, damaged, encrypted or packed in an unknown way is a BookError."""
+    name = member if isinstance(member, str) else member.filename
     try:
-        return parse(z.read(name))
+        return z.read(member)
     except KeyError:
         raise BookError(f"the archive has no {name}") from None
+    except (zipfile.BadZipFile, zlib.error, EOFError, OSError, RuntimeError, lzma.LZMAError) as e:  # NotImplementedError is a RuntimeError
+        raise BookError(f"{name} can't be read: {e}") from None
+
+
+def _xml(z: zipfile.ZipFile, name: str) -> Tree:
+    try:
+        return parse(read_member(z, name))
     except MarkupError as e:
         raise BookError(f"{name} can't be parsed: {e}") from None
 
@@ -138,19 +149,23 @@ def read_package(z: zipfile.ZipFile) -> Package:
     return Package(path, _xml(z, path)).read()
 
 
+#: Elements that are an entry of a table of contents.
+ENTRIES = ("li", "navPoint")
+
+
 def prune(root: Node, base: str, removed: set[str]) -> int:
     """Takes the table-of-contents entries that point at removed members out, each with all that is below it."""
-    count = 0
-    for node in list(root.walk()) if removed else ():
-        ref = node.get("href") or node.get("src") if node.markup is None else None
-        if ref and "://" not in ref and resolve(base, ref) in removed:
-            entry = node
-            while entry is not None and entry.local not in ("li", "navPoint"):
-                entry = entry.parent
-            if entry is not None and entry.parent is not None:
-                entry.detach(with_space_before=True)
-                count += 1
-    return count
+    entry_of: dict[int, Node | None] = {}  # by node, the nearest entry that it belongs to
+    doomed: dict[int, Node] = {}
+    for node in root.walk() if removed else ():
+        entry = entry_of[id(node)] = node if node.local in ENTRIES else entry_of.get(id(node.parent))
+        points_at = [x for x in (node.get("href"), node.get("src")) if x][:1] if node.markup is None and entry is not None else []
+        if any("://" not in x and resolve(base, x) in removed for x in points_at):
+            doomed[id(entry)] = entry
+    found = [entry for entry in doomed.values() if entry.parent is not None]
+    for entry in found:
+        entry.detach(with_space_before=True)
+    return len(found)
 
 
 def write_archive(source: bytes, replaced: dict[str, bytes], removed: set[str]) -> bytes:
@@ -164,5 +179,5 @@ def write_archive(source: bytes, replaced: dict[str, bytes], removed: set[str])
             new.external_attr = old.external_attr
             plain = old.filename == MIMETYPE or old.compress_type == zipfile.ZIP_STORED
             new.compress_type = zipfile.ZIP_STORED if plain else zipfile.ZIP_DEFLATED
-            to.writestr(new, replaced[old.filename] if old.filename in replaced else z.read(old))
+            to.writestr(new, replaced[old.filename] if old.filename in replaced else read_member(z, old))
     return out.getvalue()

@@ -6,7 +6,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..package import BookError, links, open_archive, read_package
+from ..package import BookError, links, open_archive, read_member, read_package
 from ..shipping import ship
 
 MEMBERS = "book string, ord int, name string, data binary, stored boolean, date_time array<int>, external_attr long"
@@ -40,7 +40,7 @@ def stream_books(spark: SparkSession, folder: str, per_batch: int) -> DataFrame:
 
 
 def members(books: DataFrame) -> DataFrame:
-    """A row for each member of each archive that can be opened, folders included."""
+    """A row for each member of each archive that can be opened, folders included; a member that can't be read has no data."""
 
     def run(batches):
         for b in batches:
@@ -52,7 +52,11 @@ def members(books: DataFrame) -> DataFrame:
                     continue
                 with z:
                     for k, x in enumerate(z.infolist()):
-                        out.append((book, k, x.filename, z.read(x), x.compress_type == 0, list(x.date_time), x.external_attr))
+                        try:
+                            data = read_member(z, x)
+                        except BookError:
+                            data = None
+                        out.append((book, k, x.filename, data, x.compress_type == 0, list(x.date_time), x.external_attr))
                         size += x.file_size
                         if size > BATCH_BYTES:
                             yield _members(out)
@@ -64,7 +68,7 @@ def members(books: DataFrame) -> DataFrame:
 
 
 def packages(books: DataFrame) -> DataFrame:
-    """A row for each archive: what its package says, or the error that keeps it from being a book."""
+    """A row for each archive: what its package says, or the error that keeps it from being a book, a member that can't be read among them."""
 
     def run(batches):
         for b in batches:
@@ -73,6 +77,8 @@ def packages(books: DataFrame) -> DataFrame:
                 try:
                     with open_archive(content) as z:
                         p = read_package(z)
+                        for x in z.infolist():  # a damaged member is the book's error, not the job's
+                            read_member(z, x)
                     out.append((book, None, p.path, p.language, p.title, p.toc, p.cover, p.items, p.spine))
                 except BookError as e:
                     out.append((book, str(e), None, None, None, None, None, [], []))

@@ -6,6 +6,7 @@ import atexit
 import os
 import shutil
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -65,3 +66,25 @@ def write_atomically(uri: str, write) -> None:
         if system.get_file_info(part).type.name != "NotFound":
             system.delete_file(part)
         raise
+
+
+class StopFile:
+    """Says whether a file in the shared folder is there: how the driver tells the executors to stop. Used like an event."""
+
+    def __init__(self, uri: str, every: float = 1.0):
+        self.uri, self.every, self.found, self.looked = uri, every, False, 0.0
+
+    def set(self) -> None:
+        write_atomically(self.uri, lambda sink: sink.write(b"stop"))
+
+    def is_set(self) -> bool:
+        if not self.found and time.monotonic() - self.looked >= self.every:
+            system, path = open_fs(self.uri)
+            self.found, self.looked = system.get_file_info(path).type.name != "NotFound", time.monotonic()
+        return self.found
+
+    def wait(self, seconds: float) -> bool:
+        until = time.monotonic() + seconds
+        while not self.is_set() and (left := until - time.monotonic()) > 0:
+            time.sleep(min(left, self.every))
+        return self.found
