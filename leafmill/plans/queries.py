@@ -17,10 +17,10 @@ from ..operators import relational as rel
 from ..providers import Factory
 from ..shipping import ship
 from ..sources import books as src
-from ..sources.builder import make_book
+from ..sources.builder import make_book, make_rich_book
 from ..tables import shared_dir, stash
 from ..translating import cache_key
-from ..verify import facts, skeleton
+from ..verify import compare, facts, problems, skeleton
 from . import engine
 
 QUERIES: dict = {}
@@ -455,3 +455,102 @@ def request_payloads(spark, sf_dir):
     segments = F.transform("x", lambda x: F.struct((x.turn + 1).alias("id"), F.when(x.turn == 0, "heading").otherwise("text").alias("kind"), x.text.alias("source")))
     told = turns.select("conv_id", F.from_json(fn.request_payload(segments), "array<struct<id:long,kind:string,text:string>>").alias("items"))
     return told.select("conv_id", F.array_join(F.transform("items", lambda i: F.concat(i.id, F.lit(" "), F.coalesce(i.kind, F.lit("")), F.lit(" "), F.length(i.text))), ",").alias("items"))
+
+
+def rich_books(spark: SparkSession, sf_dir: str, faulty: bool = False) -> DataFrame:
+    """book, content: an archive for each conversation, with a chapter of inline markup, objects, notes and entities for each turn, and with both kinds of contents."""
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        number = rows["conv_id"].iloc[0]
+        return pd.DataFrame({"book": [f"mem:/conversation-{number}.epub"], "content": [make_rich_book(f"Conversation {number}", "en", rows.sort_values("turn")["text"].tolist(), faulty)]})
+
+    return _read(spark, sf_dir, "conversations").select("conv_id", "turn", "text").groupBy("conv_id").applyInPandas(run, "book string, content binary")
+
+
+_SQUEEZED = f"trim(regexp_replace('Before <x1>said ' || text || '</x1> after <x2/> end é!', '[ \\t\\n\\r\\f]+', ' ', 'g'), {_SPACE})"
+
+
+def _rich_sql(mark: str, columns: str) -> str:
+    """SQL for the five segments of every rich chapter, each with `mark` in front."""
+    rows = [(1, "title", "'Part ' || idx", 0, 0), (2, "heading", "'Part <x1>no. ' || idx || '</x1>'", 1, 0), (3, "text", _SQUEEZED, 1, 1), (4, "attr", "'Picture ' || idx", 0, 0), (5, "text", "'See <x1>note ' || idx || '</x1>'", 1, 0)]
+    return f"WITH {_TURNS} SELECT {columns} FROM (" + " UNION ALL ".join(f"SELECT book, idx, CAST({i} AS INTEGER) AS id, '{kind}' AS kind, '{mark}' || {source} AS source, CAST({pairs} AS INTEGER) AS pairs, CAST({atoms} AS INTEGER) AS atoms FROM turns" for i, kind, source, pairs, atoms in rows) + ")"
+
+
+def _extracted(made: DataFrame, drop: frozenset = frozenset()) -> DataFrame:
+    """The extracted documents of books."""
+    packages, members = src.packages(made), src.members(made)
+    spine = src.numbered(src.spine(packages, src.manifest(packages), members))
+    return ops.extract(spine.join(members.select("book", F.col("name").alias("path"), "data"), ["book", "path"]), "zh-CN", "marking", drop)
+
+
+@query(_rich_sql("", "book, idx, id, kind, source, pairs, atoms, CAST(1 AS INTEGER) AS dropped"))
+def rich_segments(spark, sf_dir):
+    """Segments of chapters with inline markup, objects, attributes and entities; notes are dropped by their class, code and what isn't to be translated stays."""
+    docs = _extracted(stash(rich_books(spark, sf_dir), "rich-books"), frozenset({"note"}))
+    return docs.select("book", "idx", F.col("dropped").cast("int").alias("dropped"), F.explode("segments").alias("s")).select("book", "idx", "s.id", "s.kind", "s.source", F.size("s.pairs").alias("pairs"), F.size("s.atoms").alias("atoms"), "dropped")
+
+
+def _through_engine(spark: SparkSession, made: DataFrame, **more) -> tuple[DataFrame, engine.Outcome]:
+    """The written books (book, content) by the marking provider, and the run's outcome."""
+    o = engine.Options("zh-CN", Factory("marking"), shared_dir(spark, "cache"), shared_dir(spark, "out"), wave=1_000_000, **more)
+    out = engine.translate(made, o)
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(o.output).select(F.regexp_extract("path", "([^/]+)$", 1).alias("file"), "content")
+    named = out.written.select("book", F.regexp_extract("output", "([^/]+)$", 1).alias("file"))
+    return stash(named.join(files, "file").select("book", "content"), "books-again"), out
+
+
+@query(_rich_sql("译：", "book, idx, id, kind, source, pairs, atoms"))
+def rich_written(spark, sf_dir):
+    """The rich books through the engine, written, read again and extracted: every marker is back in its place."""
+    again, _ = _through_engine(spark, stash(rich_books(spark, sf_dir), "rich-books"), drop_classes=frozenset({"note"}))
+    docs = _extracted(again)
+    return docs.select("book", "idx", F.explode("segments").alias("s")).select("book", "idx", "s.id", "s.kind", "s.source", F.size("s.pairs").alias("pairs"), F.size("s.atoms").alias("atoms"))
+
+
+@query(f"""WITH {_TURNS}, n AS (SELECT book, any_value(conv_id) AS conv_id, count(*) AS n FROM turns GROUP BY book)
+SELECT book, CAST(ord AS INTEGER) AS ord, '译：' || source AS source FROM (SELECT book, 0 AS ord, 'Conversation ' || conv_id AS source FROM n UNION ALL SELECT book, idx - 1, 'Part ' || idx FROM turns WHERE idx > 1
+UNION ALL SELECT book, n, 'Conversation ' || conv_id FROM n UNION ALL SELECT t.book, n + idx - 1, 'Part ' || idx FROM turns t JOIN n ON t.book = n.book WHERE idx > 1 UNION ALL SELECT book, 2 * n, 'Conversation ' || conv_id FROM n)""")
+def dropped_contents(spark, sf_dir):
+    """The labels of both tables of contents, and the title, of rich books written without their first chapter, whose entries are gone."""
+    again, _ = _through_engine(spark, stash(rich_books(spark, sf_dir), "rich-books"), drop_documents=frozenset({"c0001.xhtml"}))
+    packages, data = src.packages(again), src.members(again).select("book", F.col("name").alias("path"), "data")
+    pick = lambda column, name: data.select("book", F.col("path").alias(column), F.col("data").alias(name))
+    rows = packages.select("book", "opf_path").join(src.contents(packages, src.manifest(packages)), "book").join(pick("opf_path", "opf_data"), ["book", "opf_path"]).join(pick("nav_path", "nav_data"), ["book", "nav_path"]).join(pick("ncx_path", "ncx_data"), ["book", "ncx_path"])
+    return ops.labels(rows.withColumn("removed", F.array().cast("array<string>")), True).select("book", "ord", "segment.source")
+
+
+@query(f"""WITH {_TURNS} SELECT book, {_NAME} AS name, 'repeats the id m' || idx AS problem FROM turns UNION ALL SELECT book, {_NAME}, 'has a broken link lost.xhtml' FROM turns
+UNION ALL SELECT DISTINCT book, 'OEBPS/gone.css', 'is listed but missing' FROM turns""")
+def book_problems(spark, sf_dir):
+    """What is wrong with rich books that were given a repeated id and a broken link in each chapter, and a listed file that isn't there."""
+    return problems(stash(facts(rich_books(spark, sf_dir, faulty=True)), "facts"))
+
+
+@query(f"WITH {_TURNS} SELECT 'tag' AS kind, {_NAME} AS name, 'p' AS value, 'lost' AS change FROM turns")
+def book_changes(spark, sf_dir):
+    """What the engine changes of rich books but their text: each chapter loses its note."""
+    made = stash(rich_books(spark, sf_dir), "rich-books")
+    again, _ = _through_engine(spark, made, drop_classes=frozenset({"note"}))
+    return compare(stash(facts(made), "facts"), stash(facts(again), "facts"))
+
+
+@query(f"""WITH b AS (SELECT DISTINCT conv_id FROM conversations)
+SELECT 'mem:/' || shelf || '/book-' || conv_id || '.epub' AS book, CASE WHEN shelf = 'c' THEN NULL ELSE shelf || '/book-' || conv_id || '.zh-CN.epub' END AS output, shelf = 'c' AS damaged FROM b, (VALUES ('a'), ('b'), ('c')) s(shelf)""")
+def shelves(spark, sf_dir):
+    """Books of one name on two shelves are written to two places, and damaged ones on a third are errors of their own."""
+
+    def damaged(content: bytes) -> bytes:
+        at = content.index(b"OEBPS/nav.xhtml") + 40  # inside the member's compressed data
+        return content[:at] + bytes(255 - x for x in content[at : at + 8]) + content[at + 8 :]
+
+    def spread(batches):
+        for b in batches:
+            for book, content in zip(b["book"], b["content"], strict=True):
+                name = book.rpartition("conversation-")[2]
+                yield pd.DataFrame([(f"mem:/{shelf}/book-{name}", damaged(content) if shelf == "c" else content) for shelf in "abc"], columns=["book", "content"])
+
+    made = stash(conversation_books(spark, sf_dir).mapInPandas(spread, "book string, content binary"), "shelves")
+    o = engine.Options("zh-CN", Factory("marking"), shared_dir(spark, "cache"), shared_dir(spark, "out"), wave=2_000)
+    out = engine.translate(made, o)
+    written = out.written.select("book", F.substring("output", F.lit(len(o.output) + 2), F.length("output")).alias("output"), F.lit(False).alias("damaged"))
+    return written.unionByName(out.failed.select("book", F.lit(None).cast("string").alias("output"), F.col("error").isNotNull().alias("damaged")))

@@ -255,3 +255,36 @@ def test_driver_entry(spark):
         pytest.skip("no test data")
     assert e.entry(spark).columns == ["source", "text"] and e.entry(spark).limit(1).count() == 1
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_books_of_one_name_and_damaged_ones(spark, tmp_path):
+    from leafmill.plans.engine import translate
+
+    good = books.book()
+    at = good.index(b".xhtml") + 60
+    bad = good[:at] + bytes(255 - x for x in good[at : at + 8]) + good[at + 8 :]
+    made = spark.createDataFrame([("mem:/s/a/x.epub", good), ("mem:/s/b/x.epub", good), ("mem:/s/b/y.epub", bad), ("mem:/s/b/z.epub", b"no archive")], "book string, content binary")
+    out = translate(made, options(tmp_path))
+    assert {(r.book, r.output.rpartition("/out/")[2]) for r in out.written.collect()} == {("mem:/s/a/x.epub", "a/x.zh-CN.epub"), ("mem:/s/b/x.epub", "b/x.zh-CN.epub")}
+    assert {r.book for r in out.failed.collect()} == {"mem:/s/b/y.epub", "mem:/s/b/z.epub"}
+    one = options(tmp_path)
+    one.output = f"file://{tmp_path}/all.epub"
+    with pytest.raises(BookError, match="both be written"):
+        translate(made, one)
+
+
+def test_a_stop_file_ends_requests_and_waits(spark, tmp_path):
+    import time
+
+    from leafmill.plans.engine import translate
+    from leafmill.providers import Cancelled
+    from leafmill.tables import StopFile
+
+    stop = StopFile(f"file://{tmp_path}/stop", every=0.0)
+    assert not stop.is_set() and not stop.wait(0.01)
+    stop.set()
+    began = time.monotonic()
+    assert stop.wait(30) and time.monotonic() - began < 5
+    made = spark.createDataFrame([("mem:/x.epub", books.book())], "book string, content binary")
+    with pytest.raises(Cancelled):
+        translate(made, options(tmp_path, stop=stop.uri))
