@@ -6,6 +6,8 @@ and the books that archive operators need are made of conversations.
 
 from __future__ import annotations
 
+import json
+
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,6 +16,7 @@ from ..functions import columns as fn
 from ..functions.register import register
 from ..operators import documents as ops
 from ..operators import relational as rel
+from ..prompts import system_prompt
 from ..providers import Factory
 from ..shipping import ship
 from ..sources import books as src
@@ -124,7 +127,13 @@ def cache_key_digest(spark, sf_dir):
     return turns.select("conv_id", F.sha2(F.concat_ws("\x1f", F.transform("x", lambda x: x.text)), 256).alias("key"))
 
 
-@query()
+def _key_sql(target: str, model: str) -> str:
+    """The JSON is put together in SQL; only what is the same in all rows is written out."""
+    start = json.dumps([system_prompt(target), target, model], ensure_ascii=False)[:-1].replace("'", "''")
+    return f"SELECT conv_id, sha256('{start}, [' || string_agg(coalesce(CAST(to_json(text) AS VARCHAR), 'null'), ', ' ORDER BY turn) || ']]') AS key FROM conversations GROUP BY conv_id"
+
+
+@query(_key_sql("zh-CN", "marking"))
 def request_key(spark, sf_dir):
     """The cache key proper: a digest of the JSON of instructions, language, model and texts."""
     turns = _read(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "text"))).alias("x"))
