@@ -166,7 +166,10 @@ def search(index: DataFrame, found: list[tuple[str, list[bytes]]], rarity: dict[
                             continue
                         begin, at = s.find(phrase, order, slop, memory)
                         doc = np.searchsorted(starts, at, side="right") - 1
-                        hits += [(d, item, max(0, a - int(starts[d])), len(phrase)) for d, a in zip(doc.tolist(), begin.tolist(), strict=True)]
+                        first = begin - starts[doc]  # with a slop, the phrase's nominal place may reach beyond the text
+                        end = np.minimum(first + len(phrase), lengths[doc])
+                        first = np.maximum(first, 0)
+                        hits += [(d, item, a, n) for d, a, n in zip(doc.tolist(), first.tolist(), (end - first).tolist(), strict=True)]
                 if hits:
                     ids = row["ids"].values
                     doc, item, start, words = zip(*_runs(hits), strict=True)

@@ -73,6 +73,9 @@ def test_proximity(spark):
     docs = spark.createDataFrame([(1, "b a"), (2, "x b a y"), (3, "a"), (4, "b")], "doc_id long, text string")
     items = spark.createDataFrame([(1, "a b")], "item_id long, text string")
     assert near(2) == [1, 2] and near(0) == []
+    index, found = m.matches(docs, items, slop=2)
+    assert all(r.start >= 0 and r.words >= 1 and r.start + r.words <= {1: 2, 2: 4}[r.id] for r in found.collect())
+    assert all(r.n_hit <= r.n_words and r.contaminated == (r.n_hit > 0) for r in m.digest(index, found).collect())
 
 
 def test_the_index_holds_every_word_and_answers_any_phrase(spark, awkward):
