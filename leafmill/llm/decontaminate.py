@@ -165,6 +165,8 @@ def search(index: DataFrame, found: list[tuple[str, list[bytes]]], rarity: dict[
                         if any(w not in s.lists for w in phrase):
                             continue
                         begin, at = s.find(phrase, order, slop, memory)
+                        if not len(begin):
+                            continue
                         doc = np.searchsorted(starts, at, side="right") - 1
                         first = begin - starts[doc]  # with a slop, the phrase's nominal place may reach beyond the text
                         end = np.minimum(first + len(phrase), lengths[doc])
