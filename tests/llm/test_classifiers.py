@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import math
 import random
 import zlib
 
@@ -144,7 +145,7 @@ def test_a_suffix_rate_does_not_tell_a_urls_own_label(spark, monkeypatch):
 
     got = urls.judge(pages, rules, "page_id").collect()
     (x, y), at = seen[0], urls.FEATURES.index("suffix_rate")
-    alone = np.log1p(2) == x[:, urls.FEATURES.index("suffix_rows")]
+    alone = math.log1p(2) == x[:, urls.FEATURES.index("suffix_rows")]  # of the library that made it: another may differ in the last bit
     assert alone.sum() == 600 and (x[alone, at] == 0.5).all()
     shared_rates = [set(x[~alone & (y == label), at]) for label in (0, 1)]
     assert shared_rates[0] == shared_rates[1] and len(shared_rates[0]) > 1
