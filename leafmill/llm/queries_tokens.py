@@ -2,6 +2,7 @@
 
 import bisect
 import zlib
+from collections import deque
 
 import numpy as np
 from pyspark import TaskContext
@@ -39,10 +40,16 @@ def write_tokens(docs, tokenizer: str, end_id: int, folder: str, key: str = "doc
         width = 2 if len(tokens.ends) <= 1 << 16 and end_id < 1 << 16 else 4
         end = np.array([end_id], "<u4")
 
-        def entries():
+        keys: deque = deque()
+
+        def texts():
             for b in batches:
-                for k, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                    yield k, np.concatenate([tokens.ids(t), end])
+                keys.extend(b.column(0).to_pylist())
+                yield from b.column(1).to_pylist()
+
+        def entries():
+            for ids in tokens.many(texts()):
+                yield keys.popleft(), np.concatenate([ids, end])
 
         part = TaskContext.get().partitionId()
         path = f"{folder}/shard-{part:06d}.sst"

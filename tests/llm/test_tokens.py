@@ -7,9 +7,10 @@ import zlib
 
 import numpy as np
 import pytest
+from leafmill.llm import tokens
 from leafmill.llm.queries_tokens import lookup_tokens, op2_token_output, tokenizer_path, write_tokens
 from leafmill.llm.sstable import Reader, Writer, identifier_of, key_of, open_shard
-from leafmill.llm.tokens import encoder
+from leafmill.llm.tokens import ChunkedEncoder, encoder
 
 
 class Source(io.BytesIO):
@@ -87,6 +88,62 @@ def test_encoder_equals_the_library():
     assert e.ids(None).tolist() == []
 
 
+class Counted:
+    """A tokenizer that keeps what it is given."""
+
+    def __init__(self, tokenizer):
+        self.tokenizer, self.given = tokenizer, []
+
+    def encode(self, text, **options):
+        self.given.append(text)
+        return self.tokenizer.encode(text, **options)
+
+    def encode_batch_fast(self, texts, **options):
+        self.given.extend(texts)
+        return self.tokenizer.encode_batch_fast(texts, **options)
+
+
+def _counted():
+    e = ChunkedEncoder(tokenizer_path())
+    e.tokenizer = Counted(e.tokenizer)
+    return e
+
+
+def _word(n: int) -> str:
+    return "w" + "".join(chr(97 + int(c)) for c in str(n))
+
+
+def test_a_word_is_learnt_once_whatever_stands_around_it():
+    e = _counted()
+    for around in ("{}", "({})", "{}, ", "{}?!", "#{}", "x.{}/y", "{}12", '"{}"', "[{}];", "{}'s"):
+        text = " ".join(around.format(_word(n)) for n in range(1000))
+        assert e.ids(text).tolist() == e.tokenizer.tokenizer.encode(text, add_special_tokens=False).ids, around
+    assert sum(map(len, e.tokenizer.given)) < 1.1 * sum(len(_word(n)) + 1 for n in range(1000))
+
+
+def test_words_in_use_are_not_forgotten(monkeypatch):
+    monkeypatch.setattr(tokens, "CACHE", 500)
+    e, common = _counted(), [_word(n) for n in range(100)]
+    for k in range(50):
+        text = " ".join([*common, *(_word(1000 + 200 * k + n) for n in range(200))])
+        assert e.ids(text).tolist() == e.tokenizer.tokenizer.encode(text, add_special_tokens=False).ids
+    given = " ".join(e.tokenizer.given).split()
+    assert [given.count(w) for w in common] == [1] * 100
+    assert len(e.known) + len(e.older) < 4 * 500
+
+
+def test_texts_together_and_long_texts_equal_the_library(monkeypatch):
+    monkeypatch.setattr(tokens, "GROUP", 200)
+    e, rng = ChunkedEncoder(tokenizer_path()), random.Random(6)
+    odd = "'''sStTrRevVmMlLdD.,!-\"12 \n\téÉ×÷ėķŸœß¿ª²¼µ·“”’—…‰⁄€#"
+    texts = ["".join(rng.choice(odd) for _ in range(rng.choice((0, 3, 30, 300, 1500)))) for _ in range(2000)]
+    texts += [None, "", " \n", "x" * 900, " " * 900, "á " * 200, "1" * 450 + " end", *("".join(rng.choice("ab ,") for _ in range(n)) for n in range(195, 205))]
+    rng.shuffle(texts)
+    got = list(e.many(iter(texts)))
+    assert [g.tolist() for g in got] == [e.tokenizer.encode(t or "", add_special_tokens=False).ids for t in texts]
+    assert list(e.many([])) == []
+
+
 def _expected(rows):
     e, start, out = encoder(tokenizer_path()).tokenizer, 0, []
     for i, t in rows:
