@@ -13,7 +13,7 @@ import pyarrow as pa
 CACHE = 200_000
 
 #: Characters of the texts that are cut together; a longer text is cut by itself, a stretch of about as many after the other.
-GROUP = 4_000_000
+GROUP = 2_000_000
 
 #: Texts of these characters alone, without the start of an added token, are lower-cased and cut here; others are encoded whole.
 _PLAIN = re.compile("[\t\n\r\x20-\x3b\x3d-\x7e\xa1-\xffĀ-įĲ-ž‐-‧‰-⁞€]*")
@@ -54,6 +54,22 @@ def _stretches(text: str) -> Iterator[str]:
         at = end
 
 
+def _pieces(texts: list[str]) -> tuple[pa.DictionaryArray, np.ndarray]:
+    """The pieces of plain texts, one text's after the other's, and where each text's begin; the end comes last."""
+    parts = [t.lower().encode() for t in texts]
+    raw = b"\n" + b"\n".join(parts)
+    borders = np.cumsum([0, *(len(p) + 1 for p in parts)])
+    del parts
+    left, right = np.frombuffer(raw.translate(_LEFT), np.uint8), np.frombuffer(raw.translate(_RIGHT), np.uint8)
+    ends = left.copy()
+    ends[1:] |= (left[:-1] << 1 & left[1:] & 128) >> 6  # the second byte of a letter ends a letter
+    first = np.flatnonzero(ends[:-1] & right[1:]) + 1  # of each piece's bytes
+    del ends, right
+    data = raw.translate(None, _SPACE)
+    offsets = np.append(first - np.cumsum(left == 1, dtype=np.int32)[first], len(data))
+    return pa.Array.from_buffers(pa.large_binary(), len(first), [None, pa.py_buffer(offsets), pa.py_buffer(data)]).dictionary_encode(), np.searchsorted(first, borders)
+
+
 class ChunkedEncoder:
     """Equal to `Tokenizer.encode(text, add_special_tokens=False)` for a word-end BPE that lower-cases, drops white space and cuts runs of letters, digits and other signs apart.
 
@@ -104,19 +120,10 @@ class ChunkedEncoder:
 
     def _cut(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of plain texts."""
-        parts = [t.lower().encode() for t in texts]
-        raw = b"\n" + b"\n".join(parts)
-        left, right = np.frombuffer(raw.translate(_LEFT), np.uint8), np.frombuffer(raw.translate(_RIGHT), np.uint8)
-        ends = left.copy()
-        ends[1:] |= (left[:-1] << 1 & left[1:] & 128) >> 6  # the second byte of a letter ends a letter
-        first = np.flatnonzero(ends[:-1] & right[1:]) + 1  # of each piece's bytes
-        data = raw.translate(None, _SPACE)
-        offsets = np.append(first - np.cumsum(left == 1, dtype=np.int32)[first], len(data))
-        pieces = pa.Array.from_buffers(pa.large_binary(), len(first), [None, pa.py_buffer(offsets), pa.py_buffer(data)]).dictionary_encode()
+        pieces, starts = _pieces(texts)
         found = pa.array(self._look(pieces.dictionary.to_pylist()), pa.large_binary()).take(pieces.indices)
         _, at, out = found.buffers()
-        starts = np.searchsorted(first, np.cumsum([0, *(len(p) + 1 for p in parts)]))
-        at = np.frombuffer(at, np.int64, len(first) + 1)[starts] // 4 if len(first) else 0 * starts
+        at = np.frombuffer(at, np.int64, len(pieces) + 1)[starts] // 4 if len(pieces) else 0 * starts
         ids = np.frombuffer(out, "<u4", at[-1]) if at[-1] else np.zeros(0, "<u4")
         return [ids[a:b] for a, b in zip(at, at[1:], strict=False)]
 
